@@ -1,6 +1,7 @@
 """Importing the query modules fills the registry."""
 
 from quire.plans import (  # noqa: F401
+    queries_questions,
     queries_text,
 )
 from quire.plans.registry import oracles, queries  # noqa: F401
