@@ -2,6 +2,7 @@
 
 from quire.plans import (  # noqa: F401
     queries_questions,
+    queries_retrieval,
     queries_text,
 )
 from quire.plans.registry import oracles, queries  # noqa: F401
