@@ -1,6 +1,7 @@
 """Importing the query modules fills the registry."""
 
 from quire.plans import (  # noqa: F401
+    queries_corpus,
     queries_questions,
     queries_retrieval,
     queries_text,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,18 +31,23 @@ def build_session(app: str = "quire", master: str | None = None, shuffle_partiti
     return spark
 
 
+_private_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a private folder only where none is configured (tests)."""
+    global _private_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    private = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", private)
-    return private
+    if _private_dir is None:
+        _private_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _private_dir
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder, for plans that are reused many times."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for a narrow table that several stages read again."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
