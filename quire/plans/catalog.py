@@ -1,7 +1,9 @@
 """Importing the query modules fills the registry."""
 
 from quire.plans import (  # noqa: F401
+    queries_books,
     queries_corpus,
+    queries_extraction,
     queries_questions,
     queries_retrieval,
     queries_text,
