@@ -153,3 +153,43 @@ def matched_sections(text: Column, entries: tuple[Entry, ...]) -> Column:
     """Names of all matching sections, in lexicon order, as an array."""
     hits = [F.when(text.rlike(e.pattern), F.lit(e.name)) for e in entries]
     return F.coalesce(F.array_compact(F.array(*hits)), F.array().cast("array<string>"))
+
+
+# --- fixed values: names an answer may use without support in its sources ------------------
+ALLOWED_NAMES = (
+    "WHO UNICEF UNFPA UNDP UNESCO WORLD BANK NHM NRHM NUHM MOHFW ICMR NITI AYOG GOI RGI SRS NFHS HMIS IDSP NCD UHC SDG MDG "
+    "IMR NMR MMR TFR CBR CDR GDP HDI PQLI DALY QALY BMI ANC PNC IFA ORS IMNCI FIMNCI FRU SNCU NRC PHC CHC SC SDH DH ASHA ANM "
+    "AWW MPW JSY JSSK PMSMA RKSK RBSK PMJAY ABHA AYUSHMAN RCH RMNCH RMNCHA NSSK HBNC HBYC NTEP RNTCP NACP NVBDCP NPCB NPCDCS "
+    "NMHP DOTS BCG OPV IPV TT Td DPT PENTA HIV AIDS TB MDR XDR COVID SARS MERS ESI CGHS ESIC AIIMS NEET MBBS MD MS CPR BLS "
+    "ACLS ICD DSM OR CI RR SD SE SES LHV VHND VHSNC RKS JAS HWC ABHWC EOC BEmOC CEmOC EmOC BEMOC CEMOC EMOC ARSH AFHC WIFS "
+    "SBA MHM MCTS RCHII LSAS NBCC NBSU KMC LBW IUGR PIH GDM PPROM MTP PPIUCD IUCD OCP DMPA RTI STI PPTCT PMTCT RPR VDRL Hb BP "
+    "EDD LMP FHS NST PROM SGA AGA VBAC CS LSCS PMMVY SUMAN LAQSHYA PPP NGO NGOS WASH IMCI ART ARV MCP ANMOL UIP NDD AFHS PE "
+    "NAHP ICTC THE AND FOR WITH FROM THIS THAT ARE WAS NOT"
+).split()
+DENIED_NAMES = ("CHIP", "HIPAA", "MEDICAID", "MEDICARE", "NHS", "OBAMACARE", "PRAMS")
+KNOWN_TITLES = (
+    "pradhan mantri matru vandana yojana",
+    "janani suraksha yojana",
+    "janani shishu suraksha karyakram",
+    "janani shishu suraksha karvakram",
+    "rashtriya kishor swasthya karyakram",
+    "rashtriya bal swasthya karyakram",
+    "pradhan mantri jan arogya yojana",
+    "ayushman bharat scheme",
+    "ayushman bharat programme",
+    "ayushman bharat mission",
+    "national health mission",
+    "national rural health mission",
+    "national urban health mission",
+    "reproductive and child health programme",
+    "universal immunization programme",
+    "school health and wellness programme",
+    "menstrual hygiene scheme",
+    "menstrual hygiene mission",
+    "national deworming day",
+    "adolescent reproductive and sexual health",
+    "adolescent friendly health clinics",
+    "surakshit matritva ashashwasan",
+    "labour room quality improvement initiative",
+    "pradhan mantri surakshit matritva abhiyan",
+)

@@ -7,5 +7,6 @@ from quire.plans import (  # noqa: F401
     queries_questions,
     queries_retrieval,
     queries_text,
+    queries_validation,
 )
 from quire.plans.registry import oracles, queries  # noqa: F401

@@ -62,6 +62,13 @@ _F9 = """select concat(lang,'-',source) as book_id, lang as subject, count(*) as
 _QV = """select f4.qid, f4.subject, f4.type, f4.marks, f4.question_text, f4.chapter, f4.conv_id, f4.turn, e.embedding as qvec
   from f4 join embeddings e on e.vec_id = (f4.conv_id * 7 + f4.turn) % 200"""
 
+# Answers with their question, a target, a source text and a few more names and layout elements.
+_F5H = """select f5.qid, f5.module, f5.chapter, f5.subject, f5.conv_id, f5.marks, f4.type as qtype, f4.question_text, f4.marks as question_marks,
+  concat(f5.answer_text, case when f5.conv_id % 7 = 1 then concat(chr(10), 'The National Rural Scheme and ABQZ of the Orange Valley Mission help the Janani Suraksha Yojana.') when f5.conv_id % 7 = 2 then concat(chr(10), '- see chunk_ab12cd and chunk_ab12cd') else '' end) as answer_text,
+  case when f5.conv_id % 5 = 4 then null when f5.conv_id % 5 = 3 then concat(f4.question_text, ' ABQZ ORANGE programme') else f4.question_text end as source_text,
+  case f5.conv_id % 4 when 0 then 125 when 1 then 375 when 2 then 750 else null end as target_words
+  from f5 left join f4 on f4.qid = f5.qid"""
+
 _RAW_PAGES = """select lang as subject, concat(lang,'-',source) as book_id, case when doc_id % 5 = 0 then 'ocr' else 'text' end as method, text, cast(length(text) as bigint) as char_count, doc_id from documents"""
 
 
@@ -78,6 +85,7 @@ DUCK_VIEWS: dict[str, str] = {
     "f3h": "select subject, book_id, page_num, doc_id, " + _duck(_F3H_TEXT) + " as text from f3",
     "f4": _duck(_F4),
     "f5": _duck(_F5),
+    "f5h": _duck(_F5H),
     "f6": _duck(_F6),
     "f7": _duck(_F7),
     "f8": _duck(_F8),
@@ -134,6 +142,10 @@ class Views:
     def f5(self) -> DataFrame:
         return self._sql(_F5, conversations=self.table("conversations"))
 
+    @cached_property
+    def f5h(self) -> DataFrame:
+        return self._sql(_F5H, f4=self.f4, f5=self.f5)
+
     @cached_property
     def f6(self) -> DataFrame:
         return self._sql(_F6, embeddings=self.table("embeddings"), documents=self.table("documents"))
