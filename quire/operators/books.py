@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from quire.functions import text as T
 from quire.functions.arrays import let
 from quire.operators.blocked import number_rows
 from quire.operators.pages import page_quality_flags
+from quire.session import cut_lineage
 
 # Signals of a question bank's format.
 MCQ_SIGNALS = r"\(a\)|\(b\)|\(c\)|\(d\)|\bKey:|(?m:^\s*\d+\.)"
@@ -118,14 +119,21 @@ def validate_ocr_pages(
     )
 
 
-def sample_text_quality(texts: DataFrame, order: str, max_samples: int = 12, fail_above: float = 0.72) -> DataFrame:
+def sample_text_quality(
+    texts: DataFrame,
+    order: str,
+    max_samples: int = 12,
+    fail_above: float = 0.72,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
     """Mean and worst gibberish of an even sample of each book's non-blank texts."""
-    filled = texts.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
-    numbered = number_rows(filled.select("book_id", order, "text"), ["book_id"], order, "__n")
-    counts = texts.groupBy("book_id").agg(
-        F.count_if(F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")).alias("n_filled")
-    )
-    sampled = _at_positions(numbered, counts, strided(F.col("n_filled"), max_samples), "__n")
+    # Positions are worked out on keys alone; only the few sampled texts are fetched.
+    filled = F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    marks = materialize(texts.select("book_id", order, filled.alias("__filled")))
+    numbered = number_rows(marks.filter("__filled").drop("__filled"), ["book_id"], order, "__n")
+    counts = marks.groupBy("book_id").agg(F.count_if("__filled").alias("n_filled"))
+    chosen = _at_positions(numbered, counts, strided(F.col("n_filled"), max_samples), "__n").select("book_id", order)
+    sampled = texts.select("book_id", order, "text").join(chosen, ["book_id", order])
     scores = sampled.select("book_id", T.gibberish_score(F.col("text")).alias("g")).groupBy("book_id").agg(
         F.count(F.lit(1)).alias("samples"), F.avg("g").alias("mean_gibberish"), F.max("g").alias("max_gibberish")
     )

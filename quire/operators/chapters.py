@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import at_or_null
 from quire.functions.text import lines_of, strip_blanks
 from quire.operators.blocked import last_seen, next_seen, running_sum
+from quire.session import cut_lineage
 
 # Line forms that count as a heading.
 HEADING = r"^(CHAPTER\s+\d+|\d+\.\s+[A-Z]|[A-Z][A-Z\s]{4,}$|\d+\s+[A-Z][a-z]+)"
 
 KEYS = ("book_id",)
 
+# Text is read once: what several stages need again is a narrow table, written out.
+Materialize = Callable[[DataFrame], DataFrame]
+
 
 def first_heading(text: Column) -> Column:
     """First line of a page that looks like a heading, trimmed; null if there is none."""
@@ -21,9 +27,9 @@ def first_heading(text: Column) -> Column:
     return at_or_null(F.filter(lines, lambda x: x.rlike(HEADING)), 1)
 
 
-def segment_chapters(pages: DataFrame, title_from: str = "book_id") -> DataFrame:
+def segment_chapters(pages: DataFrame, title_from: str = "book_id", materialize: Materialize = cut_lineage) -> DataFrame:
     """Contiguous chapters of every book: title, start_page, end_page, confidence."""
-    marked = pages.select(*KEYS, "page_num", first_heading(F.col("text")).alias("title"))
+    marked = materialize(pages.select(*KEYS, "page_num", first_heading(F.col("text")).alias("title")))
     books = marked.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.count("title").alias("n_headings"),
@@ -54,8 +60,8 @@ def segment_chapters(pages: DataFrame, title_from: str = "book_id") -> DataFrame
     return headed.unionByName(front)
 
 
-def assign_chapter(pages: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Chapter title and first page for every page that lies in a chapter.
+def chapter_of_pages(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Narrow table (book, page, chapter_start, chapter_title) of the pages that lie in a chapter.
 
     Chapters do not overlap, so a page belongs to the latest start at or before it.  The start
     rows meet their page by an equi-join and are carried forward block by block; the range
@@ -66,19 +72,25 @@ def assign_chapter(pages: DataFrame, chapters: DataFrame) -> DataFrame:
         F.col("start_page").alias("page_num"),
         F.struct(F.col("title"), F.col("start_page"), F.col("end_page")).alias("__chapter"),
     )
-    joined = pages.join(starts, [*KEYS, "page_num"], "left")
+    joined = pages.select(*KEYS, "page_num").join(starts, [*KEYS, "page_num"], "left")
     filled = last_seen(joined, KEYS, ["page_num"], {"__here": F.col("__chapter")})
-    return (
-        filled.filter(F.col("page_num") <= F.col("__here.end_page"))
-        .withColumns({"chapter_title": F.col("__here.title"), "chapter_start": F.col("__here.start_page")})
-        .drop("__chapter", "__here")
+    return filled.filter(F.col("page_num") <= F.col("__here.end_page")).select(
+        *KEYS,
+        "page_num",
+        F.col("__here.title").alias("chapter_title"),
+        F.col("__here.start_page").alias("chapter_start"),
     )
 
 
-def page_offsets(pages: DataFrame, keys=("book_id", "chapter_start")) -> DataFrame:
+def assign_chapter(pages: DataFrame, chapters: DataFrame, materialize: Materialize = cut_lineage) -> DataFrame:
+    """Pages with ``chapter_title`` and ``chapter_start``."""
+    return pages.join(materialize(chapter_of_pages(pages, chapters)), [*KEYS, "page_num"])
+
+
+def page_offsets(pages: DataFrame, keys=("book_id", "chapter_start"), materialize: Materialize = cut_lineage) -> DataFrame:
     """Start and end character of every page in its chapter's joined text."""
-    sized = pages.withColumn("__len", F.length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint"))
-    out = running_sum(sized, keys, ["page_num"], {"char_start": F.col("__len")})
+    sized = pages.select(*keys, "page_num", F.length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("__len"))
+    out = running_sum(materialize(sized), keys, ["page_num"], {"char_start": F.col("__len")})
     return out.withColumn("char_end", F.col("char_start") + F.col("__len")).drop("__len")
 
 

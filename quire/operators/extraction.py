@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.arrays import at_or_null, index_range, let
 from quire.operators.blocked import last_seen, running_sum
+from quire.session import cut_lineage
 
 # --- fixed values: patterns of the bank format ---------------------------------------------
 QUESTION_START = r"(?i)(?:^|\n)\s*(?:\d+[.)]|Q\.?\s*\d+|Question\s+\d+)\s*"
@@ -38,6 +39,9 @@ NO_CHAPTER = ("null", "none", "n/a", "-", "unknown")
 
 _CUT = "\u0001"
 
+# Page text is read once for the narrow facts that are carried from page to page.
+Materialize = Callable[[DataFrame], DataFrame]
+
 
 def break_inline_questions(text: Column) -> Column:
     return F.regexp_replace(text, INLINE_START, "\n$1")
@@ -84,9 +88,12 @@ def parse_questions(rows: DataFrame) -> DataFrame:
     ).drop("__body", "__options")
 
 
-def assign_qids(questions: DataFrame, keys: Sequence[str] = ("book_id",), bank: str | None = None) -> DataFrame:
+def assign_qids(
+    questions: DataFrame, keys: Sequence[str] = ("book_id",), bank: str | None = None, materialize: Materialize = cut_lineage
+) -> DataFrame:
     """Sequential ids in page and match order; page counts are summed up block by block."""
     per_page = questions.groupBy(*keys, "page_num").agg(F.count(F.lit(1)).alias("__n"), F.min("pos").alias("__p0"))
+    per_page = materialize(per_page)
     offsets = running_sum(per_page, list(keys), ["page_num"], {"__before": F.col("__n")})
     joined = questions.join(offsets.select(*keys, "page_num", "__before", "__p0"), [*keys, "page_num"])
     number = F.col("__before") + F.col("pos") - F.col("__p0") + 1
@@ -96,7 +103,9 @@ def assign_qids(questions: DataFrame, keys: Sequence[str] = ("book_id",), bank:
     return joined.withColumn("qid", qid).drop("__before", "__p0")
 
 
-def page_section_marks(pages: DataFrame, keys: Sequence[str] = ("book_id",)) -> DataFrame:
+def page_section_marks(
+    pages: DataFrame, keys: Sequence[str] = ("book_id",), materialize: Materialize = cut_lineage
+) -> DataFrame:
     """Section letter and marks in force on every page, carried over pages without any."""
     text = F.coalesce(F.col("text"), F.lit(""))
     letter = at_or_null(F.regexp_extract_all(text, F.lit(SECTION_LETTER), F.lit(1)), -1)
@@ -104,7 +113,7 @@ def page_section_marks(pages: DataFrame, keys: Sequence[str] = ("book_id",)) ->
         F.regexp_extract_all(text, F.lit(MARKS), F.lit(1)), lambda m: F.regexp_replace(m, r"\s", "").cast("int")
     )
     found = pages.select(*keys, "page_num", letter.alias("__s"), at_or_null(F.filter(numbers, lambda n: n != 0), -1).alias("__m"))
-    out = last_seen(found, list(keys), ["page_num"], {"section": F.col("__s"), "marks": F.col("__m")})
+    out = last_seen(materialize(found), list(keys), ["page_num"], {"section": F.col("__s"), "marks": F.col("__m")})
     return out.drop("__s", "__m")
 
 
@@ -130,17 +139,20 @@ def mark_headers(text: Column) -> Column:
     return F.filter(let(parts, positions), lambda h: h["marks"].isNotNull())
 
 
-def marks_from_headers(questions: DataFrame, pages: DataFrame, keys: Sequence[str] = ("book_id",)) -> DataFrame:
+def marks_from_headers(
+    questions: DataFrame, pages: DataFrame, keys: Sequence[str] = ("book_id",), materialize: Materialize = cut_lineage
+) -> DataFrame:
     """Fill missing marks from the closest marks header before the question.
 
     Headers of the question's own page are compared by text position; if none precedes it there,
     the last header of the pages before counts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    headed = pages.select(*keys, "page_num", text.alias("__text"), mark_headers(text).alias("__h"))
+    headed = materialize(pages.select(*keys, "page_num", mark_headers(text).alias("__h")))
     last = at_or_null(F.col("__h"), -1)["marks"]
     headed = last_seen(headed, list(keys), ["page_num"], {"__prior": last}, inclusive=False)
-    joined = questions.join(headed, [*keys, "page_num"], "left")
+    texts = pages.select(*keys, "page_num", text.alias("__text"))
+    joined = questions.join(headed, [*keys, "page_num"], "left").join(texts, [*keys, "page_num"], "left")
     stem = F.substring(T.strip_blanks(F.coalesce("question_text", F.lit(""))), 1, 40)
     exact = F.instr(F.col("__text"), stem)
     loose = F.instr(F.lower("__text"), F.lower(stem))
@@ -186,8 +198,15 @@ def chapter_heading(line: Column) -> Column:
     return let(T.squeeze_blanks(line), of)
 
 
-def tier_marks(line: Column, three_tier: Column) -> Column:
-    """Marks announced by a heading line such as "Short notes", null for other lines."""
+BY_BANK = 0
+
+
+def tier_marks(line: Column) -> Column:
+    """Marks announced by a heading line such as "Long essay", null for other lines.
+
+    "Short answers" and "Short notes" give ``BY_BANK``: 3 marks in a bank that also has short
+    essays, else 5.
+    """
 
     def of(s: Column) -> Column:
         usable = (s != "") & (F.length(s) <= 55) & ~s.rlike(QUESTION_NUMBER) & ~s.endswith("?")
@@ -196,45 +215,69 @@ def tier_marks(line: Column, three_tier: Column) -> Column:
             F.when(s.rlike(MARK3), F.lit(3))
             .when(s.rlike(MARK10), F.lit(10))
             .when(s.rlike(MARK5), F.lit(5))
-            .when(s.rlike(SHORT_ANSWER), F.when(three_tier, F.lit(3)).otherwise(F.lit(5))),
+            .when(s.rlike(SHORT_ANSWER), F.lit(BY_BANK)),
         )
 
     return let(T.strip_blanks(line), of)
 
 
-def segment_bank_text(pages: DataFrame) -> DataFrame:
+def page_headings(text: Column) -> Column:
+    """Heading lines of a page: ``array<struct<line, chapter, tier>>`` with 1-based line numbers."""
+    found = F.transform(
+        T.lines_of(text),
+        lambda x, i: let(
+            chapter_heading(x),
+            lambda ch: F.struct(
+                (i + 1).alias("line"), ch.alias("chapter"), F.when(ch.isNull(), tier_marks(x)).alias("tier")
+            ),
+        ),
+    )
+    return F.filter(found, lambda h: h["chapter"].isNotNull() | h["tier"].isNotNull())
+
+
+def segment_bank_text(pages: DataFrame, materialize: Materialize = cut_lineage) -> DataFrame:
     """Text between headings with the marks and chapter in force, one row per segment and page.
 
-    ``segment`` counts the headings before; a segment longer than a page stays in page-sized
-    pieces so that a bank without headings is not gathered into one row.
+    The headings of all pages form a narrow table from which each page learns its state at the
+    top; a page is then cut inside its own row.  ``segment`` counts the headings before.  A
+    segment longer than a page stays in page-sized pieces, so a bank without headings is never
+    gathered into one row.
     """
-    tiers = pages.groupBy("book_id").agg(F.bool_or(F.col("text").rlike(SHORT_ESSAY)).alias("__three"))
-    lines = pages.join(tiers, "book_id").select(
-        "book_id", "page_num", "__three", F.posexplode(T.lines_of(F.col("text"))).alias("line_no", "line")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    heads = materialize(
+        pages.select("book_id", "page_num", page_headings(text).alias("__h"), text.rlike(SHORT_ESSAY).alias("__essay"))
     )
-    lines = lines.withColumn("__chapter", chapter_heading(F.col("line")))
-    lines = lines.withColumn("__tier", F.when(F.col("__chapter").isNull(), tier_marks(F.col("line"), F.col("__three"))))
-    heading = F.col("__chapter").isNotNull() | F.col("__tier").isNotNull()
-    event = F.when(heading, F.struct(F.col("__tier").alias("m")))
-    lines = lines.withColumns({"__head": heading, "__event": event})
-    # Headings per page are numbered over pages first, then within the page.
-    order = ["page_num", "line_no"]
-    lines = last_seen(lines, ["book_id"], order, {"chapter": F.col("__chapter"), "__marks": F.col("__event")}, width=256)
-    lines = running_sum(lines, ["book_id"], order, {"segment": F.col("__head").cast("int")}, width=256)
-    kept = lines.filter(~F.col("__head"))
-    pieces = kept.groupBy("book_id", "segment", "page_num").agg(
-        F.first("chapter").alias("chapter"),
-        F.first("__marks").alias("__marks"),
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("__l"),
+    banks = heads.groupBy("book_id").agg(F.bool_or("__essay").alias("__three"))
+    last_chapter = at_or_null(F.filter("__h", lambda h: h["chapter"].isNotNull()), -1)["chapter"]
+    last_tier = F.when(F.size("__h") > 0, F.struct(F.element_at("__h", -1)["tier"].alias("m")))
+    top = last_seen(
+        heads, ["book_id"], ["page_num"], {"__chapter": last_chapter, "__tier": last_tier}, inclusive=False
     )
-    return pieces.select(
-        "book_id",
-        "segment",
-        "page_num",
-        F.col("__marks.m").alias("marks"),
-        F.coalesce("chapter", F.lit("")).alias("chapter"),
-        F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("text"),
+    top = running_sum(top, ["book_id"], ["page_num"], {"__before": F.size("__h")})
+    top = top.join(banks, "book_id").drop("__essay")
+
+    def pieces(lines: Column, marks: Column) -> Column:
+        """Slices between the marks; the first mark is the state at the top of the page."""
+
+        def piece(m: Column, i: Column) -> Column:
+            stop = F.coalesce(F.try_element_at(marks, i + 2)["line"], F.size(lines) + 1)
+            chapter = at_or_null(F.filter(F.slice(marks, F.lit(1), i + 1), lambda x: x["chapter"].isNotNull()), -1)["chapter"]
+            return F.struct(
+                (F.col("__before") + i).alias("segment"),
+                F.when(m["tier"] == BY_BANK, F.when(F.col("__three"), 3).otherwise(5)).otherwise(m["tier"]).alias("marks"),
+                F.coalesce(chapter, F.lit("")).alias("chapter"),
+                F.slice(lines, m["line"] + 1, stop - m["line"] - 1).alias("lines"),
+            )
+
+        return F.filter(F.transform(marks, piece), lambda p: F.size(p["lines"]) > 0)
+
+    first = F.array(F.struct(F.lit(0).alias("line"), F.col("__chapter").alias("chapter"), F.col("__tier.m").alias("tier")))
+    cut = let(
+        T.lines_of(F.col("__text")), lambda lines: let(F.concat(first, F.col("__h")), lambda marks: pieces(lines, marks))
     )
+    joined = pages.select("book_id", "page_num", text.alias("__text")).join(top, ["book_id", "page_num"])
+    rows = joined.select("book_id", "page_num", F.inline(cut))
+    return rows.withColumn("text", F.array_join("lines", "\n")).drop("lines")
 
 
 def pack_lines(df: DataFrame, max_chars: int = 9000, text: str = "text") -> DataFrame:

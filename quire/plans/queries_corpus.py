@@ -12,6 +12,7 @@ from quire.plans.queries_questions import sql_text
 from quire.plans.queries_retrieval import D_ASCII, d_keywords
 from quire.plans.queries_text import D_STRIP, D_WORDS
 from quire.plans.registry import query
+from quire.session import cut_lineage
 
 _HEAD = "'^(CHAPTER\\s+\\d+|\\d+\\.\\s+[A-Z]|[A-Z][A-Z\\s]{4,}$|\\d+\\s+[A-Z][a-z]+)'"
 D_HEADING = f"(list_filter(list_transform(string_split(text, chr(10)), lambda x: {D_STRIP.format(c='x')}), lambda x: regexp_matches(x, {_HEAD})))[1]"
@@ -40,8 +41,7 @@ def _(v):
 
 @query("c3_assign_chapter", f"with {D_PC} select book_id, page_num, chapter_title, chapter_start from pc")
 def _(v):
-    pages = v.f2.select("book_id", "page_num")
-    return C.assign_chapter(pages, C.segment_chapters(v.f2))
+    return C.chapter_of_pages(v.f2, C.segment_chapters(v.f2))
 
 
 @query("c4_page_offsets", f"with {D_PC} select book_id, chapter_start, page_num, char_start, char_start + length(text) as char_end from po")
@@ -58,7 +58,7 @@ def _(v):
        from pr join po on po.book_id = pr.book_id and po.chapter_start = pr.chapter_start and po.char_start <= pr."offset" group by all""",
 )
 def _(v):
-    placed = C.page_offsets(C.assign_chapter(v.f2, C.segment_chapters(v.f2)))
+    placed = cut_lineage(C.page_offsets(C.assign_chapter(v.f2, C.segment_chapters(v.f2))))
     ends = placed.groupBy("book_id", "chapter_start").agg(F.max("char_end").alias("n")).filter("n > 0")
     probes = ends.select("book_id", "chapter_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(700).cast("bigint"))).alias("offset"))
     return C.offset_to_page(probes, placed)

@@ -47,6 +47,7 @@ def stamps(df, *cols):
     f"""select sha256(text) as content_sha, greatest(1, ceil((n - 60) / 240.0))::bigint as n_chunks from (select text, max(len({D_WORDS.format(c='text')})) as n from rawp where text <> '' group by text) where n > 0""",
 )
 def _(v):
+    v = v.for_streams()
     path = scratch(v, "inbox") + "/in"
     pages = v.raw.select("doc_id", "text")
     in_files(pages, path, [f"doc_id % 4 = {i}" for i in range(4)])
@@ -57,6 +58,7 @@ def _(v):
 
 @query("l2_stream_status", "select book_id, arg_max(status, (ts, event_id)) as status from f7 group by book_id")
 def _(v):
+    v = v.for_streams()
     out = run(v, ST.stream_status(log_stream(v)), "update")
     return R.latest_per_key(v.spark, out, ["book_id"]).select("book_id", "status")
 
@@ -66,6 +68,7 @@ def _(v):
     """select strftime(time_bucket(interval '6 hours', ts), '%Y-%m-%d %H:%M:%S') as start, status, count(*) as n, round(max(percent), 6) as max_percent from f7 group by 1, 2""",
 )
 def _(v):
+    v = v.for_streams()
     out = run(v, ST.stream_activity(log_stream(v), "6 hours"), "update")
     rows = R.latest_per_key(v.spark, out, ["start", "status"])
     return stamps(rows, "start").select("start", "status", "n", F.round("max_percent", 6).alias("max_percent"))
@@ -76,6 +79,7 @@ def _(v):
     """select strftime(b - s * interval '6 hours', '%Y-%m-%d %H:%M:%S') as start, status, count(*) as n from (select time_bucket(interval '6 hours', ts) as b, status, unnest([0, 1]) as s from f7) group by 1, 2""",
 )
 def _(v):
+    v = v.for_streams()
     out = run(v, ST.stream_activity(log_stream(v), "12 hours", "6 hours"), "update")
     return stamps(R.latest_per_key(v.spark, out, ["start", "status"]), "start").select("start", "status", "n")
 
@@ -88,6 +92,7 @@ def _(v):
        select book_id, strftime(a, '%Y-%m-%d %H:%M:%S') as start, n from w where b <= (select max(ts) - interval '1 hour' from f7)""",
 )
 def _(v):
+    v = v.for_streams()
     out = run(v, ST.stream_sessions(log_stream(v), "8 hours"), "append")
     return stamps(v.spark.read.parquet(out), "start").select("book_id", "start", "n")
 
@@ -98,7 +103,7 @@ def _(v):
        select book_id, coalesce(t, l).status as status, round(least(100.0, greatest(0.0, coalesce(t, l).percent)), 6) as percent from s""",
 )
 def _(v):
-    R.use_rocksdb(v.spark)
+    v = v.for_streams()
     out = run(v, ST.stream_job_state(log_stream(v)), "update")
     rows = R.latest_per_key(v.spark, out, ["book_id"])
     return rows.select("book_id", "status", F.round("percent", 6).alias("percent"))
@@ -112,6 +117,7 @@ def answer_stream(v, df):
 
 @query("l5_stream_stale", f"with {D_STALE} select qid, len(reasons) > 0 as stale, array_to_string(reasons, ',') as stale_reasons from sr")
 def _(v):
+    v = v.for_streams()
     out = run(v, ST.stream_stale(answer_stream(v, cached(v)), kb(v), MODEL), "append")
     return v.spark.read.parquet(out).select("qid", "stale", F.array_join("stale_reasons", ",").alias("stale_reasons"))
 
@@ -121,6 +127,7 @@ _BLUEPRINT_RULES = ("WordCount", "RequiredSections", "BlueprintCompliance", "Evi
 
 @query("l6_stream_validate", f"{d_report(_BLUEPRINT_RULES)} select qid, passed, round(score, 6) as score, failed_rules from rep")
 def _(v):
+    v = v.for_streams()
     validated = ST.stream_validate(answer_stream(v, v.f5h), disabled=_BLUEPRINT_RULES)
     out = run(v, H.validation_summary(validated), "append")
     return v.spark.read.parquet(out).select("qid", "passed", F.round("score", 6).alias("score"), "failed_rules")

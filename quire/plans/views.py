@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.blocked import number_rows
+from quire.streaming.runs import use_rocksdb
 
 NL = "chr(10)"
 
@@ -101,6 +102,18 @@ class Views:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def for_streams(self) -> "Views":
+        """The same views in a session of their own, set up for stateful streams.
+
+        State is split by the cores of the cluster rather than by the batch setting, and kept in
+        the disk-backed store.
+        """
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.shuffle.partitions", str(self.spark.sparkContext.defaultParallelism))
+        session.conf.set("spark.sql.session.timeZone", "UTC")
+        use_rocksdb(session)
+        return Views(session, self.sf_dir)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
