@@ -48,30 +48,44 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def words_of(text: Column) -> Column:
     """Blank-separated tokens; an all-blank text has none."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    body = strip_blanks(text)
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
+
+
+def count_words(text: Column) -> Column:
+    """Number of tokens without building them as rows or lambdas."""
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim by character set: looks at the two ends only."""
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def rstrip_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    return F.rtrim(text, F.lit(_BLANKS))
 
 
 def squeeze_blanks(text: Column) -> Column:
-    return strip_blanks(F.regexp_replace(text, r"\s+", " "))
+    """Single blanks between tokens; runs that are already one blank are left alone."""
+    return strip_blanks(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
 
 
 def chars_matching(text: Column, char_class: str) -> Column:
-    """How many characters belong to a regular-expression class such as ``\\p{L}``."""
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    """How many characters belong to a regular-expression class such as ``\\p{L}``.
+
+    Whole runs are removed at a time, which is what makes this cheap.
+    """
+    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
 
 
 def char_length_without(text: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[{char_class}]", ""))
+    return F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
 
 
 # --- cleaning -----------------------------------------------------------------------------
@@ -83,12 +97,14 @@ def strip_header_footer(text: Column) -> Column:
 
 
 def _collapse_line(line: Column) -> Column:
-    single = r"\p{L}(?= |$)"
-    first = r"(?<=(?:^| )\p{L}) "
-    # A blank inside a run of three or more single letters sits either after two of them or
-    # before two of them; a blank before such a run is dropped after a longer alphabetic token.
-    inside = rf"(?<=(?:^| )\p{{L}} \p{{L}}) (?={single})|{first}(?=\p{{L}} {single})"
-    glue = rf"(?<=(?:^| )\p{{L}}{{2,200}}) (?=\p{{L}} \p{{L}} {single})"
+    end = r"(?= |$)"
+    # Every rule is about a blank followed by a single letter, so that is tested first.  The blank
+    # goes if it lies inside a run of three or more single letters (two before it, or one before
+    # and two after) or if such a run follows a longer alphabetic token.
+    drop = (
+        rf" (?=\p{{L}}{end})(?:(?<=(?:^| )\p{{L}} \p{{L}} )|(?<=(?:^| )\p{{L}} )(?=\p{{L}} \p{{L}}{end})"
+        rf"|(?=\p{{L}} \p{{L}} \p{{L}}{end})(?<=(?:^| )\p{{L}}{{2,200}} ))"
+    )
 
     def rewrite(s: Column) -> Column:
         all_single = s.rlike(r"^\p{L}(?: \p{L}){2,}$")
@@ -96,7 +112,7 @@ def _collapse_line(line: Column) -> Column:
         return (
             F.when(~s.rlike(r"^\S+ \S+ \S"), line)
             .when(all_single, F.when(joined.rlike(r"\p{Lu}") | (F.length(joined) > 8), joined).otherwise(line))
-            .otherwise(F.regexp_replace(s, f"{inside}|{glue}", ""))
+            .otherwise(F.regexp_replace(s, drop, ""))
         )
 
     return let(squeeze_blanks(line), rewrite)
@@ -127,19 +143,14 @@ def non_alnum_ratio(text: Column) -> Column:
 
 
 def single_char_ratio(text: Column) -> Column:
-    return let(
-        words_of(text),
-        lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(
-            count_where(w, lambda t: F.length(t) == 1) / F.size(w)
-        ),
-    )
+    words = count_words(text)
+    return F.when(words == 0, F.lit(0.0)).otherwise(F.regexp_count(text, F.lit(r"(?<!\S)\S(?!\S)")) / words)
 
 
 def gibberish_score(text: Column) -> Column:
     """0 (readable) to 1 (unusable)."""
 
     def metrics(raw: Column) -> Column:
-        words = words_of(raw)
         return F.struct(
             F.length(raw).cast("double").alias("n"),
             chars_matching(raw, r"\p{L}").cast("double").alias("alpha"),
@@ -147,8 +158,8 @@ def gibberish_score(text: Column) -> Column:
             chars_matching(raw, "aeiouAEIOU").cast("double").alias("vowels"),
             char_length_without(raw, r"\p{L}\p{N}\s.,;:()\[\]\-%/'\"").cast("double").alias("odd"),
             char_length_without(raw, r"\s").cast("double").alias("word_chars"),
-            F.size(words).cast("double").alias("words"),
-            count_where(words, lambda w: w.rlike(r"^\p{L}{3,}$")).cast("double").alias("real"),
+            count_words(raw).cast("double").alias("words"),
+            F.regexp_count(raw, F.lit(r"(?<!\S)\p{L}{3,}+(?!\S)")).cast("double").alias("real"),
         )
 
     def step(cond: Column, value: float) -> Column:
@@ -184,18 +195,22 @@ def layout_table_score(text: Column) -> Column:
             ),
         )
 
-    def metrics(raw: Column, lines: Column) -> Column:
-        n = F.size(lines).cast("double")
-        chars = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)).cast("double")
+    def metrics(t: Column) -> Column:
+        """``t`` holds trimmed, non-blank lines; most counts are single passes over the text."""
+        breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+        n = (breaks + 1).cast("double")
+        chars = (F.length(t) - breaks).cast("double")
+        lines_like = lambda pattern: F.regexp_count(t, F.lit(rf"(?m)^{pattern}$"))
+        with_numbers = F.regexp_extract_all(t, F.lit(r"(?m)^.*\p{Nd}.*\s.*\p{Nd}.*$"), F.lit(0))
         return F.struct(
             n.alias("n"),
             (chars / n).alias("mean"),
-            (count_where(lines, lambda x: F.length(x) <= 28) / n).alias("short"),
-            (chars_matching(raw, r"\p{Nd}") / F.greatest(chars, F.lit(1.0))).alias("digit"),
-            (chars_matching(raw, r"\p{L}") / F.greatest(chars, F.lit(1.0))).alias("alpha"),
-            (count_where(lines, lambda x: x.rlike(r"\S\s{2,}\S")) / n).alias("gaps"),
-            (count_where(lines, lambda x: x.rlike(r"\|.*\||¦")) / n).alias("pipes"),
-            (count_where(lines, data_row) / n).alias("rows"),
+            (lines_like(".{1,28}") / n).alias("short"),
+            (chars_matching(t, r"\p{Nd}") / F.greatest(chars, F.lit(1.0))).alias("digit"),
+            (chars_matching(t, r"\p{L}") / F.greatest(chars, F.lit(1.0))).alias("alpha"),
+            (lines_like(r".*\S[^\S\n]{2,}\S.*") / n).alias("gaps"),
+            (lines_like(r".*(?:\|.*\||¦).*") / n).alias("pipes"),
+            (count_where(with_numbers, data_row) / n).alias("rows"),
         )
 
     def capped(ratio: Column, at: float) -> Column:
@@ -220,8 +235,8 @@ def layout_table_score(text: Column) -> Column:
         return F.least(F.lit(1.0), total * prose * wordy)
 
     def of(raw: Column) -> Column:
-        lines = F.filter(F.transform(lines_of(raw), strip_blanks), lambda x: x != "")
-        return F.when(F.length(raw) < 40, F.lit(0.0)).otherwise(let(lines, lambda ls: let(metrics(raw, ls), score)))
+        lines = F.regexp_replace(raw, r"[^\S\n]*\n\s*", "\n")
+        return F.when(F.length(raw) < 40, F.lit(0.0)).otherwise(let(lines, lambda t: let(metrics(t), score)))
 
     return let(strip_blanks(F.coalesce(text, F.lit(""))), of)
 

@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from quire import lexicon as L
 from quire.functions.arrays import let, run_lengths
 
-# A word boundary that treats accented letters as letters on every Java version.
-_W = r"[\p{L}\p{N}_]"
-BOUNDARY = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
-KEYWORD = rf"{BOUNDARY}[A-Za-z][A-Za-z0-9-]{{3,}}{BOUNDARY}"
-YEAR = rf"{BOUNDARY}(19\d\d|20\d\d|2100){BOUNDARY}"
+# (?U) makes a word boundary treat accented letters as letters on every Java version.
+KEYWORD = r"(?U)\b[A-Za-z][A-Za-z0-9-]{3,}\b"
+YEAR = r"(?U)\b(19[0-9][0-9]|20[0-9][0-9]|2100)\b"
 NUMBER = r"(?<!\d)([1-9]\d{0,2}(?:,\d{3})+|\d{4,})(?!\d)"
 
 
-def keyword_tokens(text: Column) -> Column:
-    """Lower-cased content words of four or more characters, in text order, with repeats."""
-    stop = F.array(*[F.lit(w) for w in L.STOPWORDS if len(w) > 3])
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(KEYWORD), F.lit(0)), lambda t: F.lower(t))
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+def _stopwords() -> Column:
+    return F.array(*[F.lit(w) for w in L.STOPWORDS if len(w) > 3])
+
+
+def word_tokens(text: Column) -> Column:
+    """Lower-cased words of four or more characters, in text order, with repeats."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(KEYWORD), F.lit(0))
+    # Lower-casing the joined tokens is one call instead of one per token.
+    return F.split(F.lower(F.array_join(found, "\n")), "\n")
+
+
+def keywords(text: Column) -> Column:
+    """Distinct content words."""
+    stop = F.concat(_stopwords(), F.array(F.lit("")))
+    return F.array_except(word_tokens(text), stop)
 
 
 def top_keywords(text: Column, n: int = 12) -> Column:
     """Most frequent content words, ties alphabetical; counted inside the row, without a shuffle."""
-    counted = run_lengths(keyword_tokens(text))
-    ranked = F.array_sort(F.transform(counted, lambda c: F.struct((-c["n"]).alias("neg"), c["value"].alias("w"))))
+    counted = run_lengths(word_tokens(text))
+    stop = F.concat(_stopwords(), F.array(F.lit("")))
+    content = F.filter(counted, lambda c: ~F.array_contains(stop, c["value"]))
+    ranked = F.array_sort(F.transform(content, lambda c: F.struct((-c["n"]).alias("neg"), c["value"].alias("w"))))
     return F.transform(F.slice(ranked, 1, n), lambda r: r["w"])
 
 

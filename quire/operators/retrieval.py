@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import let
-from quire.functions.tokens import keyword_tokens
+from quire.functions.tokens import keywords
 
 QUERY_BLOCK = 2048
 CHUNK_BLOCK = 1 << 17
@@ -188,10 +188,6 @@ def metadata_boost(hits: DataFrame, flags: Sequence[str], factor: float = 0.67)
     return adjusted.withColumn("boost_rank", F.row_number().over(order))
 
 
-def question_keywords(text: Column) -> Column:
-    return F.array_distinct(keyword_tokens(text))
-
-
 def heuristic_rerank(
     hits: DataFrame,
     flags: Sequence[str],
@@ -206,7 +202,7 @@ def heuristic_rerank(
     The score is divided by the logarithm of the text length; equal scores keep their order.
     """
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    found = let(text, lambda t: F.size(F.filter(question_keywords(F.col("question_text")), lambda w: F.contains(t, w))))
+    found = let(text, lambda t: F.size(F.filter(keywords(F.col("question_text")), lambda w: F.contains(t, w))))
     if required is None:
         section = F.lit(False)
     else:

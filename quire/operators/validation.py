@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire import lexicon as L
 from quire.functions.arrays import at_or_null, count_where, index_where, let, run_lengths
-from quire.functions.text import lines_of, rstrip_blanks, strip_blanks, words_of
+from quire.functions.text import count_words, lines_of, rstrip_blanks, strip_blanks
 
 # --- fixed values: line forms and marks of the rules ----------------------------------------
 COLON_HEADING = r"^(\s*)([A-Z][A-Za-z][A-Za-z0-9 /&-]{0,60}?):\s*(.*)$"
@@ -46,7 +46,7 @@ def heading_name(line: Column) -> Column:
         F.when(~line.rlike(r"\S") | line.rlike(BULLET_START), F.lit(None).cast("string"))
         .when(line.rlike(COLON_HEADING), strip_blanks(F.regexp_extract(line, COLON_HEADING, 2)))
         .when(line.rlike(BOLD_HEADING), strip_blanks(F.regexp_extract(line, BOLD_HEADING, 1)))
-        .when(line.rlike(TITLE_HEADING) & (F.size(words_of(title)) <= 10), title)
+        .when(line.rlike(TITLE_HEADING) & ~title.rlike(r"^\S+(?:\s+\S+){10}"), title)
     )
 
 
@@ -88,7 +88,7 @@ def section_rows(answers: DataFrame, key: str = "qid") -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words_of(text))
+    return count_words(text)
 
 
 # --- rules ----------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.blocked import number_rows
+from quire.session import fill_cores
 from quire.streaming.runs import use_rocksdb
 
 NL = "chr(10)"
@@ -122,9 +123,13 @@ class Views:
             sql = _named(sql, name)
         return self.spark.sql(sql.replace("{g}", ""), **tables)
 
+    def wide(self, name: str, key: str) -> DataFrame:
+        """A table whose rows are costly to process."""
+        return fill_cores(self.table(name), key)
+
     @cached_property
     def raw(self) -> DataFrame:
-        return self._sql(_RAW_PAGES, documents=self.table("documents"))
+        return self._sql(_RAW_PAGES, documents=self.wide("documents", "doc_id"))
 
     @cached_property
     def f1(self) -> DataFrame:
@@ -149,11 +154,11 @@ class Views:
 
     @cached_property
     def f4(self) -> DataFrame:
-        return self._sql(_F4, conversations=self.table("conversations"))
+        return self._sql(_F4, conversations=self.wide("conversations", "conv_id"))
 
     @cached_property
     def f5(self) -> DataFrame:
-        return self._sql(_F5, conversations=self.table("conversations"))
+        return self._sql(_F5, conversations=self.wide("conversations", "conv_id"))
 
     @cached_property
     def f5h(self) -> DataFrame:

@@ -51,3 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def fill_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer tasks than the cluster has cores.
+
+    A small table in one unsplittable file would keep one core busy and the rest idle.  A large
+    scan has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
