@@ -242,13 +242,19 @@ def detect_bank_format(pages: DataFrame, first_pages: int = 5) -> DataFrame:
 
 
 def select_layout_pages(
-    pages: DataFrame, min_score: float = T.LAYOUT_MIN_SCORE, max_fraction: float = 0.18, max_pages: int = 180
+    pages: DataFrame,
+    min_score: float = T.LAYOUT_MIN_SCORE,
+    max_fraction: float = 0.18,
+    max_pages: int = 180,
+    materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Best table-like pages per book within the budget, with candidate count and ``capped``."""
-    scored = pages.select("book_id", "page_num", F.round(T.layout_table_score(F.col("text")), 4).alias("score"))
+    scored = materialize(
+        pages.select("book_id", "page_num", F.round(T.layout_table_score(F.col("text")), 4).alias("score"))
+    )
     candidates = scored.filter(F.col("score") >= min_score)
     budget = F.least(F.lit(max_pages), F.greatest(F.lit(1), F.floor(F.col("n_pages") * max_fraction)))
-    books = pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    books = scored.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"))
     totals = candidates.groupBy("book_id").agg(F.count(F.lit(1)).alias("candidates"))
     limits = books.join(totals, "book_id").select(
         "book_id", "candidates", budget.alias("budget"), (F.col("candidates") > budget).alias("capped")

@@ -130,6 +130,16 @@ def chunk_metadata(df: DataFrame, text: str = "text") -> DataFrame:
     ).drop("__years")
 
 
+Extractor = Callable[[DataFrame], DataFrame]
+
+
+def enrich(chunks: DataFrame, extractors: Sequence[Extractor] = (chunk_metadata,)) -> DataFrame:
+    """Apply metadata extractors in order; each is a function that adds columns to the chunks."""
+    for extract in extractors:
+        chunks = extract(chunks)
+    return chunks
+
+
 def flatten_metadata(df: DataFrame) -> DataFrame:
     """Nested metadata as scalar columns; lists become comma-joined text."""
     keep = [c for c in df.columns if c != "metadata"]

@@ -72,6 +72,8 @@ def answer_batch(prompts: DataFrame, infer: Infer, key: str = "qid", prompt: str
             for name in ("prompt_tokens", "completion_tokens", "total_tokens"):
                 out[name] = out[name].astype("Int64")
             out["latency_seconds"] = out["latency_seconds"].astype("float64")
+            for name in ("answer_text", "error"):
+                out[name] = [x if isinstance(x, str) else None for x in out[name]]
             out.insert(0, key, pdf[key])
             yield out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,16 @@ def analyze_questions(questions: DataFrame, profile: str = "question", max_secti
     return questions.withColumn("target_sections", F.slice(found, 1, max_sections))
 
 
-def retrieval_plan(analyzed: DataFrame, strategy: str = "adaptive", max_filter_sections: int = 2) -> DataFrame:
-    """Add ``top_k`` and ``filter_names``; a broad question gets no filter."""
+Strategy = Callable[[DataFrame], DataFrame]
+
+
+def retrieval_plan(analyzed: DataFrame, strategy: str | Strategy = "adaptive", max_filter_sections: int = 2) -> DataFrame:
+    """Add ``top_k`` and ``filter_names``; a broad question gets no filter.
+
+    A strategy of one's own is a function that adds the two columns.
+    """
+    if callable(strategy):
+        return strategy(analyzed)
     empty = F.array().cast("array<string>")
     if strategy == "identity":
         return analyzed.withColumns({"top_k": F.lit(8), "filter_names": empty})
@@ -185,7 +193,7 @@ def output_budget(marks: Column, target_words: Column) -> Column:
     )
 
 
-def pipeline_trace(planned: DataFrame, stages: dict[str, Column]) -> DataFrame:
+def stage_trace(planned: DataFrame, stages: dict[str, Column]) -> DataFrame:
     """One row per (question, stage) with the stage output as JSON."""
     entries = F.array(
         *[F.struct(F.lit(i + 1).alias("stage_no"), F.lit(n).alias("stage"), c.alias("output")) for i, (n, c) in enumerate(stages.items())]
@@ -205,5 +213,5 @@ __all__ = [
     "evidence_categories",
     "select_questions",
     "output_budget",
-    "pipeline_trace",
+    "stage_trace",
 ]

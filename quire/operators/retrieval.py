@@ -10,7 +10,7 @@ more blocks, and the final ranking is a per-question limit that Spark applies be
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -301,13 +301,14 @@ def retrieve(
     planned: DataFrame,
     chunks: DataFrame,
     flags: Sequence[str],
-    semantic: str = "identity",
+    semantic: str | Callable[[DataFrame], DataFrame] = "identity",
     top_n: int | None = None,
 ) -> DataFrame:
     """Ranked hits for planned questions: filtered neighbours, metadata boost, semantic rerank.
 
     ``planned`` carries qid, subject, qvec, question_text, target_sections, top_k, filter_names and,
-    for the heuristic reranker, optionally required_categories.
+    for the heuristic reranker, optionally required_categories.  A reranker of one's own is a
+    function from hits (with ``boost_rank`` and chunk text) to hits with ``final_rank``.
     """
     hits = knn_topk(planned, chunks, "top_k", "filter_names", flags)
     wanted = [c for c in ("question_text", "target_sections", "top_k", "filter_names", "required_categories") if c in planned.columns]
@@ -315,6 +316,9 @@ def retrieve(
     boosted = metadata_boost(hits.join(info, "qid"), flags)
     if semantic == "identity":
         out = identity_rerank(boosted, "boost_rank", top_n).withColumn("final_rank", F.col("boost_rank"))
+    elif callable(semantic):
+        out = semantic(boosted.join(chunks.select("chunk_id", "text"), "chunk_id", "left"))
+        out = out if top_n is None else out.filter(F.col("final_rank") <= max(top_n, 0))
     elif semantic == "heuristic":
         with_text = boosted.join(chunks.select("chunk_id", "text"), "chunk_id", "left")
         required = "required_categories" if "required_categories" in wanted else None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import extraction as E
+from quire.operators.packing import pack_pages
 from quire.plans.queries_text import D_SQUEEZE, D_STRIP, D_WORDS
 from quire.plans.registry import query
 
@@ -134,6 +135,18 @@ def _(v):
     return out.select("doc_id", F.col("batch_no").cast("bigint"), "batch")
 
 
+@query(
+    "e9_pack_pages",
+    """with recursive s as (select book_id, page_num, length(text) + 2 as n from f1),
+       r as (select book_id, page_num, 1::bigint as b, n::bigint as used from s where page_num = 1
+         union all select s.book_id, s.page_num, case when r.used + s.n > 9000 then r.b + 1 else r.b end, case when r.used + s.n > 9000 then s.n else r.used + s.n end
+         from r join s on s.book_id = r.book_id and s.page_num = r.page_num + 1)
+       select book_id, page_num, b as batch_no from r""",
+)
+def _(v):
+    return pack_pages(v.f1)
+
+
 @query(
     "e10_dedupe_questions",
     f"""with a as (select qid, subject, 0 as src, conv_id * 100 + turn as p, substring(question_text, 1, 1 + cast(conv_id % 9 as int)) as t from f4),

@@ -132,7 +132,7 @@ def _(v):
 
 
 @query(
-    "q7_pipeline_trace",
+    "q7_stage_trace",
     f"""with {D_BP}, b as (select qid, string_agg(name, '|' order by section_no) as names, cast(sum(words) as bigint) as words from bp group by qid),
       p as (select b.qid, names, words, f4.marks, cast(len(({D_TARGETS})[1:4]) as int) as n from b join f4 on f4.qid = b.qid)
       select qid, 1::bigint as stage_no, 'planner' as stage, concat('{{"words":', cast(words as varchar), '}}') as output from p
@@ -154,7 +154,7 @@ def _(v):
         "writer": F.to_json(F.struct(F.lit(750).alias("long_words"), F.lit(375).alias("short_words"))),
         "validator": F.to_json(F.struct(F.lit(12).alias("rule_count"))),
     }
-    return Q.pipeline_trace(planned, stages).withColumn("stage_no", F.col("stage_no").cast("bigint"))
+    return Q.stage_trace(planned, stages).withColumn("stage_no", F.col("stage_no").cast("bigint"))
 
 
 @query(

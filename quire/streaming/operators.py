@@ -92,7 +92,7 @@ class JobState(StatefulProcessor):
         old_first = (old[2], old[3]) <= (new[2], new[3])
         return old if old_first == old_final else new
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = tuple(self.state.get()) if self.state.exists() else None
         if stored is not None and (stored[0] in TERMINAL or stored[0] == "timeout"):
             return
@@ -112,7 +112,7 @@ class JobState(StatefulProcessor):
                 self.handle.registerTimer(int(current[2].timestamp() * 1000) + self.deadline_ms)
         yield self.row(key, current)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
         status, percent, ts, event_id = self.state.get()

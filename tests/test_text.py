@@ -1,0 +1,93 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.functions import tokens as K
+
+
+@pytest.fixture
+def on(spark):
+    def run(fn, *texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        return [r.x for r in df.select("i", fn(F.col("t")).alias("x")).orderBy("i").collect()]
+
+    return run
+
+
+def test_header_and_footer_lines_go(on):
+    assert on(T.strip_header_footer, "a\n12\nPage 3 of 9\n\n b 4", " 7 ") == ["a\n\n b 4", ""]
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("D E P A R T M E N T", "DEPARTMENT"),
+        ("a b c d e f g", "a b c d e f g"),
+        ("a b c d e f g h i", "abcdefghi"),
+        ("Vi r u l e n c e is", "Virulence is"),
+        ("x 1. a b c end", "x 1. abc end"),
+        ("I am a man", "I am a man"),
+        ("a b", "a b"),
+        ("  two   words here ", "two words here"),
+        ("É T U D E", "ÉTUDE"),
+    ],
+)
+def test_letter_spacing(on, raw, want):
+    assert on(T.collapse_letter_spacing, raw) == [want]
+
+
+def test_clean_text(on):
+    assert on(T.clean_text, "  A  B\n\n\n\nend \t\n42\n", None) == ["A B\n\nend", ""]
+
+
+def test_gibberish_bounds(on):
+    blank, short, good, bad = on(
+        T.gibberish_score, "   ", "short", "The quick brown fox jumps over the lazy dog and runs away again.", "#$% @@ ^^ && ** (( !! ~~ ## 11 22 33 %% ^^"
+    )
+    assert (blank, short, good) == (1.0, 0.85, 0.0) and bad > 0.8
+
+
+def test_layout_score_prefers_tables(on):
+    prose = "This is a normal paragraph of prose that keeps going for quite a while without any numbers at all.\n" * 6
+    table = "\n".join(f"row {i}  | {i * 3} | {i * 7} | {i}.5" for i in range(30))
+    low, high, tiny = on(T.layout_table_score, prose, table, "1 2 3")
+    assert low < 0.2 < 0.48 < high <= 1.0 and tiny == 0.0
+
+
+def test_names(on):
+    assert on(T.infer_subject, "in/Forensic_notes.pdf", "psm/x.pdf", "y.pdf") == ["fmt", "psm", "unknown"]
+    assert on(T.title_from_path, "a/b/my_book-two.pdf") == ["My Book-Two"]
+    assert on(T.safe_stem, "My bank (v2).pdf", "???") == ["Mybankv2.pdf", "bank"]
+    assert on(T.is_kebab, "a-b2", "A-b", "a--b") == [True, False, False]
+
+
+def test_question_text(on):
+    out = on(T.clean_question_text, "3. Write on  fever 275 Jo7(OS)", "Section 304-A IPC", "Define shock CA 31, D02")
+    assert out == ["Write on fever.", "Section 304-A IPC", "Define shock."]
+
+
+def test_multipart(on):
+    out = on(T.is_multipart, "What? Why?", "Discuss x", "Describe a and list b", "x? Mention y")
+    assert out == [True, False, True, True]
+
+
+def test_query_expansion(on):
+    assert on(T.expand_query, "Plain", "Adolescent care")[0] == "Plain"
+    assert on(T.expand_query, "Adolescent care")[0].startswith("Adolescent care\nRKSK")
+
+
+def test_tidy_answer(on):
+    out = on(T.tidy_answer, "Done well enough to be kept as a sentence.\n- \n• HBNC is", "All good here, a full sentence.\n**Orphan**", "")
+    assert out == ["Done well enough to be kept as a sentence.", "All good here, a full sentence.", ""]
+
+
+def test_split_tokens_merge(on):
+    assert on(T.merge_split_tokens, "M ostimportant th e cat", "a b c") == ["Mostimportant the cat", "ab c"]
+
+
+def test_keywords_years_numbers(on, spark):
+    text = "In 1999 and 2150 and 1999 there were 1,200,000 and 1200000 and 10500 and 999 cases."
+    df = spark.createDataFrame([(text,)], "t string").withColumn("y", K.important_years(F.col("t")))
+    row = df.select("y", K.important_numbers(F.col("t"), F.col("y")).alias("n")).first()
+    assert row.y == [1999] and row.n == ["2150", "1,200,000", "10500"]
+    assert on(lambda c: F.array_join(K.top_keywords(c, 2), ","), "Beta alpha beta this that gamma") == ["beta,alpha"]
