@@ -34,7 +34,7 @@ def test_own_reranker(spark, sf_dir):
 
 
 def test_partition_count_does_not_matter(spark, sf_dir):
-    from quire.plans.registry import queries
+    from quire.plans.catalog import queries
 
     def run(n):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
