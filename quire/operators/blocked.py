@@ -15,17 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-_B = "__block"
+_B, _C = "__block", "__carry"
 
 
-def _null_safe_join(df: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
-    cond = None
-    renamed = side
-    for key in on:
-        renamed = renamed.withColumnRenamed(key, f"__r_{key}")
-        part = df[key].eqNullSafe(F.col(f"__r_{key}"))
-        cond = part if cond is None else cond & part
-    return df.join(renamed, cond, "left").drop(*[f"__r_{key}" for key in on])
+def _insert_carry(blocked: DataFrame, carry: DataFrame) -> DataFrame:
+    """Add the carry row of every block to its rows, marked by ``__carry``.
+
+    The carry travels as one more row of the block, so the big side needs no join: the window
+    shuffle by (group, block) is the only time it moves, and null group keys behave like any other.
+    """
+    return blocked.withColumn(_C, F.lit(0)).unionByName(carry.withColumn(_C, F.lit(1)), allowMissingColumns=True)
 
 
 def with_block(df: DataFrame, order: str | Column, width: int = BLOCK) -> DataFrame:
@@ -41,9 +40,11 @@ def number_rows(
     counts = blocked.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, _B, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inner = Window.partitionBy(*keys, _B).orderBy(order, *ties)
-    joined = _null_safe_join(blocked, offsets, [*keys, _B])
-    return joined.withColumn(out, (F.col("__off") + F.row_number().over(inner)).cast("bigint")).drop(_B, "__off")
+    inner = Window.partitionBy(*keys, _B).orderBy(F.desc(_C), order, *ties)
+    frame = inner.rowsBetween(Window.unboundedPreceding, 0)
+    weight = F.when(F.col(_C) == 1, F.col("__off")).otherwise(F.lit(1))
+    rows = _insert_carry(blocked, offsets).withColumn(out, F.sum(weight).over(frame).cast("bigint"))
+    return rows.filter(F.col(_C) == 0).drop(_B, _C, "__off")
 
 
 def running_sum(
@@ -62,12 +63,16 @@ def running_sum(
     carry = totals.select(
         *keys, _B, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__c_{o}") for o in sums]
     )
-    inner = Window.partitionBy(*keys, _B).orderBy(*order)
+    inner = Window.partitionBy(*keys, _B).orderBy(F.desc(_C), *order)
     frame = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = _null_safe_join(blocked, carry, [*keys, _B])
-    return joined.withColumns(
-        {o: (F.coalesce(F.sum(c).over(frame), F.lit(0)) + F.col(f"__c_{o}")).cast("bigint") for o, c in sums.items()}
-    ).drop(_B, *[f"__c_{o}" for o in sums])
+    is_carry = F.col(_C) == 1
+    rows = _insert_carry(blocked, carry).withColumns(
+        {
+            o: F.coalesce(F.sum(F.when(is_carry, F.col(f"__c_{o}")).otherwise(c)).over(frame), F.lit(0)).cast("bigint")
+            for o, c in sums.items()
+        }
+    )
+    return rows.filter(~is_carry).drop(_B, _C, *[f"__c_{o}" for o in sums])
 
 
 def last_seen(
@@ -104,17 +109,24 @@ def _seen(df, keys, order, values, block_on, width, inclusive, forward):
         *[pick(c, F.when(c.isNotNull(), position)).alias(f"__e_{o}") for o, c in values.items()]
     )
     whole = Window.partitionBy(*keys).orderBy(_B)
-    inner = Window.partitionBy(*keys, _B).orderBy(*order)
     if forward:
         beyond = whole.rowsBetween(Window.unboundedPreceding, -1)
+        inner = Window.partitionBy(*keys, _B).orderBy(F.desc(_C), *order)
         frame = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        choose = lambda c: F.last(c, ignorenulls=True)
+        choose = F.last
     else:
         beyond = whole.rowsBetween(1, Window.unboundedFollowing)
+        inner = Window.partitionBy(*keys, _B).orderBy(_C, *order)
         frame = inner.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-        choose = lambda c: F.first(c, ignorenulls=True)
-    carry = edge.select(*keys, _B, *[choose(F.col(f"__e_{o}")).over(beyond).alias(f"__c_{o}") for o in values])
-    joined = _null_safe_join(blocked, carry, [*keys, _B])
-    return joined.withColumns(
-        {o: F.coalesce(choose(c).over(frame), F.col(f"__c_{o}")) for o, c in values.items()}
-    ).drop(_B, *[f"__c_{o}" for o in values])
+        choose = F.first
+    carry = edge.select(
+        *keys, _B, *[choose(F.col(f"__e_{o}"), ignorenulls=True).over(beyond).alias(f"__c_{o}") for o in values]
+    )
+    is_carry = F.col(_C) == 1
+    rows = _insert_carry(blocked, carry).withColumns(
+        {
+            o: choose(F.when(is_carry, F.col(f"__c_{o}")).otherwise(c), ignorenulls=True).over(frame)
+            for o, c in values.items()
+        }
+    )
+    return rows.filter(~is_carry).drop(_B, _C, *[f"__c_{o}" for o in values])

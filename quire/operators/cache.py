@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire import lexicon as L
 from quire.functions.text import safe_stem
 from quire.operators.blocked import last_seen
+from quire.session import inline_lookup
 
 # Names of the reasons.
 MISSING_VERSIONS = "missing_versions_field"
@@ -54,13 +55,23 @@ def stale_reasons(
     embedding_model: str,
     current: Mapping[str, int] = L.COMPONENT_VERSIONS,
     subject: str = "subject",
+    inline: bool = True,
 ) -> DataFrame:
     """Add ``stale_reasons``: why an answer no longer matches the current components and corpus.
 
     ``versions`` is a map column, ``kb`` holds (subject, revision); a subject without a revision
-    counts as 0.
+    counts as 0.  Revisions are one row per subject and go into the plan as literals, so answers
+    of a dominating subject are not shuffled together; with ``inline=False`` (streams, where the
+    table must be read again with every batch) or for a large table they are joined.
     """
-    joined = answers.join(kb.select(subject, F.col("revision").alias("__rev")), subject, "left")
+    revisions = inline_lookup(kb, subject, "revision") if inline else None
+    if revisions is None:
+        joined = answers.join(kb.select(subject, F.col("revision").alias("__rev")), subject, "left")
+    elif revisions:
+        pairs = F.create_map(*[F.lit(x) for kv in revisions.items() for x in kv])
+        joined = answers.withColumn("__rev", F.try_element_at(pairs, F.col(subject)))
+    else:
+        joined = answers.withColumn("__rev", F.lit(None).cast("int"))
     rev = F.coalesce("__rev", F.lit(0))
     drift = lambda c: F.lit(f"{c}_version_drift")
     without = [F.lit(MISSING_VERSIONS), *[drift(c) for c, v in current.items() if v != 0]]

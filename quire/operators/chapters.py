@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import at_or_null
-from quire.functions.text import lines_of, strip_blanks
+from quire.functions.text import count_words, lines_of, strip_blanks
 from quire.operators.blocked import last_seen, next_seen, running_sum
 from quire.session import cut_lineage
 
@@ -27,9 +27,31 @@ def first_heading(text: Column) -> Column:
     return at_or_null(F.filter(lines, lambda x: x.rlike(HEADING)), 1)
 
 
+def page_facts(pages: DataFrame, materialize: Materialize = cut_lineage) -> DataFrame:
+    """Everything chapters and windows need to know about a page, from one pass over its text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return materialize(
+        pages.select(
+            *KEYS,
+            "page_num",
+            first_heading(text).alias("title"),
+            count_words(text).cast("bigint").alias("n"),
+            (text != "").alias("filled"),
+            text.rlike(r"^\S").alias("opens"),
+            text.rlike(r"\S\z").alias("closes"),
+        )
+    )
+
+
 def segment_chapters(pages: DataFrame, title_from: str = "book_id", materialize: Materialize = cut_lineage) -> DataFrame:
-    """Contiguous chapters of every book: title, start_page, end_page, confidence."""
-    marked = materialize(pages.select(*KEYS, "page_num", first_heading(F.col("text")).alias("title")))
+    """Contiguous chapters of every book: title, start_page, end_page, confidence.
+
+    Takes pages with text or the result of :func:`page_facts`.
+    """
+    if "title" in pages.columns:
+        marked = pages
+    else:
+        marked = materialize(pages.select(*KEYS, "page_num", first_heading(F.col("text")).alias("title")))
     books = marked.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.count("title").alias("n_headings"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import lexicon as L
 from quire.functions import tokens as K
-from quire.functions.text import words_of
+from quire.functions.text import count_words, words_of
 from quire.operators.blocked import last_seen, running_sum
 from quire.session import cut_lineage
 
@@ -21,6 +21,8 @@ def chunk_windows(
     size: int = 1000,
     overlap: int = 200,
     keys: Sequence[str] = CHAPTER_KEYS,
+    chapters: DataFrame | None = None,
+    facts: DataFrame | None = None,
     glue_pages: bool = True,
     materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
@@ -30,6 +32,9 @@ def chunk_windows(
     range in the chapter; each page then contributes slices to the windows it touches, and a
     window gathers at most ``size`` tokens.  With ``glue_pages`` the pages follow each other
     without a separator, so a word cut by a page break is one token.
+
+    ``chapters`` is the narrow result of ``chapter_of_pages`` and ``facts`` that of ``page_facts``;
+    without them the pages carry the chapter keys themselves.  Page text is joined once, at the end.
     """
     if size <= 0:
         raise ValueError("size must be positive")
@@ -37,20 +42,25 @@ def chunk_windows(
         raise ValueError("overlap must satisfy 0 <= overlap < size")
     step = size - overlap
     keys = list(keys)
-    text = F.col("text")
-    filled = pages.filter(F.length(F.coalesce(text, F.lit(""))) > 0)
-
-    # Narrow per-page statistics; read by several stages, so written once.
-    stats = filled.select(
-        *keys,
-        "page_num",
-        F.size(words_of(text)).cast("bigint").alias("n"),
-        text.rlike(r"^\S").alias("opens"),
-        text.rlike(r"\S$").alias("closes"),
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    at = ["book_id", "page_num"] if chapters is not None else [*keys, "page_num"]
+
+    # Narrow per-page facts; read by several stages, so written once.
+    if facts is None:
+        facts = pages.select(
+            *at,
+            count_words(text).cast("bigint").alias("n"),
+            (text != "").alias("filled"),
+            text.rlike(r"^\S").alias("opens"),
+            text.rlike(r"\S\z").alias("closes"),
+        )
+    stats = facts.filter("filled")
+    if chapters is not None:
+        stats = stats.drop("title").join(chapters, at)
+    named = [c for c in ("chapter_title",) if chapters is not None]
     stats = last_seen(stats, keys, ["page_num"], {"before": F.col("closes")}, inclusive=False)
     joins = F.coalesce(F.col("before") & F.col("opens"), F.lit(False)) if glue_pages else F.lit(False)
-    stats = materialize(stats.select(*keys, "page_num", "n", joins.cast("int").alias("cont")))
+    stats = materialize(stats.select(*keys, "page_num", *named, "n", joins.cast("int").alias("cont")))
     fresh = F.col("n") - F.col("cont")
     placed = running_sum(stats, keys, ["page_num"], {"upto": fresh})
     totals = stats.groupBy(*keys).agg(F.sum(fresh).alias("total")).filter("total > 0")
@@ -63,9 +73,12 @@ def chunk_windows(
     hi = F.least(F.col("w_max"), F.floor(F.col("last") / F.lit(step))).cast("bigint")
     ranges = ranges.withColumns({"w_lo": lo, "w_hi": hi}).filter("w_lo <= w_hi")
 
-    carried = [c for c in pages.columns if c not in (*keys, "page_num", "text")]
+    side = ranges.select(*keys, "page_num", *named, "first", "last", "cont", "w_lo", "w_hi")
+    carried = [c for c in ("subject", "chapter_title") if c in pages.columns or c in named]
+    own = [c for c in (*at, "subject", "chapter_title", "text") if c in pages.columns and c not in named]
     slices = (
-        filled.join(ranges.select(*keys, "page_num", "first", "last", "cont", "w_lo", "w_hi"), [*keys, "page_num"])
+        pages.select(*own)
+        .join(side, at)
         .withColumn("__tokens", words_of(text))
         .withColumn("window_no", F.explode(F.sequence("w_lo", "w_hi")))
     )
@@ -84,7 +97,7 @@ def chunk_windows(
         (end + 1).alias("__end"),
     )
     windows = slices.groupBy(*keys, "window_no").agg(
-        *[F.first(c).alias(c) for c in carried if c in ("subject", "chapter_title")],
+        *[F.first(c).alias(c) for c in carried],
         F.array_sort(F.collect_list("__s")).alias("__parts"),
         F.min("__s.page_num").alias("page_start"),
         F.max("__s.page_num").alias("page_end"),

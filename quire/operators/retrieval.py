@@ -86,7 +86,13 @@ def _vectors(col) -> np.ndarray:
 def _block_topk(queries: pa.Table, chunks: pa.Table) -> pa.Table:
     """Best k chunks of one block for every question of one block."""
     schema = pa.schema(
-        [("qid", pa.string()), ("chunk_id", pa.string()), ("distance", pa.float64()), ("flags_mask", pa.int64())]
+        [
+            ("qid", pa.string()),
+            ("chunk_id", pa.string()),
+            ("distance", pa.float64()),
+            ("flags_mask", pa.int64()),
+            ("top_k", pa.int64()),
+        ]
     )
     if queries.num_rows == 0 or chunks.num_rows == 0:
         return schema.empty_table()
@@ -124,7 +130,7 @@ def _block_topk(queries: pa.Table, chunks: pa.Table) -> pa.Table:
         cols_out.append(j[keep])
         dist_out.append(exact[keep])
     r, j, d = np.concatenate(rows_out), np.concatenate(cols_out), np.concatenate(dist_out)
-    return pa.table([pa.array(qids[r]), pa.array(ids[j]), pa.array(d), pa.array(have[j])], schema=schema)
+    return pa.table([pa.array(qids[r]), pa.array(ids[j]), pa.array(d), pa.array(have[j]), pa.array(k[r])], schema=schema)
 
 
 def knn_topk(
@@ -159,14 +165,13 @@ def knn_topk(
     near = (
         qb.groupBy(*keys)
         .cogroup(cb.groupBy(*keys))
-        .applyInArrow(_block_topk, "qid string, chunk_id string, distance double, flags_mask bigint")
+        .applyInArrow(_block_topk, "qid string, chunk_id string, distance double, flags_mask bigint, top_k bigint")
     )
     order = Window.partitionBy("qid").orderBy("distance", "chunk_id")
     ranked = near.withColumn("rank", F.row_number().over(order))
-    if isinstance(k, int):
-        return ranked.filter(F.col("rank") <= k)
-    limits = q.select("qid", "top_k")
-    return ranked.join(limits, "qid").filter(F.col("rank") <= F.col("top_k")).drop("top_k")
+    # The largest k as a constant lets Spark cut every question before the shuffle.
+    most = k if isinstance(k, int) else (q.agg(F.max("top_k")).first()[0] or 0)
+    return ranked.filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("top_k")).drop("top_k")
 
 
 # --- reranking ----------------------------------------------------------------------------

@@ -21,10 +21,9 @@ def build_chunks(
 ) -> DataFrame:
     """Clean pages, find chapters, cut windows, add ids and metadata."""
     clean = pages.clean_pages(page_table)
-    placed = chapters.assign_chapter(clean, chapters.segment_chapters(clean))
-    cut = chunks.chunk_windows(
-        placed.select("subject", "book_id", "chapter_start", "chapter_title", "page_num", "text"), size, overlap
-    )
+    facts = chapters.page_facts(clean)
+    placed = chapters.chapter_of_pages(facts, chapters.segment_chapters(facts))
+    cut = chunks.chunk_windows(clean, size, overlap, chapters=placed, facts=facts)
     cid = chunks.chunk_id(F.col("book_id"), F.col("page_start"), F.col("page_end"), F.col("text"))
     return chunks.enrich(cut.withColumn("chunk_id", cid), extractors)
 

@@ -79,8 +79,9 @@ D_WIN = f"""{D_PC}, full_t as (select book_id, chapter_start, any_value(chapter_
 
 
 def windows(v, size=SIZE, overlap=OVERLAP):
-    pages = C.assign_chapter(v.f2, C.segment_chapters(v.f2))
-    return W.chunk_windows(pages.select("subject", "book_id", "chapter_start", "chapter_title", "page_num", "text"), size, overlap)
+    facts = C.page_facts(v.f2)
+    placed = C.chapter_of_pages(facts, C.segment_chapters(facts))
+    return W.chunk_windows(v.f2, size, overlap, chapters=placed, facts=facts)
 
 
 @query(

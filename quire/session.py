@@ -63,3 +63,12 @@ def fill_cores(df: DataFrame, key: str) -> DataFrame:
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
+
+
+MAX_INLINE_ROWS = 1000
+
+
+def inline_lookup(df: DataFrame, key: str, value: str) -> dict | None:
+    """A configuration table as a dictionary for use in plan literals; None if it is too large."""
+    rows = df.select(key, value).limit(MAX_INLINE_ROWS + 1).collect()
+    return None if len(rows) > MAX_INLINE_ROWS else {r[0]: r[1] for r in rows}

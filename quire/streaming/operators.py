@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.operators import cache, chunks, validation
+from quire.session import inline_lookup
 
 TERMINAL = ("succeeded", "failed")
 
@@ -140,8 +141,14 @@ def stream_job_state(log: DataFrame, delay: str = "1 hour", deadline_ms: int | N
 
 
 def stream_stale(answers: DataFrame, revisions: DataFrame, embedding_model: str) -> DataFrame:
-    """Staleness of arriving answers against the current corpus revisions (stream-static join)."""
-    return cache.mark_stale(answers, revisions, embedding_model)
+    """Staleness of arriving answers against the current corpus revisions.
+
+    A stream-static join: the revisions are read again with every batch.  They are broadcast after
+    a check that they are one short row per subject.
+    """
+    if inline_lookup(revisions, "subject", "revision") is not None:
+        revisions = F.broadcast(revisions)
+    return cache.mark_stale(answers, revisions, embedding_model, inline=False)
 
 
 def stream_validate(answers: DataFrame, disabled=()) -> DataFrame:
