@@ -195,7 +195,8 @@ def chapter_heading(line: Column) -> Column:
         usable = (F.length(s) <= 90) & ~s.rlike(QUESTION_NUMBER) & ~s.endswith("?") & s.rlike(CHAPTER_LINE)
         return F.when(usable, let(words, titled))
 
-    return let(T.squeeze_blanks(line), of)
+    # Nearly every line fails at its first word; only the others are looked at closely.
+    return F.when(line.rlike(r"(?i)^\s*(?:SECTION|CHAPTER|UNIT|PART)\s"), let(T.squeeze_blanks(line), of))
 
 
 BY_BANK = 0

@@ -298,13 +298,15 @@ def grounding(
 
 def truncation(ctx: Context, rule: str) -> Column:
     def issues(text: Column) -> Column:
-        last = strip_blanks(F.regexp_extract(text, r"([^\n]*)\z", 1))
+        last = strip_blanks(F.substring_index(text, "\n", -1))
+        # An ending is at most a few words: only the tail is searched for it.
+        tail = F.when(F.length(text) > 40, F.substring(text, -40, 40)).otherwise(text)
         fences = F.size(F.split(text, "```")) - 1
         return F.array_compact(
             F.array(
                 F.when(fences % 2 == 1, "code fence"),
-                F.when(text.rlike(OPEN_ENDING), "open ending"),
-                F.when(text.rlike(r"[•\-–—]\s*$"), "empty bullet"),
+                F.when(tail.rlike(OPEN_ENDING), "open ending"),
+                F.when(tail.rlike(r"[•\-–—]\s*$"), "empty bullet"),
                 F.when(last.rlike(r"^[•\-–—*]\s+\S") & ~last.rlike(CLOSED_ENDING) & (F.length(last) < 80), "cut bullet"),
                 F.when(text.endswith("...") | text.endswith("…"), "ellipsis"),
             )
