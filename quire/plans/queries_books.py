@@ -180,14 +180,14 @@ def _(v):
 
 @query(
     "d11_page_ranges",
-    """with recursive s as (select book_id, page_num, row_number() over (partition by book_id order by page_num) as i from f1 where page_num <= 180 and doc_id % 4 <> 1),
+    f"""with recursive {D_SEL}, s as (select book_id, page_num, row_number() over (partition by book_id order by page_num) as i from sel),
        r as (select book_id, i, page_num as lo, page_num as hi from s where i = 1
          union all select s.book_id, s.i, case when s.page_num - r.hi <= 2 and s.page_num - r.lo < 28 then r.lo else s.page_num end, s.page_num
          from r join s on s.book_id = r.book_id and s.i = r.i + 1)
-       select book_id, lo as start_page, max(hi) as end_page, printf('auto_%04d_%04d', lo, max(hi)) as name from r group by book_id, lo""",
+       select book_id, lo as start_page, max(hi) as end_page, printf('auto_%04d_%04d', lo, max(hi)) as name from r group by book_id, lo""".replace("0.18::double", "0.9::double").replace("score >= 0.1", "score >= 0.0"),
 )
 def _(v):
-    return D.page_ranges(v.f1.filter("page_num <= 180 and doc_id % 4 <> 1"))
+    return D.page_ranges(D.select_layout_pages(v.f1, min_score=0.0, max_fraction=0.9))
 
 
 @query(

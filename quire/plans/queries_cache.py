@@ -108,16 +108,23 @@ def _(v):
     return I.cache_status(marked(v), with_total=True)
 
 
+_BY_QID = "module = 'm1' and qid in (select qid from f4 where conv_id % 2 = 0)"
+_QIDS = "qid in (select qid from f4 where conv_id % 3 = 0)"
+
+
 @query(
     "i8_evict",
-    """select 'by_qid' as mode, count(*) as kept, (select count(*) from f5 where module = 'm1' and qid in (select qid from f4 where conv_id % 2 = 0)) as removed from f5 where not (module = 'm1' and qid in (select qid from f4 where conv_id % 2 = 0))
-       union all select 'module', count(*), (select count(*) from f5 where module = 'm2') from f5 where module <> 'm2'
-       union all select 'qids', count(*), (select count(*) from f5 where qid in (select qid from f4 where conv_id % 3 = 0)) from f5 where qid not in (select qid from f4 where conv_id % 3 = 0)""",
+    " union all ".join(
+        f"select '{mode}' as mode, 'kept' as part, count(*) as n from f5 where not ({cond}) union all select '{mode}', 'removed', count(*) from f5 where {cond}"
+        for mode, cond in (("by_qid", _BY_QID), ("module", "module = 'm2'"), ("qids", _QIDS))
+    ),
 )
 def _(v):
     def shown(mode, **kw):
         kept, removed = I.evict(v.f5, **kw)
-        return kept.agg(F.count(F.lit(1)).alias("kept")).crossJoin(removed).select(F.lit(mode).alias("mode"), "kept", "removed")
+        part = lambda df, name: df.select(F.lit(mode).alias("mode"), F.lit(name).alias("part"), F.col("n"))
+        left = part(kept.agg(F.count(F.lit(1)).alias("n")), "kept")
+        return left.unionByName(part(removed.withColumnRenamed("removed", "n"), "removed"))
 
     evens, thirds = v.f4.filter("conv_id % 2 = 0"), v.f4.filter("conv_id % 3 = 0")
     return (

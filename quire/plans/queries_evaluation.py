@@ -89,11 +89,11 @@ def _(v):
     return out.select("qid", F.col("answer_chars").cast("bigint"), F.col("answer_words").cast("bigint"), "chunks", "general_fallback")
 
 
-D_SUITE = "suite as (select chapter as module, qid, subject, case when conv_id % 4 = 0 then null else 10 end as marks, case conv_id % 3 when 0 then 'easy' when 1 then 'medium' else 'hard' end as difficulty, conv_id from f4 where turn < 4)"
+D_SUITE = "suite as (select chapter as module, qid, subject, case when conv_id % 4 = 0 then null else 10 end as marks, case conv_id % 3 when 0 then 'easy' when 1 then 'medium' else 'hard' end as difficulty, conv_id from f4)"
 
 
 def suite(v):
-    return v.f4.filter("turn < 4").select(
+    return v.f4.select(
         F.col("chapter").alias("module"), "qid", "subject",
         F.expr("case when conv_id % 4 = 0 then null else 10 end").alias("marks"),
         F.expr("case conv_id % 3 when 0 then 'easy' when 1 then 'medium' else 'hard' end").alias("difficulty"),
@@ -132,11 +132,11 @@ def _(v):
 
 @query(
     "j7_list_runs",
-    f"with {D_SUM} select concat('run-', run_id) as run_id, n_records, n_success, n_failure, round(cache_hit_rate, 6) as cache_hit_rate, total_tokens, round(avg_total_latency_seconds, 6) as avg_total_latency_seconds from sm where run_id in ('A', 'R')",
+    f"with {D_SUM} select concat('run-', run_id) as run_id, n_records, n_success, n_failure, round(cache_hit_rate, 6) as cache_hit_rate, total_tokens, round(avg_total_latency_seconds, 6) as avg_total_latency_seconds from sm",
 )
 def _(v):
     root = scratch(v, "runs")
-    for run in ("A", "R"):
+    for run in ("A", "N", "R"):
         records = v.f8.filter(F.col("run_id") == run)
         S.write_benchmark_run(records, J.benchmark_summary(records), root, f"run-{run}")
     out = S.list_runs(v.spark, root)

@@ -149,16 +149,16 @@ def _(v):
 
 @query(
     "e10_dedupe_questions",
-    f"""with a as (select qid, subject, 0 as src, conv_id * 100 + turn as p, substring(question_text, 1, 1 + cast(conv_id % 9 as int)) as t from f4),
-       b as (select qid, subject, 1 as src, conv_id * 100 + turn as p, upper(concat(' ', substring(question_text, 1, 2 + cast(conv_id % 7 as int)))) as t from f4),
+    f"""with a as (select qid, subject, 0 as src, conv_id * 100 + turn as p, case when conv_id % 9 = 0 then 'abc' else question_text end as t from f4),
+       b as (select qid, subject, 1 as src, conv_id * 100 + turn as p, case when conv_id % 5 = 0 then concat(question_text, '  more') else translate(concat(' ', question_text), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') end as t from f4),
        u as (select * from a union all select * from b),
        r as (select *, row_number() over (partition by subject, lower({D_SQUEEZE.format(c='t')}) order by src, p) as rn from u where length(t) >= 4)
        select subject, qid, src::bigint as source_no, t as question_text from r where rn = 1""",
 )
 def _(v):
     pos = (F.col("conv_id") * 100 + F.col("turn")).alias("p")
-    a = v.f4.select("qid", "subject", pos, F.expr("substring(question_text, 1, 1 + cast(conv_id % 9 as int))").alias("question_text"))
-    b = v.f4.select("qid", "subject", pos, F.expr("upper(concat(' ', substring(question_text, 1, 2 + cast(conv_id % 7 as int))))").alias("question_text"))
+    a = v.f4.select("qid", "subject", pos, F.expr("case when conv_id % 9 = 0 then 'abc' else question_text end").alias("question_text"))
+    b = v.f4.select("qid", "subject", pos, F.expr("case when conv_id % 5 = 0 then concat(question_text, '  more') else translate(concat(' ', question_text), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') end").alias("question_text"))
     out = E.dedupe_questions([a, b], ["subject"], "p")
     return out.select("subject", "qid", F.col("source_no").cast("bigint"), "question_text")
 
@@ -187,12 +187,12 @@ _REPLY_SQL = f"""select qid, conv_id, case conv_id % 4
     when 1 then concat('```json', chr(10), 'Here: [', {_ITEM}, ']', chr(10), '```')
     when 2 then concat('[', {_ITEM}, ', {{{{"question_text": "cut {{{{ off, "o": {{{{"a": "b"}}}}')
     else concat('Sorry, no questions: ', qt) end as reply
-  from (select qid, conv_id, substring(regexp_replace(question_text, '[^A-Za-z ]', ''), 1, 30) as qt, cast(coalesce(marks, 3) as string) as m from {{f4}})"""
+  from (select qid, conv_id, regexp_replace(question_text, '[^A-Za-z ]', '') as qt, cast(coalesce(marks, 3) as string) as m from {{f4}})"""
 
 
 @query(
     "e12_parse_reply_corpus",
-    """with r as (select qid, conv_id, substring(regexp_replace(question_text, '[^A-Za-z ]', '', 'g'), 1, 30) as qt, cast(coalesce(marks, 3) as varchar) as m from f4)
+    """with r as (select qid, conv_id, regexp_replace(question_text, '[^A-Za-z ]', '', 'g') as qt, cast(coalesce(marks, 3) as varchar) as m from f4)
        select qid, case conv_id % 4 when 0 then 'clean' when 1 then 'clean' else 'salvaged' end as outcome, i as item_no, qt as question_text, m as marks, 'a {b' as chapter
        from (select *, unnest(case when conv_id % 4 = 0 then [1, 2] else [1] end)::bigint as i from r where conv_id % 4 < 3)
        union all select qid, 'lost', 0, null, null, null from r where conv_id % 4 = 3""",

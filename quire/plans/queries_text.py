@@ -155,8 +155,8 @@ def _(v):
 
 @query(
     "b9_choose_page_text",
-    """with native as (select book_id, doc_id, case when doc_id % 5 = 0 then substring(text, 1, 60) else text end as text from rawp),
-         ocr as (select book_id, doc_id, substring(text, 1, 40 + cast(doc_id % 90 as int)) as text from rawp where doc_id % 2 = 0)
+    """with native as (select book_id, doc_id, case when doc_id % 5 = 0 then '' when doc_id % 7 = 0 then 'Scanned page' else text end as text from rawp),
+         ocr as (select book_id, doc_id, case when doc_id % 3 = 0 then '' else concat('OCR: ', text) end as text from rawp where doc_id % 2 = 0)
        select n.doc_id,
          case when length(n.text) >= 100 or o.text is null or length(o.text) <= length(n.text) then n.text else o.text end as longer_text,
          case when length(n.text) >= 100 or o.text is null or length(o.text) <= length(n.text) then 'text' else 'ocr' end as longer_method,
@@ -164,10 +164,10 @@ def _(v):
        from native n left join ocr o on n.book_id = o.book_id and n.doc_id = o.doc_id""",
 )
 def _(v):
-    cut = F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 60)).otherwise(F.col("text"))
-    native = v.raw.select("book_id", "doc_id", cut.alias("text"))
+    poor = F.expr("case when doc_id % 5 = 0 then '' when doc_id % 7 = 0 then 'Scanned page' else text end")
+    native = v.raw.select("book_id", "doc_id", poor.alias("text"))
     ocr = v.raw.filter("doc_id % 2 = 0").select(
-        "book_id", "doc_id", F.expr("substring(text, 1, 40 + cast(doc_id % 90 as int))").alias("text")
+        "book_id", "doc_id", F.expr("case when doc_id % 3 = 0 then '' else concat('OCR: ', text) end").alias("text")
     )
     both = P.choose_page_text(native, ocr, on=["book_id", "doc_id"], prefer=("longer", "ocr"))
     return both.select("doc_id", "longer_text", "longer_method", "ocr_method")
@@ -319,11 +319,8 @@ def _(v):
        g as (select *, i - sum(case when pair then 1 else 0 end) over (partition by doc_id order by i) as isl from p),
        r as (select *, case when pair then row_number() over (partition by doc_id, isl, pair order by i) end as pos from g),
        m as (select *, coalesce(pair and pos % 2 = 1, false) as glued from r)
-       select doc_id, string_agg(case when glued then tok else concat(tok, ' ') end, '' order by i) as text0, rtrim(string_agg(case when glued then tok else concat(tok, ' ') end, '' order by i), ' ') as text
-       from m group by doc_id""".replace(
-        "string_agg(case when glued then tok else concat(tok, ' ') end, '' order by i) as text0, rtrim(string_agg(case when glued then tok else concat(tok, ' ') end, '' order by i), ' ') as text",
-        "rtrim(string_agg(case when glued then tok else concat(tok, ' ') end, '' order by i), ' ') as text",
-    ),
+       select doc_id, rtrim(string_agg(case when glued then tok else concat(tok, ' ') end, '' order by i), ' ') as text
+       from m group by doc_id""",
 )
 def _(v):
     return v.raw.select("doc_id", F.rtrim(T.merge_split_tokens(F.col("text"))).alias("text"))
@@ -331,11 +328,11 @@ def _(v):
 
 @query(
     "b18_options_to_text",
-    """select doc_id, concat('a) ', 'alpha', chr(10), 'b) ', substring(text, 1, 12), chr(10), 'c) ', source) as options_text from documents""",
+    """select doc_id, concat('a) ', 'alpha', chr(10), 'b) ', text, chr(10), 'c) ', source) as options_text from documents""",
 )
 def _(v):
     opts = F.create_map(
-        F.lit("c"), F.col("source"), F.lit("a"), F.lit("alpha"), F.lit("b"), F.substring("text", 1, 12)
+        F.lit("c"), F.col("source"), F.lit("a"), F.lit("alpha"), F.lit("b"), F.col("text")
     )
     return v.table("documents").select("doc_id", T.options_to_text(opts).alias("options_text"))
 
