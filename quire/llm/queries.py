@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, language, packing, secrets, url_rules
+from quire.llm import bpe, exact_dedup, jaccard, knn, language, packing, secrets, substrings, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.report(table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -61,13 +73,49 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_exact_topk": op3_exact_topk,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_language_id": op10_language_id,
 }
 
+OP2 = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
+), starts_ as (
+  select doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) as h
+  from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50)
+), gone as (
+  select doc_id, list(distinct i + k) as places
+  from (select doc_id, i, min(doc_id) over (partition by h) as first_ from starts_), range(0, 50) r(k)
+  where first_ < doc_id group by doc_id
+), marked as (
+  select w.doc_id, words, coalesce(places, []) as places from w left join gone using (doc_id)
+), cut as (
+  select doc_id, len(words) as n_words, len(places) as n_removed, words, list_filter(range(1, len(words) + 1), lambda i: not list_contains(places, i)) as stays from marked
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed,
+  sha256(array_to_string(list_transform(stays, lambda i: words[i]), ' ')) as kept_sha256
+from cut
+"""
+
+OP3 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) as bigint) as score
+  from v q join v d on q.vec_id % 100 = 0 and d.vec_id <> q.vec_id
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+)
+select * from r where rank <= 10
+"""
+
 OP5 = r"""
 with t as (
   select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents
@@ -157,4 +205,4 @@ from t left join listed using (doc_id) group by doc_id
 """
 
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5, "op6_url_filters": OP6, "op9_secret_scans": _op9()}
+ORACLES: dict[str, str] = {"op3_exact_topk": OP3, "op2_substring_dedup": OP2, "op5_exact_dedup": OP5, "op6_url_filters": OP6, "op9_secret_scans": _op9()}
