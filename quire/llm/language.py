@@ -56,10 +56,10 @@ def _symbol_map() -> np.ndarray:
 _SYMBOL = _symbol_map()
 
 
-def context_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def context_codes(column: pa.Array, table: np.ndarray = _SYMBOL, wide: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The three classes before each byte as one number, the byte's own class, and where rows end."""
     data, ends = text_bytes(column)
-    symbols = _SYMBOL[data].astype(np.int32)
+    symbols = table[data].astype(np.int32)
     begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     code = np.zeros(len(symbols), np.int32)
     for back in range(ORDER, 0, -1):
@@ -68,7 +68,7 @@ def context_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for k in range(back):
             early = begins + k
             one[early[early < len(symbols)]] = 0
-        code = code * SYMBOLS + one
+        code = code * wide + one
     return code, symbols, ends
 
 
