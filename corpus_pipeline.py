@@ -1,27 +1,55 @@
-"""From raw documents to packed training sequences: five stages, each written and read again."""
+"""From raw documents to packed training sequences: five stages, each written and read again.
+
+Every stage works on all rows that the one before it kept.  Stages 1-4 return the columns of
+``documents``; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm import exact_dedup, jaccard, language, packing, secrets
 from quire.llm.tables import keep
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a predictable language (no text, or no letters) go; the labels teach the model."""
+    named = language.predict(docs, language.train(docs), pred="__lang", score="__score")
+    return named.where(F.col("__lang") != "und").drop("__lang", "__score")
+
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of texts that are equal but for white space stays."""
-    from quire.llm import exact_dedup
-
     return exact_dedup.unique(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the Jaccard join the document with the smallest id stays."""
+    return jaccard.representatives(docs)
+
+
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets found in its text are masked."""
-    from quire.llm import secrets
+    """Every document stays; the secrets found in its text are masked."""
+    hidden = secrets.redact(docs)
+    return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
+
 
-    return secrets.redact(docs)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.report(docs, TOKENIZER)
 
 
-STAGES = [("exact dedup", exact_copies), ("secret scans", secret_spans)]
+STAGES = [
+    ("language id", language_id),
+    ("exact dedup", exact_copies),
+    ("jaccard join", near_copies),
+    ("secret scans", secret_spans),
+    ("packing", packed),
+]
 
 #: Language prediction and packing have no SQL form; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
