@@ -30,7 +30,9 @@ from quire.llm.words import batches, mix, padded, span_hash, text_bytes
 #: A longer text is encoded in pieces of about this many bytes.
 LONG_TEXT = 8 << 20
 #: Distinct tokens outside the vocabulary whose ids a worker remembers, twice at most.
-CACHE = 250_000
+CACHE = 150_000
+#: Ids decoded at once.
+SLICE = 400_000
 
 
 class PerfectHash:
@@ -217,12 +219,15 @@ def rank_codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> list[bytes]:
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in a row, and by id where each starts and how long it is (0: no token)."""
     ranks = rank_file(path)
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    lengths = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+    by_id = [b""] * len(lengths)
     for token, rank in ranks.items():
-        out[rank] = token
-    return out
+        by_id[rank] = token
+        lengths[rank] = len(token)
+    return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -247,13 +252,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     schema = StructType(df.schema.fields[:]).add(out, "binary")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(path).__getitem__
+        table, offsets, lengths = token_bytes(path)
         for batch in stream:
-            column = batch.column(ids)
-            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
-            sizes = np.fromiter((0 if x is None else x for x in column.value_lengths().to_pylist()), np.int64, len(column))
-            ends = np.cumsum(sizes).tolist()
-            texts = [b"".join(map(token, flat[end - size : end])) for end, size in zip(ends, sizes.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out])
+            sizes = batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, at = np.cumsum(sizes), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                part = batch.slice(at, to - at)
+                flat = part.column(ids).flatten().to_numpy(zero_copy_only=False)
+                known = (flat >= 0) & (flat < len(lengths))
+                if not known.all() or not lengths[flat].all():
+                    raise ValueError(f"an id stands for no token of {path}")
+                n = lengths[flat]
+                stops = np.cumsum(n)
+                place = np.arange(int(n.sum())) + np.repeat(offsets[flat] - (stops - n), n)
+                row_ends = np.concatenate([[0], stops])[np.cumsum(sizes[at:to])]
+                buffers = [None, pa.py_buffer(np.concatenate([[0], row_ends]).astype(np.int32)), pa.py_buffer(table[place])]
+                texts = pa.Array.from_buffers(pa.binary(), to - at, buffers)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out])
+                at = to
 
     return df.mapInArrow(run, schema)

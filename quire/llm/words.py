@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
