@@ -45,19 +45,27 @@ class Packer:
     (key, start, length, sequence, offset)."""
 
     def __init__(self, limits: Limits, pool: int, first_sequence: int):
-        self.limits, self.pool, self.sequence = limits, pool, first_sequence
+        self.limits, self.pool, self.next = limits, pool, first_sequence
         self.size = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.keys = np.zeros(pool, np.int64)
         self.start = np.zeros(pool, np.int64)
         self.left = np.zeros(pool, np.int64)
         self.loss = np.zeros(pool, np.int64)
         self.n = 0
+        self.open()
+
+    def number(self) -> int:
+        self.next += 1
+        return self.next - 1
+
+    def open(self) -> None:
+        """A new sequence; its number is taken with its first piece."""
+        self.sequence, self.used, self.segments, self.bearing = None, 0, 0, 0
 
     def add(self, key: int, length: int, loss: int) -> Iterator[tuple[int, int, int, int, int]]:
         start, most = 0, self.limits
         while length - start >= most.tokens and min(loss, length - start) - min(loss, length - start - most.tokens) <= most.loss:
-            yield key, start, most.tokens, self.sequence, 0
-            self.sequence += 1
+            yield key, start, most.tokens, self.number(), 0
             start += most.tokens
         if start == length:
             return
@@ -65,41 +73,45 @@ class Packer:
         self.keys[k], self.start[k], self.left[k], self.loss[k] = key, start, length - start, min(loss, length - start)
         self.n += 1
         while self.n == self.pool:
-            yield from self.fill()
+            yield self.place()
 
     def flush(self) -> Iterator[tuple[int, int, int, int, int]]:
         while self.n:
-            yield from self.fill()
+            yield self.place()
 
-    def fill(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """One sequence, as full as the pool allows."""
-        used, segments, loss, most = 0, 0, 0, self.limits
-        while used < most.tokens and segments < most.segments and self.n:
+    def place(self) -> tuple[int, int, int, int, int]:
+        """One piece, into the open sequence if anything of the pool goes in there."""
+        most = self.limits
+        while True:
             left, bears = self.left[: self.n], self.loss[: self.n]
-            space = np.array([most.tokens - used, most.segments - segments, most.loss - loss])
-            fits = (left <= space[0]) & (bears <= space[2])
-            if fits.any():
-                weight = space / self.size**2
-                k = int(np.argmax(np.where(fits, left * weight[0] + weight[1] + bears * weight[2], -1.0)))
-                take = int(left[k])
-            else:
-                # The head of an example: its tokens before the loss-bearing ones, then as many of those as may be.
-                heads = np.minimum(space[0], left - bears + space[2])
-                k = int(np.argmax(heads))
-                take = int(heads[k])
-                if take <= 0:
-                    break
-            yield int(self.keys[k]), int(self.start[k]), take, self.sequence, used
-            rest = int(left[k]) - take
-            bearing = int(bears[k]) - min(int(bears[k]), rest)
-            used, segments, loss = used + take, segments + 1, loss + bearing
-            if rest:
-                self.start[k], self.left[k], self.loss[k] = self.start[k] + take, rest, min(int(bears[k]), rest)
-            else:
-                self.n -= 1
-                for column in (self.keys, self.start, self.left, self.loss):
-                    column[k] = column[self.n]
-        self.sequence += 1
+            space = np.array([most.tokens - self.used, most.segments - self.segments, most.loss - self.bearing])
+            take = 0
+            if space[0] > 0 and space[1] > 0:
+                fits = (left <= space[0]) & (bears <= space[2])
+                if fits.any():
+                    weight = space / self.size**2
+                    k = int(np.argmax(np.where(fits, left * weight[0] + weight[1] + bears * weight[2], -1.0)))
+                    take = int(left[k])
+                else:
+                    # The head of an example: tokens before its loss-bearing ones, then as many of those as may be.
+                    heads = np.minimum(space[0], left - bears + space[2])
+                    k = int(np.argmax(heads))
+                    take = int(heads[k])
+            if take > 0:
+                break
+            self.open()
+        if self.sequence is None:
+            self.sequence = self.number()
+        piece = int(self.keys[k]), int(self.start[k]), take, self.sequence, self.used
+        rest, loss = int(left[k]) - take, int(bears[k])
+        self.used, self.segments, self.bearing = self.used + take, self.segments + 1, self.bearing + loss - min(loss, rest)
+        if rest:
+            self.start[k], self.left[k], self.loss[k] = self.start[k] + take, rest, min(loss, rest)
+        else:
+            self.n -= 1
+            for column in (self.keys, self.start, self.left, self.loss):
+                column[k] = column[self.n]
+        return piece
 
 
 def pack(
