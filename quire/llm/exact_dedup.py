@@ -99,11 +99,23 @@ def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 
 def unique(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns.
+    """The rows that stay, with all their columns; of rows that share id and text one stays.
 
-    Dropped rows are found by id; rows that repeat an id are told apart by the place they were read
-    from, which is why the same scan serves both sides.
+    Only the (few) decided ids and digests meet the rows again, not their places in a scan, so the input
+    may be any plan.
     """
-    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
-    gone = groups(df, text, doc_id).where(~F.col("kept")).select("at").hint("shuffle_hash")
-    return marked.join(gone, "at", "left_anti").select("row.*")
+    found = groups(df, text, doc_id).groupBy("id", "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    decided = keep(found.where("not stays or n > 1"), "decided")
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.col(doc_id).alias("own"),
+        F.unhex(F.sha2(F.encode(normalised(F.col(text)), "utf-8"), 256)).alias("mark"),
+        F.struct(F.length(text), F.col(text)).alias("size"),
+    )
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("digest"))
+    out = rows.join(decided.hint("shuffle_hash"), same, "left_anti").select("row")
+    again = decided.where("stays")
+    if not again.isEmpty():
+        twice = rows.join(again.hint("shuffle_hash"), same, "left_semi").groupBy("own", "mark").agg(F.max_by("row", "size").alias("row"))
+        out = out.unionByName(twice.select("row"))
+    return out.select("row.*")

@@ -117,8 +117,8 @@ def entropy_spans(found: str, classes: dict = CLASSES, allowed: tuple[str, ...]
     return f"flatten(transform({free}, f -> transform({spans}, s -> struct(f.start + s.lo as start, {len(KINDS) - 1} as kind, f.start + s.hi as end))))"
 
 
-def scan(df: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Adds ``secret_spans``: start, kind (index into KINDS) and end of every span, in order."""
+def scan(df: DataFrame, text: str = "text", spans: str = "secret_spans", **options) -> DataFrame:
+    """Adds ``spans``: start, kind (index into KINDS) and end of every span, in order."""
     out = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     for name, pattern, test in (
         ("__assign", ASSIGN, "length(g) >= 12"),
@@ -129,7 +129,7 @@ def scan(df: DataFrame, text: str = "text", **options) -> DataFrame:
         out = matches(out, "__text", name, pattern, test)
     out = out.withColumn("__access", F.expr("filter(__access, f -> length(f.m) >= 18)"))
     base = [f"transform({name}, f -> struct(f.start as start, {kind} as kind, f.end as end))" for kind, name in enumerate(("__assign", "__access", "__hex"))]
-    out = out.withColumn("secret_spans", F.expr(f"cast(array_sort(concat({', '.join(base)}, {entropy_spans('__candidate', **options)})) as {SPANS})"))
+    out = out.withColumn(spans, F.expr(f"cast(array_sort(concat({', '.join(base)}, {entropy_spans('__candidate', **options)})) as {SPANS})"))
     return out.drop("__text", "__assign", "__access", "__hex", "__candidate")
 
 
@@ -154,10 +154,10 @@ def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options)
 def redact(df: DataFrame, text: str = "text", mask: str = "[secret]", **options) -> DataFrame:
     """All rows and columns, with ``mask`` in place of every span in ``text``; spans that touch are one."""
     hide = (
-        f"aggregate(secret_spans, named_struct('at', 0, 'parts', cast(array() as array<string>)), "
+        f"aggregate(__spans, named_struct('at', 0, 'parts', cast(array() as array<string>)), "
         f"(a, s) -> named_struct('at', greatest(a.at, s.end), 'parts', if(a.at > 0 and s.start <= a.at, a.parts, "
         f"concat(a.parts, array(substring(`{text}`, a.at + 1, s.start - a.at)))))"
         f", a -> array_join(concat(a.parts, array(substring(`{text}`, a.at + 1))), r\"{mask}\"))"
     )
-    out = scan(df, text, **options)
-    return out.withColumn(text, F.when(F.size("secret_spans") > 0, F.expr(hide)).otherwise(F.col(text))).drop("secret_spans")
+    out = scan(df, text, "__spans", **options)
+    return out.withColumn(text, F.when(F.size("__spans") > 0, F.expr(hide)).otherwise(F.col(text))).drop("__spans")
