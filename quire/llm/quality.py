@@ -154,7 +154,7 @@ class Shard:
 
 
 def score_shard(df: DataFrame, rows: DataFrame, shard: int, shards: int) -> DataFrame:
-    """at, bits: of the positions of each text whose language and last two classes fall into ``shard``."""
+    """id, lang, mark, n, bits: of the positions of each text whose last two classes fall into ``shard``."""
     near = (F.col("level") < 3) | (F.col("level").isin(11, 12))
     last_two = F.when(F.col("level").isin(3, 4), F.floor(F.col("key") / SYMBOLS)).otherwise(F.col("key"))
     place = F.pmod(F.pmod(last_two, F.lit(SYMBOLS**2)), F.lit(shards))
@@ -180,21 +180,24 @@ def score_shard(df: DataFrame, rows: DataFrame, shard: int, shards: int) -> Data
                     total = np.bincount(rows[take], weights=cost[which], minlength=len(ends))
                 sizes = np.diff(ends, prepend=0)
                 known = pa.array(np.where((row_lang >= 0) & (sizes > 0), total, np.nan).astype(np.float64), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([part.column("at"), known, pa.array(sizes)], ["at", "bits", "n"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "lang", "mark")], known, pa.array(sizes)], ["id", "lang", "mark", "bits", "n"])
 
-    return df.select("at", "lang", "text").mapInArrow(run, "at long, bits double, n long")
+    asked = df.select("id", "lang", F.xxhash64("text").alias("mark"), "text")
+    return asked.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, lang string, mark long, bits double, n long")
 
 
 def perplexity(df: DataFrame, rows: DataFrame, n_rows: int) -> DataFrame:
-    """at, n (bytes), bits (per byte, in thousandths; null without model or text) of rows (at, lang, text)."""
+    """id, lang, n (bytes), bits (per byte, in thousandths; null without model or text) of rows (id, lang, text)."""
     shards = max(1, -(-n_rows // SHARD))
-    out = None
-    for k in range(shards):
-        one = score_shard(df, rows, k, shards)
-        out = one if out is None else out.unionByName(one)
+    out = score_shard(df, rows, 0, shards)
     if shards > 1:
-        out = out.groupBy("at").agg(F.sum("bits").alias("bits"), F.max("n").alias("n"))
-    return out.select("at", "n", F.round(F.col("bits") / F.col("n") / 1000).cast("int").alias("bits"))
+        for k in range(1, shards):
+            out = out.unionByName(score_shard(df, rows, k, shards))
+        # Rows alike in all of this come once per shard each and have equal bits.
+        times = (F.count("*") / shards).cast("int")
+        out = out.groupBy("id", "lang", "mark", "n").agg((F.sum("bits") / times).alias("bits"), F.expr(f"sequence(1, int(count(*) / {shards}))").alias("times"))
+        out = out.select("id", "lang", "n", "bits", F.explode("times"))
+    return out.select("id", "lang", "n", F.round(F.col("bits") / F.col("n") / 1000).cast("int").alias("bits"))
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -211,13 +214,12 @@ def classify(
 ) -> DataFrame:
     """Per row: doc_id, perplexity, threshold, kept, learned from rows whose labels have quality 1 and toxic 0."""
     language: Column = F.coalesce(F.col(lang).cast("string"), F.lit(""))
-    rows = df.select(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("at"), language.alias("lang"), F.col(text).alias("text"))
+    rows = df.select(F.col(doc_id).alias("id"), language.alias("lang"), F.col(text).alias("text"))
     good = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t"))
     good = good.where("q = 1 and t = 0").select("id")
     trusted = rows.where("text is not null").join(good.hint("shuffle_hash"), "id", "left_semi")
     table = keep(model(trusted.select("lang", "text")), "kneser-ney")
-    bits = perplexity(rows, table, table.where("level in (3, 4, 13, 14)").count())
-    scored = keep(rows.select("id", "at", "lang").join(bits, "at"), "perplexity")
+    scored = keep(perplexity(rows, table, table.where("level in (3, 4, 13, 14)").count()), "perplexity")
     edges = thresholds(scored.join(good, "id", "left_semi"), quantile)
     out = scored.join(F.broadcast(edges), "lang", "left")
     limit = F.col("edge") * (1 + margin)
