@@ -26,10 +26,15 @@ _F2_TEXT = """concat(
   'In ', cast(1950 + doc_id % 120 as string), '  there were ', cast(1000 + doc_id % 9000 as string), ' cases.   ', chr(10), chr(10), chr(10), chr(10),
   text, chr(10), cast(page_num as string))"""
 
-_F3_TEXT = """concat(
-  case when page_num % 3 = 1 then concat('Section ', substring('ABCD', cast(1 + doc_id % 4 as int), 1), ' ', cast(5 + 5*(doc_id % 2) as string), ' marks', chr(10)) else '' end,
-  '1. ', substring(regexp_replace(text, '[^A-Za-z ]', ''{g}), 1, 40), ' (a) ', 'one', ' (b) ', 'two', ' (c) three', case when doc_id % 2 = 0 then ' Key: b' else '' end, chr(10),
-  '2. Discuss ', substring(regexp_replace(text, '[^A-Za-z ]', ''{g}), 41, 40), chr(10))"""
+# The whole text as questions: every 600 letters give a question with options and one without.
+_LETTERS = "regexp_replace(text, '[^A-Za-z ]', ''{g})"
+_QUESTIONS = "regexp_replace(" + _LETTERS + ", '(.{{1,300}})(.{{0,300}})', concat('1. {{1}} (a) one (b) two (c) three{key}', chr(10), '2. Discuss {{2}}', chr(10)){{g}})"
+
+_F3_TEXT = (
+    "concat(case when page_num % 3 = 1 then concat('Section ', substring('ABCD', cast(1 + doc_id % 4 as int), 1), ' ', "
+    "cast(5 + 5*(doc_id % 2) as string), ' marks', chr(10)) else '' end, "
+    "case when doc_id % 2 = 0 then " + _QUESTIONS.format(g="{g}", key=" Key: b") + " else " + _QUESTIONS.format(g="{g}", key="") + " end)"
+)
 
 # Bank text with chapter and tier headings on top of the question pages.
 _F3H_TEXT = """concat(
@@ -40,7 +45,7 @@ _F3H_TEXT = """concat(
 
 _F4 = f"""select concat('q', lpad(cast(conv_id*100+turn as string), 7, '0')) as qid, {_SUBJECT4.format(c='conv_id')} as subject,
   case when turn % 4 = 2 then 'mcq' else 'theory' end as type, case conv_id % 3 when 0 then 5 when 1 then 10 else null end as marks,
-  concat(substring(text,1,80), case conv_id % 6 when 0 then ' Discuss the management and etiology.' when 1 then ' Describe the diagnosis?' when 2 then ' Classification with diagram and prevention and statistics' when 3 then ' national programme NHM? Mention the epidemiology?' when 4 then ' clinical features of the disorder' else '' end) as question_text,
+  concat(text, case conv_id % 6 when 0 then ' Discuss the management and etiology.' when 1 then ' Describe the diagnosis?' when 2 then ' Classification with diagram and prevention and statistics' when 3 then ' national programme NHM? Mention the epidemiology?' when 4 then ' clinical features of the disorder' else '' end) as question_text,
   concat('ch', cast(conv_id % 5 as string)) as chapter, conv_id, turn from conversations where role = 'user'"""
 
 _F5 = f"""select concat('q', lpad(cast(conv_id*100+turn-1 as string), 7, '0')) as qid, concat('m', cast(conv_id % 7 as string)) as module, concat('ch', cast(conv_id % 5 as string)) as chapter,
@@ -62,7 +67,7 @@ _F8 = """select concat('m', cast(l_suppkey % 5 as string)) as module, concat('q'
 _F9 = """select concat(lang,'-',source) as book_id, lang as subject, count(*) as pages, cast(floor(count(*) * 1.2) as int) as chunks, min(doc_id) as first_doc, case when min(doc_id) % 4 = 0 then 'archived' else null end as archived_at from documents group by lang, source"""
 
 _QV = """select f4.qid, f4.subject, f4.type, f4.marks, f4.question_text, f4.chapter, f4.conv_id, f4.turn, e.embedding as qvec
-  from f4 join embeddings e on e.vec_id = (f4.conv_id * 7 + f4.turn) % 200"""
+  from f4 join embeddings e on e.vec_id = (f4.conv_id * 7 + f4.turn) % {vectors}"""
 
 # Answers with their question, a target, a source text and a few more names and layout elements.
 _F5H = """select f5.qid, f5.module, f5.chapter, f5.subject, f5.conv_id, f5.marks, f4.type as qtype, f4.question_text, f4.marks as question_marks,
@@ -75,7 +80,11 @@ _RAW_PAGES = """select lang as subject, concat(lang,'-',source) as book_id, case
 
 
 def _duck(sql: str) -> str:
-    return sql.replace("as string)", "as varchar)").replace("{g}", ", 'g'")
+    return sql.replace("as string)", "as varchar)").replace("{g}", ", 'g'").replace("{1}", "\\1").replace("{2}", "\\2").replace("{vectors}", "(select count(*) from embeddings)")
+
+
+def _spark(sql: str) -> str:
+    return sql.replace("{g}", "").replace("{1}", "$1").replace("{2}", "$2")
 
 
 DUCK_VIEWS: dict[str, str] = {
@@ -121,7 +130,7 @@ class Views:
     def _sql(self, sql: str, **tables: DataFrame) -> DataFrame:
         for name in tables:
             sql = _named(sql, name)
-        return self.spark.sql(sql.replace("{g}", ""), **tables)
+        return self.spark.sql(_spark(sql), **tables)
 
     def wide(self, name: str, key: str) -> DataFrame:
         """A table whose rows are costly to process."""
@@ -137,7 +146,7 @@ class Views:
 
     def _with_text(self, base: DataFrame, text_sql: str) -> DataFrame:
         return base.select(
-            "subject", "book_id", "page_num", "doc_id", F.expr(text_sql.replace("{g}", "")).alias("text")
+            "subject", "book_id", "page_num", "doc_id", F.expr(_spark(text_sql)).alias("text")
         )
 
     @cached_property
@@ -182,7 +191,8 @@ class Views:
 
     @cached_property
     def qv(self) -> DataFrame:
-        return self._sql(_QV, f4=self.f4, embeddings=self.table("embeddings"))
+        vectors = self.table("embeddings")
+        return self._sql(_QV.replace("{vectors}", str(max(1, vectors.count()))), f4=self.f4, embeddings=vectors)
 
 
 def _named(sql: str, name: str) -> str:
