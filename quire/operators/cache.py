@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quire import lexicon as L
 from quire.functions.text import safe_stem
 from quire.operators.blocked import last_seen
-from quire.session import inline_lookup
 
 # Names of the reasons.
 MISSING_VERSIONS = "missing_versions_field"
@@ -55,23 +54,15 @@ def stale_reasons(
     embedding_model: str,
     current: Mapping[str, int] = L.COMPONENT_VERSIONS,
     subject: str = "subject",
-    inline: bool = True,
 ) -> DataFrame:
     """Add ``stale_reasons``: why an answer no longer matches the current components and corpus.
 
     ``versions`` is a map column, ``kb`` holds (subject, revision); a subject without a revision
-    counts as 0.  Revisions are one row per subject and go into the plan as literals, so answers
-    of a dominating subject are not shuffled together; with ``inline=False`` (streams, where the
-    table must be read again with every batch) or for a large table they are joined.
+    counts as 0 and of several the highest counts.  The revisions are joined, reduced to one short
+    row per subject; as a table of that size they are broadcast by Spark's own size rule.
     """
-    revisions = inline_lookup(kb, subject, "revision") if inline else None
-    if revisions is None:
-        joined = answers.join(kb.select(subject, F.col("revision").alias("__rev")), subject, "left")
-    elif revisions:
-        pairs = F.create_map(*[F.lit(x) for kv in revisions.items() for x in kv])
-        joined = answers.withColumn("__rev", F.try_element_at(pairs, F.col(subject)))
-    else:
-        joined = answers.withColumn("__rev", F.lit(None).cast("int"))
+    revisions = kb.groupBy(subject).agg(F.max("revision").alias("__rev"))
+    joined = answers.join(revisions, subject, "left")
     rev = F.coalesce("__rev", F.lit(0))
     drift = lambda c: F.lit(f"{c}_version_drift")
     without = [F.lit(MISSING_VERSIONS), *[drift(c) for c, v in current.items() if v != 0]]
@@ -159,7 +150,8 @@ def bump_kb_revision(revisions: DataFrame, subjects: DataFrame) -> DataFrame:
 
 def group_by_bank(answers: DataFrame, banks: DataFrame, single: str = "Single answers") -> DataFrame:
     """Group label per answer: its bank if the module is one, else a common group; banks sort first."""
-    named = banks.select(F.col("name").alias("__bank"), safe_stem(F.col("name")).alias("__module")).dropDuplicates(["__module"])
+    # Of names that give the same module the first in order stands for all.
+    named = banks.groupBy(safe_stem(F.col("name")).alias("__module")).agg(F.min("name").alias("__bank"))
     joined = answers.join(named, F.col("module") == F.col("__module"), "left")
     return joined.withColumns(
         {"is_bank": F.col("__bank").isNotNull(), "group_label": F.coalesce("__bank", F.lit(single))}

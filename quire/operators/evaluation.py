@@ -49,21 +49,24 @@ def stub_answer(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
 def answer_batch(prompts: DataFrame, infer: Infer, key: str = "qid", prompt: str = "prompt") -> DataFrame:
     """Run ``infer`` over batches of prompts; a failing prompt becomes a row with ``error``.
 
-    A batch that fails is tried again prompt by prompt, so one bad prompt costs only itself.
+    A batch that fails, or that does not give one reply per prompt, is tried again prompt by prompt,
+    so one bad prompt costs only itself and no prompt gets the reply of another.
     """
     names = [f.split()[0] for f in ANSWER_FIELDS.split(", ")]
 
+    def replies_to(texts: list[str]) -> list[dict]:
+        replies = list(infer(texts))
+        if len(replies) != len(texts):
+            raise ValueError(f"{len(replies)} replies to {len(texts)} prompts")
+        return replies
+
     def attempt(texts: list[str]) -> list[dict]:
         try:
-            return infer(texts)
-        except Exception:  # noqa: BLE001
-            out = []
-            for text in texts:
-                try:
-                    out.extend(infer([text]))
-                except Exception as exc:  # noqa: BLE001
-                    out.append({"error": f"{type(exc).__name__}: {exc}"})
-            return out
+            return replies_to(texts)
+        except Exception as exc:  # noqa: BLE001
+            if len(texts) == 1:
+                return [{"error": f"{type(exc).__name__}: {exc}"}]
+            return [reply for text in texts for reply in attempt([text])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -330,7 +330,7 @@ def dedupe_questions(sources: Sequence[DataFrame], keys: Sequence[str], position
     for i, df in enumerate(sources):
         ranked = df.withColumn("source_no", F.lit(i))
         rows = ranked if rows is None else rows.unionByName(ranked, allowMissingColumns=True)
-    rows = rows.filter(F.length(F.col("question_text")) >= min_chars)
+    rows = rows.filter(F.length(T.squeeze_blanks(F.col("question_text"))) >= min_chars)
     body = F.struct(*[F.col(c) for c in rows.columns])
     best = rows.groupBy(*keys, question_key(F.col("question_text")).alias("__key")).agg(
         F.min_by(body, F.struct("source_no", position)).alias("__row")

@@ -22,7 +22,6 @@ from quire.functions.tokens import keywords
 
 QUERY_BLOCK = 2048
 CHUNK_BLOCK = 1 << 17
-MAX_LISTED_SUBJECTS = 1000
 UNKNOWN_FLAG = 1 << 62
 
 
@@ -61,20 +60,9 @@ def metadata_filter(chunks: DataFrame, names: Sequence[str]) -> DataFrame:
 # --- nearest neighbours -------------------------------------------------------------------
 
 
-def _blocks_per_subject(df: DataFrame, size: int) -> Column:
-    """Number of blocks of a subject, as an expression over the ``subject`` column.
-
-    Subjects are a short fixed list, so their counts fit in the plan as literals.  If there are
-    unexpectedly many, every subject uses the block count of the whole table instead.
-    """
-    counts = df.groupBy("subject").count().limit(MAX_LISTED_SUBJECTS + 1).collect()
-    if len(counts) > MAX_LISTED_SUBJECTS:
-        return F.lit(max(1, math.ceil(df.count() / size)))
-    out = F.lit(1)
-    for row in counts:
-        if row["count"] > size:
-            out = F.when(F.col("subject") == row["subject"], F.lit(math.ceil(row["count"] / size))).otherwise(out)
-    return out
+def _blocks_per_subject(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Number of blocks of each subject, as a table that is joined whatever its length."""
+    return df.groupBy("subject").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
 
 def _vectors(col) -> np.ndarray:
@@ -155,12 +143,12 @@ def knn_topk(
     c = chunks.filter(F.col("embedding").isNotNull()).select(
         "chunk_id", "subject", "embedding", flag_mask(flags).alias("flags_mask")
     )
-    nq = _blocks_per_subject(q.select("subject"), query_block)
-    nc = _blocks_per_subject(c.select("subject"), chunk_block)
+    blocks = _blocks_per_subject(q, query_block, "__nq").join(_blocks_per_subject(c, chunk_block, "__nc"), "subject")
     spread = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    qb = q.withColumn("__qb", spread("qid", nq)).withColumn("__cb", every(nc))
-    cb = c.withColumn("__cb", spread("chunk_id", nc)).withColumn("__qb", every(nq))
+    nq, nc = F.col("__nq"), F.col("__nc")
+    qb = q.join(blocks, "subject").withColumn("__qb", spread("qid", nq)).withColumn("__cb", every(nc)).drop("__nq", "__nc")
+    cb = c.join(blocks, "subject").withColumn("__cb", spread("chunk_id", nc)).withColumn("__qb", every(nq)).drop("__nq", "__nc")
     keys = ["subject", "__qb", "__cb"]
     near = (
         qb.groupBy(*keys)

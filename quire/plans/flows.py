@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire import lexicon as L
 from quire.functions import text as T
 from quire.operators import chapters, chunks, evaluation, pages, planning, retrieval, validation
+from quire.session import cut_lineage
 from quire.sources import chunk_index
 
 
@@ -29,9 +30,9 @@ def build_chunks(
 
 
 def ingest(page_table: DataFrame, vectors: DataFrame, root: str, size: int = 1000, overlap: int = 200) -> None:
-    """Store the chunks of a page table with their vectors (chunk_id, embedding), per subject."""
+    """Add the chunks of a page table with their vectors (chunk_id, embedding) to a stored index."""
     flat = chunks.flatten_metadata(build_chunks(page_table, size, overlap))
-    chunk_index.write_chunk_index(flat.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left"), root)
+    chunk_index.add_chunks(page_table.sparkSession, flat.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left"), root)
 
 
 def solve(
@@ -51,6 +52,8 @@ def solve(
         ready = ready.withColumn("prompt", prompt)
     else:
         ready = template(ready)
+    # The retrieval feeds the prompts and, later, the checks: it is run once for both.
+    ready = cut_lineage(ready)
     answers = evaluation.answer_batch(ready, infer)
     tidy = answers.withColumn("answer_text", T.tidy_answer(F.col("answer_text")))
     targets = F.when(F.col("marks") == 5, L.ANSWER_TARGETS[5]).otherwise(L.ANSWER_TARGETS[10])

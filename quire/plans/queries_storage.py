@@ -70,7 +70,7 @@ def _(v):
     rows = E.split_questions(v.f3).select("subject", F.col("book_id").alias("module"), "page_num", "pos", "raw", F.lit(0).alias("edition"))
     BANK.write_question_bank(rows, root)
     BANK.write_question_bank(rows.filter("subject = 'fr'").withColumn("edition", F.lit(1)), root)
-    stored = v.spark.read.parquet(root)
+    stored = BANK.read_bank_store(v.spark, root)
     return stored.groupBy("subject", "module").agg(
         F.count(F.lit(1)).alias("questions"), F.count_if(F.col("edition") == 1).alias("rewritten")
     )
@@ -92,13 +92,16 @@ def _(v):
 
 @query(
     "a5_read_answers",
-    """select case when conv_id % 9 = 0 then null else qid end as qid, case when conv_id % 9 = 0 then null else answer_text end as answer_text, case when conv_id % 9 = 0 then 'corrupt_file:json' end as corrupt_reason from f5""",
+    """select qid, module, chapter, case when conv_id % 9 = 0 then null else answer_text end as answer_text, case when conv_id % 9 = 0 then 'corrupt_file:json' end as corrupt_reason from f5""",
 )
 def _(v):
     root = scratch(v, "answers")
-    body = F.to_json(F.struct("qid", "module", "chapter", "subject", "answer_text"))
-    v.f5.select(F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit('{"qid": '), F.substring(body, 2, 20))).otherwise(body).alias("value")).write.mode("overwrite").text(root)
-    return ANS.read_answers(v.spark, root).select("qid", "answer_text", "corrupt_reason")
+    # One indented document per answer, as they are stored; every ninth conversation's are cut off.
+    body = F.to_json(F.struct("qid", "module", "chapter", "subject", "answer_text"), {"pretty": "true"})
+    text = F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit('{"qid": '), F.substring(body, 2, 20))).otherwise(body)
+    stored = v.f5.select("module", "chapter", "qid", text.alias("value"))
+    stored.repartition("module", "chapter").write.mode("overwrite").partitionBy("module", "chapter", "qid").text(root)
+    return ANS.read_answers(v.spark, root).select("qid", "module", "chapter", "answer_text", "corrupt_reason")
 
 
 @query(
@@ -114,7 +117,7 @@ def _(v):
     older = base.filter("conv_id % 2 = 0").withColumns({"answer_text": F.lit("stale write"), "ver": F.lit(2)})
     fresh = base.filter("conv_id % 10 = 3").withColumns({"module": F.lit("m-new"), "answer_text": F.lit("second"), "ver": F.lit(3)})
     ANS.write_answers(v.spark, newer.unionByName(older).unionByName(fresh), root, "ver")
-    return v.spark.read.parquet(root).select("module", "chapter", "qid", "answer_text")
+    return ANS.read_answer_store(v.spark, root).select("module", "chapter", "qid", "answer_text")
 
 
 @query(
@@ -124,7 +127,10 @@ def _(v):
 def _(v):
     root = scratch(v, "index")
     metadata = v.f6.select("chunk_id", F.lit("other").alias("book_id"), F.concat(F.lit("kw"), F.col("vec_id").cast("string")).alias("keywords"))
-    IDX.write_chunk_index(IDX.merge_metadata(v.f6, metadata), root)
+    # One half first, then all of it: the second call adds what is missing and repeats nothing.
+    rows = IDX.merge_metadata(v.f6, metadata)
+    IDX.add_chunks(v.spark, rows.filter("vec_id % 2 = 0"), root)
+    IDX.add_chunks(v.spark, rows, root)
     stored = IDX.read_chunk_index(v.spark, root, "en").unionByName(IDX.read_chunk_index(v.spark, root, "de"))
     return stored.select(
         "chunk_id", "subject", "book_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("chars"), "section_management",
@@ -132,11 +138,12 @@ def _(v):
     )
 
 
-@query("a8_delete_book_chunks", "select chunk_id, subject, book_id from f6 where not (subject = 'en' and book_id in ('book1', 'book2'))")
+@query("a8_delete_book_chunks", "select chunk_id, subject, book_id from f6 where subject <> 'de' and not (subject = 'en' and book_id in ('book1', 'book2'))")
 def _(v):
     root = scratch(v, "index")
     IDX.write_chunk_index(v.f6.select("chunk_id", "subject", "book_id", *FLAGS), root)
-    doomed = v.f6.filter("subject = 'en' and book_id in ('book1', 'book2')").select("subject", "book_id").distinct()
+    # All books of one subject, and two of another.
+    doomed = v.f6.filter("subject = 'de' or subject = 'en' and book_id in ('book1', 'book2')").select("subject", "book_id").distinct()
     IDX.rewrite_without_books(v.spark, root, doomed)
     return IDX.read_chunk_index(v.spark, root).select("chunk_id", "subject", "book_id")
 
@@ -148,13 +155,17 @@ def _(v):
 
 @query(
     "a10_read_jsonl_log",
-    """select case when event_id % 5 <> 0 then event_id end as event_id, case when event_id % 5 <> 0 then status end as status, case when event_id % 5 = 0 and event_id % 10 <> 0 then 'not json: ' || event_id::varchar end as raw from f7 where event_id % 10 <> 0""",
+    """select case when event_id % 5 <> 0 and event_id % 7 <> 0 then event_id end as event_id, case when event_id % 5 <> 0 then status end as status,
+         case when event_id % 5 = 0 then 'not json: ' || event_id::varchar when event_id % 7 = 0 then '{"event_id":"x","status":"' || status || '"}' end as raw
+       from f7 where event_id % 10 <> 0""",
 )
 def _(v):
     root = scratch(v, "log")
     line = (
-        F.when(F.col("event_id") % 10 == 0, F.lit("   "))
+        F.when(F.col("event_id") % 10 == 0, F.when(F.col("event_id") % 20 == 0, F.lit("   ")).otherwise(F.lit("\t")))
         .when(F.col("event_id") % 5 == 0, F.concat(F.lit("not json: "), F.col("event_id").cast("string")))
+        # Of the wrong type: the record stays, as far as it can be read, next to its line.
+        .when(F.col("event_id") % 7 == 0, F.to_json(F.struct(F.lit("x").alias("event_id"), "status")))
         .otherwise(F.to_json(F.struct("event_id", "book_id", "status")))
     )
     v.f7.select(line.alias("value")).write.mode("overwrite").text(root)
@@ -167,8 +178,11 @@ def _(v):
 )
 def _(v):
     root = scratch(v, "suites")
-    suite(v).drop("question_text").write.json(f"{root}/v1.json")
-    suite(v).filter("subject <> 'en'").drop("question_text").write.json(f"{root}/v2.json")
+    rows = suite(v).drop("question_text")
+    for name, part in (("v1", rows), ("v2", rows.filter("subject <> 'en'"))):
+        # A suite is one document with all its questions.
+        document = part.agg(F.collect_list(F.struct(*part.columns)).alias("questions"))
+        document.select(F.to_json(F.struct("questions"), {"pretty": "true"}).alias("value")).write.text(f"{root}/{name}.json")
     return S.read_eval_suite(v.spark, root, "v2").select("version", "module", "qid", F.col("marks").cast("bigint").alias("marks"))
 
 

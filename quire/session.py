@@ -35,16 +35,27 @@ _private_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a private folder only where none is configured (tests)."""
+    """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
+
+    Only in local mode, where all tasks share one machine, an unset folder is replaced by a private one.
+    """
     global _private_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _private_dir is None:
         _private_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _private_dir
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for a narrow table that several stages read again."""
     spark = df.sparkSession
@@ -63,12 +74,3 @@ def fill_cores(df: DataFrame, key: str) -> DataFrame:
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
-
-
-MAX_INLINE_ROWS = 1000
-
-
-def inline_lookup(df: DataFrame, key: str, value: str) -> dict | None:
-    """A configuration table as a dictionary for use in plan literals; None if it is too large."""
-    rows = df.select(key, value).limit(MAX_INLINE_ROWS + 1).collect()
-    return None if len(rows) > MAX_INLINE_ROWS else {r[0]: r[1] for r in rows}

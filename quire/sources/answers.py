@@ -9,29 +9,47 @@ from quire.session import cut_lineage
 
 ANSWER_SCHEMA = (
     "qid string, module string, chapter string, subject string, answer_text string, versions map<string,int>, "
-    "embedding_model string, kb_revision int, total_tokens bigint, latency_seconds double, generated_at string, _corrupt_record string"
+    "embedding_model string, kb_revision int, total_tokens bigint, latency_seconds double, generated_at string, "
+    "retrieval_chunks array<string>, validation string, model string, stale boolean, stale_reasons array<string>, _corrupt_record string"
 )
 KEY = ["module", "chapter", "qid"]
 
 
 def read_answers(spark: SparkSession, root: str) -> DataFrame:
-    """All stored answers; unreadable records stay as rows with ``corrupt_reason``."""
+    """All stored answers, one JSON document per file under module/chapter/qid.json.
+
+    Unreadable documents stay as rows with ``corrupt_reason``; their keys come from the path.
+    """
     raw = (
         spark.read.schema(ANSWER_SCHEMA)
         .option("mode", "PERMISSIVE")
+        .option("multiLine", "true")
         .option("recursiveFileLookup", "true")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(root)
     )
-    reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit("corrupt_file:json"))
-    return raw.withColumn("corrupt_reason", reason)
+    path = F.split(F.col("_metadata.file_path"), "/")
+    bad = F.col("_corrupt_record").isNotNull()
+    stem = lambda c: F.url_decode(F.regexp_replace(F.regexp_replace(c, r"^[a-z_]+=", ""), r"\.json$", ""))
+    # A writer that partitions puts the file below a folder named after the question.
+    deep = F.element_at(path, -2).startswith("qid=")
+    place = {"qid": (-2, -1), "chapter": (-3, -2), "module": (-4, -3)}
+    named = {k: F.when(bad, stem(F.when(deep, F.element_at(path, a)).otherwise(F.element_at(path, b)))).otherwise(F.col(k)) for k, (a, b) in place.items()}
+    return raw.withColumns({**named, "corrupt_reason": F.when(bad, F.lit("corrupt_file:json"))})
+
+
+def read_answer_store(spark: SparkSession, root: str) -> DataFrame:
+    """The store that :func:`write_answers` keeps."""
+    return spark.read.parquet(root)
 
 
 def upsert(current: DataFrame, incoming: DataFrame, version: str) -> DataFrame:
-    """Last write wins per (module, chapter, qid); an aggregate, so repeated keys never pile up."""
+    """Last write wins per (module, chapter, qid), of equal versions the larger content; an aggregate,
+    so repeated keys never pile up."""
     rows = current.unionByName(incoming)
     body = F.struct(*rows.columns)
-    return rows.groupBy(*KEY).agg(F.max_by(body, F.col(version)).alias("__r")).select("__r.*")
+    rank = F.struct(F.col(version), F.xxhash64(F.to_json(body)))
+    return rows.groupBy(*KEY).agg(F.max_by(body, rank).alias("__r")).select("__r.*")
 
 
 def write_answers(spark: SparkSession, incoming: DataFrame, root: str, version: str) -> None:
@@ -47,4 +65,4 @@ def write_answers(spark: SparkSession, incoming: DataFrame, root: str, version:
         touched = incoming.select("module").distinct()
         current = stored.join(touched, "module", "left_semi").select(*incoming.columns)
         merged = cut_lineage(upsert(current, incoming, version))
-    merged.write.partitionBy("module").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+    merged.hint("rebalance", "module").write.partitionBy("module").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)

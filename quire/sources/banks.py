@@ -42,13 +42,19 @@ def read_question_banks(spark: SparkSession, root: str, subject: str | None = No
 def write_question_bank(questions: DataFrame, root: str) -> None:
     """Replace exactly the (subject, module) banks present in ``questions``."""
     (
-        questions.write.partitionBy("subject", "module")
+        questions.hint("rebalance", "subject", "module").write.partitionBy("subject", "module")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(root)
     )
 
 
+def read_bank_store(spark: SparkSession, root: str, subject: str | None = None) -> DataFrame:
+    """The questions that :func:`write_question_bank` keeps."""
+    stored = spark.read.parquet(root)
+    return stored if subject is None else stored.filter(F.col("subject") == subject)
+
+
 def list_banks(modules: DataFrame, datasets: DataFrame) -> DataFrame:
     """One row per bank name; a module bank replaces a data set of the same name.
 

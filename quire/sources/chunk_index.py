@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage
+from quire.session import cut_lineage, remove_folder
 
 
 def merge_metadata(chunks: DataFrame, metadata: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -15,12 +16,32 @@ def merge_metadata(chunks: DataFrame, metadata: DataFrame, key: str = "chunk_id"
 
 
 def write_chunk_index(chunks: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """Replace the subjects present in ``chunks``; readers prune by subject folder."""
+    """Replace the subjects present in ``chunks``; readers prune by subject folder.
+
+    Rows are dealt by subject first, large ones over several tasks, so a folder gets few files.
+    """
     (
-        chunks.write.partitionBy("subject").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
+        chunks.hint("rebalance", "subject").write.partitionBy("subject").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
     )
 
 
+def stored_index(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(root)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def add_chunks(spark: SparkSession, chunks: DataFrame, root: str) -> None:
+    """Add chunks to a stored index, next to the books it has; ids that it has already are left alone."""
+    stored = stored_index(spark, root)
+    if stored is not None:
+        chunks = cut_lineage(chunks.join(stored.select("subject", "chunk_id"), ["subject", "chunk_id"], "left_anti"))
+    write_chunk_index(chunks, root, "append")
+
+
 def read_chunk_index(spark: SparkSession, root: str, subject: str | None = None) -> DataFrame:
     stored = spark.read.parquet(root)
     return stored if subject is None else stored.filter(F.col("subject") == subject)
@@ -32,10 +53,16 @@ def delete_book_chunks(chunks: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def rewrite_without_books(spark: SparkSession, root: str, doomed: DataFrame) -> None:
-    """Delete books in a stored index; only their subject folders are rewritten."""
+    """Delete books in a stored index; only their subject folders are rewritten, emptied ones removed."""
     subjects = doomed.select("subject").distinct()
     touched = spark.read.parquet(root).join(subjects, "subject", "left_semi")
-    write_chunk_index(cut_lineage(delete_book_chunks(touched, doomed)), root)
+    left = cut_lineage(delete_book_chunks(touched, doomed))
+    emptied = touched.select("subject").distinct().join(left.select("subject"), "subject", "left_anti")
+    folders = [r.subject for r in emptied.collect()]  # one short name per subject that loses its last book
+    write_chunk_index(left, root)
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for subject in folders:
+        remove_folder(spark, f"{root}/{escape.getPartitionPathString('subject', subject)}")
 
 
 def count_book_chunks(chunks: DataFrame) -> DataFrame:

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_jsonl_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per non-blank line; a line that is not a JSON object is kept in ``raw``."""
-    lines = spark.read.text(path).withColumn("line", F.trim("value")).filter(F.col("line") != "")
-    parsed = lines.withColumn("rec", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
-    is_object = F.try_parse_json(F.col("line")).isNotNull() & F.col("line").startswith("{")
-    return parsed.select(
-        F.when(is_object, F.col("rec")).alias("rec"), F.when(~is_object, F.col("line")).alias("raw")
-    ).select("rec.*", "raw")
+    """One row per non-blank line; a line that is no JSON object of the schema is kept in ``raw`` too."""
+    lines = spark.read.text(path).withColumn("line", F.regexp_replace("value", r"^\s+|\s+$", "")).filter(F.col("line") != "")
+    parsed = lines.withColumn("rec", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    fits = F.col("line").startswith("{") & F.col("rec").isNotNull() & F.col("rec._bad").isNull()
+    return parsed.select("rec.*", F.when(~fits, F.col("line")).alias("raw")).drop("_bad")

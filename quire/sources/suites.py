@@ -13,9 +13,11 @@ RUN_SCHEMA = (
 
 
 def read_eval_suites(spark: SparkSession, root: str) -> DataFrame:
-    """All versions; the version is the ``vN`` of the ``vN.json`` file or folder."""
-    raw = spark.read.schema(SUITE_SCHEMA).option("recursiveFileLookup", "true").json(root)
-    return raw.withColumn("version", F.regexp_extract(F.col("_metadata.file_path"), r"/(v\d+)\.json(?:/|$)", 1))
+    """The ``questions`` of all suite documents; the version is the ``vN`` of the ``vN.json`` file or folder."""
+    document = f"questions array<struct<{SUITE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>, _corrupt_record string"
+    raw = spark.read.schema(document).option("multiLine", "true").option("recursiveFileLookup", "true").json(root)
+    named = raw.withColumn("version", F.regexp_extract(F.col("_metadata.file_path"), r"/(v\d+)\.json(?:/|$)", 1))
+    return named.select(F.explode("questions").alias("q"), "version").select("q.*", "version")
 
 
 def suite_versions(spark: SparkSession, root: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.operators import cache, chunks, validation
-from quire.session import inline_lookup
 
 TERMINAL = ("succeeded", "failed")
 
@@ -31,9 +30,13 @@ def ingest_sink(path: str, size: int = 1000, overlap: int = 200) -> Callable[[Da
     """Chunk every arriving content and append; a repeated batch replaces itself."""
 
     def write(df: DataFrame, batch: int) -> None:
-        pages = df.select("content_sha", F.lit(1).cast("bigint").alias("page_num"), "text")
-        made = chunks.chunk_windows(pages, size, overlap, keys=["content_sha"])
-        made.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        # Several jobs read the batch; source and de-duplication run once for all of them.
+        pages = df.select("content_sha", F.lit(1).cast("bigint").alias("page_num"), "text").persist()
+        try:
+            made = chunks.chunk_windows(pages, size, overlap, keys=["content_sha"])
+            made.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        finally:
+            pages.unpersist()
 
     return write
 
@@ -143,12 +146,9 @@ def stream_job_state(log: DataFrame, delay: str = "1 hour", deadline_ms: int | N
 def stream_stale(answers: DataFrame, revisions: DataFrame, embedding_model: str) -> DataFrame:
     """Staleness of arriving answers against the current corpus revisions.
 
-    A stream-static join: the revisions are read again with every batch.  They are broadcast after
-    a check that they are one short row per subject.
+    A stream-static join: the revisions are read again with every batch and reduced to one row per subject.
     """
-    if inline_lookup(revisions, "subject", "revision") is not None:
-        revisions = F.broadcast(revisions)
-    return cache.mark_stale(answers, revisions, embedding_model, inline=False)
+    return cache.mark_stale(answers, revisions, embedding_model)
 
 
 def stream_validate(answers: DataFrame, disabled=()) -> DataFrame:

@@ -20,9 +20,9 @@ def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 def drain(
-    stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append", timeout: int = 600
+    stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append", timeout: int | None = None
 ) -> None:
-    """Process everything available, batch by batch, and stop."""
+    """Process everything available, batch by batch, and stop; ``timeout`` seconds at most if given."""
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -30,7 +30,9 @@ def drain(
         .foreachBatch(handle)
         .start()
     )
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not drain in time")
 
