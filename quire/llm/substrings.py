@@ -78,6 +78,11 @@ def hash_lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(values.view(np.int64)))
 
 
+def digest_of(text: str | None) -> bytes:
+    """SHA-256 of a text's words, joined by one blank."""
+    return hashlib.sha256(b" ".join((text or "").encode().split())).digest()
+
+
 def facts(df: DataFrame, text: str, doc_id: str, first: int, second: int) -> DataFrame:
     """Per row: id, digest of its word sequence, n_words, and the distinct chosen hashes of the first level."""
 
@@ -87,7 +92,7 @@ def facts(df: DataFrame, text: str, doc_id: str, first: int, second: int) -> Dat
                 hashes, ends, *_ = word_hashes(part.column("text"))
                 best, starts = chosen(hashes, ends, first, second)
                 rows, best = distinct_per_row(rows_of(ends)[starts], best)
-                digests = [hashlib.sha256(b" ".join((t or "").encode().split())).digest() for t in part.column("text").to_pylist()]
+                digests = [digest_of(t) for t in part.column("text").to_pylist()]
                 columns = [part.column("id"), pa.array(digests, pa.binary()), pa.array(np.diff(ends, prepend=0)), hash_lists(rows, best, len(ends))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n_words", "chosen"])
 
@@ -134,7 +139,7 @@ def member(rows: np.ndarray, values: np.ndarray, of_rows: np.ndarray, of_values:
 
 
 def cut(df: DataFrame, width: int) -> DataFrame:
-    """Rows id, n_removed, kept_text: ``df`` has id, text and ``covered``: hashes of windows that go."""
+    """Rows id, digest (of all words), n_removed, kept_text: ``df`` has id, text and ``covered``: hashes of windows that go."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -149,16 +154,18 @@ def cut(df: DataFrame, width: int) -> DataFrame:
                 np.add.at(edge, gone, 1)
                 np.add.at(edge, gone + width, -1)
                 stays = np.cumsum(edge)[:-1] == 0
-                texts, removed, begin = [], [], 0
+                digests, texts, removed, begin = [], [], [], 0
                 for text, end in zip(part.column("text").to_pylist(), ends.tolist()):
+                    digests.append(digest_of(text))
                     mine = stays[begin:end]
                     texts.append(b" ".join([w for w, s in zip((text or "").encode().split(), mine.tolist()) if s]).decode())
                     removed.append(len(mine) - int(mine.sum()))
                     begin = end
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_words"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+                columns = [part.column("id"), pa.array(digests, pa.binary()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n_removed", "kept_text"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "n_words", "text", "covered").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_text string")
+    return df.select("id", "text", "covered").mapInArrow(run, f"id {kind}, digest binary, n_removed long, kept_text string")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -182,11 +189,11 @@ def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int
         asked = texts if found is None else texts.drop("alive").join(found.groupBy("id").agg(F.collect_set("hash").alias("alive")), "id")
         found = keep(repeated(candidates(asked, level, first, second).distinct()), "substring-windows")
     covered = found.where("least < id").groupBy("id").agg(F.collect_set("hash").alias("covered"))
-    sizes = texts.select("id", "text").join(covered, "id").withColumn("n_words", F.lit(None).cast("long"))
-    changed = cut(sizes, width).select("id", "n_removed", F.sha2("kept_text", 256).alias("sha")).groupBy("id", "sha", "n_removed").count()
-    copies = base.where(F.col("n_words") >= width).join(classes.select("digest", "source"), "digest").where("id > source").select("id", F.lit(True).alias("copy")).distinct()
-    out = base.select("id", "n_words", "digest").join(copies, "id", "left").join(changed, "id", "left")
-    gone = F.coalesce("copy", F.lit(False))
+    changed = cut(texts.select("id", "text").join(covered, "id"), width)
+    changed = changed.select("id", "digest", "n_removed", F.sha2("kept_text", 256).alias("sha")).distinct()
+    # A sequence that very many documents have is spread by the join's own splitting of large partitions.
+    out = base.select("id", "n_words", "digest").join(classes.select("digest", "source"), "digest", "left").join(changed, ["id", "digest"], "left")
+    gone = F.coalesce((F.col("id") > F.col("source")) & (F.col("n_words") >= width), F.lit(False))
     return out.select(
         F.col("id").alias(doc_id),
         "n_words",

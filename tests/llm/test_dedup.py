@@ -95,7 +95,7 @@ def test_representatives(spark, corpus):
 
 @pytest.mark.parametrize("width", [50, 26, 7, 104])
 def test_substrings(spark, corpus, width):
-    rows = corpus + [(8000, (corpus[3][1] or "") + " end"), (8001, corpus[3][1])]
+    rows = corpus + corpus[:5] + [(8000, (corpus[3][1] or "") + " end"), (8001, corpus[3][1]), (8001, "other " + (corpus[9][1] or "")), (8001, corpus[9][1])]
     got = [tuple(r) for r in substrings.report(frame(spark, rows), width=width).collect()]
     want = [(i, n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, n, kept in plain.substrings(rows, width)]
     assert plain.order(got) == plain.order(want)
