@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions.arrays import at_or_null, count_where, index_range, let
 
 # --- fixed values -------------------------------------------------------------------------
-HEADER_FOOTER = r"^(\d+|Page\s+\d+\s+of\s+\d+)$"
+HEADER_FOOTER = r"(?U)^(\d+|Page\s+\d+\s+of\s+\d+)$"
 QUALITY_MIN_CHARS = 500
 QUALITY_MAX_NON_ALNUM = 0.30
 QUALITY_MAX_SINGLE = 0.4
@@ -48,13 +48,15 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-_BLANKS = " \t\n\x0b\f\r"
+# White space as page text has it: also no-break, thin and ideographic blanks and the separators.
+_BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words_of(text: Column) -> Column:
     """Blank-separated tokens; an all-blank text has none."""
     body = strip_blanks(text)
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"[{_BLANK}]+"))
 
 
 def count_words(text: Column) -> Column:
@@ -72,7 +74,7 @@ def rstrip_blanks(text: Column) -> Column:
 
 def squeeze_blanks(text: Column) -> Column:
     """Single blanks between tokens; runs that are already one blank are left alone."""
-    return strip_blanks(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
+    return strip_blanks(F.regexp_replace(text, f"[{_BLANK}]{{2,}}|[{_BLANK}&&[^ ]]", " "))
 
 
 def chars_matching(text: Column, char_class: str) -> Column:
@@ -99,10 +101,11 @@ def _collapse_line(line: Column) -> Column:
     end = r"(?= |$)"
     # Every rule is about a blank followed by a single letter, so that is tested first.  The blank
     # goes if it lies inside a run of three or more single letters (two before it, or one before
-    # and two after) or if such a run follows a longer alphabetic token.
+    # and two after) or if such a run follows a longer alphabetic token (Java wants a number there; this one
+    # is beyond any text).
     drop = (
         rf" (?=\p{{L}}{end})(?:(?<=(?:^| )\p{{L}} \p{{L}} )|(?<=(?:^| )\p{{L}} )(?=\p{{L}} \p{{L}}{end})"
-        rf"|(?=\p{{L}} \p{{L}} \p{{L}}{end})(?<=(?:^| )\p{{L}}{{2,200}} ))"
+        rf"|(?=\p{{L}} \p{{L}} \p{{L}}{end})(?<=(?:^| )\p{{L}}{{2,1000000000}} ))"
     )
 
     def rewrite(s: Column) -> Column:

@@ -91,3 +91,19 @@ def test_keywords_years_numbers(on, spark):
     row = df.select("y", K.important_numbers(F.col("t"), F.col("y")).alias("n")).first()
     assert row.y == [1999] and row.n == ["2150", "1,200,000", "10500"]
     assert on(lambda c: F.array_join(K.top_keywords(c, 2), ","), "Beta alpha beta this that gamma") == ["beta,alpha"]
+
+
+def test_all_kinds_of_blanks(spark):
+    row = one(spark, "a b c 　d", words=T.words_of(F.col("t")), squeezed=T.squeeze_blanks(F.col("t")))
+    assert row.words == ["a", "b", "c", "d"] and row.squeezed == "a b c d"
+    assert one(spark, "x\n 12 \ny", out=T.strip_header_footer(F.col("t"))).out == "x\ny"
+    assert one(spark, "   ", out=T.words_of(F.col("t"))).out == []
+
+
+def test_letter_runs_after_a_long_token(spark):
+    for n in (100, 250, 5000):
+        assert one(spark, "a" * n + " D E P T", out=T.collapse_letter_spacing(F.col("t"))).out == "a" * n + "DEPT"
+
+
+def one(spark, text, **columns):
+    return spark.createDataFrame([(text,)], "t string").select(*[c.alias(k) for k, c in columns.items()]).first()
