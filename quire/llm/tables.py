@@ -1,4 +1,7 @@
-"""Tables that several stages read again, kept in the cluster's shared folder."""
+"""Tables that several stages read again, kept in the cluster's shared folder.
+
+They stay until ``release`` is called, as results are read lazily: call it when all results are written.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,10 +32,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     lost executor costs only the tasks it ran.  Unlike ``checkpoint()`` this runs the plan once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As :func:`keep`, dealt into ``n`` buckets by ``key``: later joins on ``key`` move the other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_folder(spark)}/{table}"
+    _written.append(path)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables kept so far; results that are not yet written can't be read after this."""
+    while _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def parts(spark: SparkSession) -> int:
     """Number of partitions for an explicit exchange."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -113,6 +113,15 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(61)) and all(got[k] == 100 for k in range(100, 160)) and got[300] == got[299] == 299
 
 
+def test_release(spark, tmp_path):
+    from quire.llm import tables
+
+    path = tables.keep(spark.range(3), "three").inputFiles()[0].removeprefix("file:")
+    assert Path(path).exists()
+    tables.release(spark)
+    assert not Path(path).exists() and tables.keep(spark.range(3), "three").count() == 3
+
+
 def test_empty_tables(spark):
     none = frame(spark, [], 1)
     assert exact_dedup.report(none).count() == 0
