@@ -50,34 +50,16 @@ def important_numbers(text: Column, years: Column, n: int = 8) -> Column:
     """Integers of at least 1000 other than ``years``, first spelling per value, in text order."""
 
     def pick(raws: Column) -> Column:
-        pairs = F.transform(
-            raws,
-            lambda r, i: F.struct(
-                r.alias("raw"),
-                F.regexp_replace(F.regexp_replace(r, ",", ""), "^0+(?=.)", "").alias("digits"),
-                i.alias("i"),
-            ),
-        )
-        return let(pairs, first_by_value)
-
-    def first_by_value(pairs: Column) -> Column:
-        values = F.transform(pairs, lambda p: p["digits"])
+        """Sorted by value and place, the first of each value is the one that differs from the one before."""
+        digits = lambda r: F.regexp_replace(F.regexp_replace(r, ",", ""), "^0+(?=.)", "")
         year_text = F.transform(years, lambda y: y.cast("string"))
-        return let(
-            F.struct(values.alias("v"), year_text.alias("y")),
-            lambda s: F.slice(
-                F.transform(
-                    F.filter(
-                        pairs,
-                        lambda p: (F.length(p["digits"]) >= 4)
-                        & ~F.array_contains(s["y"], p["digits"])
-                        & (F.array_position(s["v"], p["digits"]) == p["i"] + 1),
-                    ),
-                    lambda p: p["raw"],
-                ),
-                1,
-                n,
-            ),
-        )
+        entries = F.transform(raws, lambda r, i: F.struct(digits(r).alias("digits"), i.alias("i"), r.alias("raw")))
+        wanted = F.filter(entries, lambda p: (F.length(p["digits"]) >= 4) & ~F.array_contains(year_text, p["digits"]))
+        return let(F.array_sort(wanted), first_by_value)
+
+    def first_by_value(ordered: Column) -> Column:
+        new = lambda p, k: (k == 0) | (F.get(ordered, k - 1)["digits"] != p["digits"])
+        placed = F.array_sort(F.transform(F.filter(ordered, new), lambda p: F.struct(p["i"].alias("i"), p["raw"].alias("raw"))))
+        return F.transform(F.slice(placed, 1, n), lambda p: p["raw"])
 
     return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(1)), pick)

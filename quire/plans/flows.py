@@ -41,10 +41,17 @@ def solve(
     flags: Sequence[str],
     infer: Callable[[list[str]], list[dict]] = evaluation.stub_infer,
     template: Callable[[DataFrame], DataFrame] | None = None,
+    planner: Callable[[DataFrame], DataFrame] | None = None,
+    reranker: str | Callable[[DataFrame], DataFrame] = "identity",
 ) -> DataFrame:
-    """Answer questions (qid, subject, qvec, question_text, type, marks) from an index and validate."""
+    """Answer questions (qid, subject, qvec, question_text, type, marks) from an index and validate.
+
+    ``planner`` adds columns to the planned questions, for a template of one's own to use.
+    """
     planned = planning.retrieval_plan(planning.analyze_questions(questions))
-    hits = retrieval.retrieve(planned, indexed, flags).join(indexed.select("chunk_id", "text"), "chunk_id", "left")
+    if planner is not None:
+        planned = planner(planned)
+    hits = retrieval.retrieve(planned, indexed, flags, reranker).join(indexed.select("chunk_id", "text"), "chunk_id", "left")
     context = retrieval.build_context(hits, "final_rank")
     ready = planned.join(context, "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
     if template is None:
