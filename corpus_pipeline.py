@@ -17,9 +17,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a predictable language (no text, or no letters) go; the labels teach the model."""
-    named = language.predict(docs, language.train(docs), pred="__lang", score="__score")
-    return named.where(F.col("__lang") != "und").drop("__lang", "__score")
+    """Texts that are no written language (see ``language.readable``) go; the labels teach the model."""
+    return language.readable(docs, language.train(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,19 @@ def test_run_and_empty_table(spark, tmp_path):
     assert pipeline.run(spark, f"{tmp_path}/a").columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_documents_without_labels(spark):
+    """With nothing to learn from, documents stay; texts of hardly any letters go with a model and without."""
+    numbers = "4785380592391139 " * 200 + "x"
+    signs = "".join(chr(33 + k * 7 % 15) for k in range(3000)) + "x"
+    rows = [(1, "plain words of a document"), (2, "的一是不了人我在有他这"), (3, "Reouti 19.37.233.111"), (4, "x"), (5, numbers), (6, signs), (7, None), (8, "12 --")]
+    for labels in ((None,), ("en", "fr")):
+        docs = spark.createDataFrame([(i, t, labels[i % len(labels)] if i != 2 else None, "s", 0) for i, t in rows], SCHEMA)
+        assert sorted(r.doc_id for r in pipeline.language_id(spark, docs, "").collect()) == [1, 2, 3, 4]
+
+
+def test_clean_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stays = pipeline.language_id(spark, docs, "")
+    assert stays.columns == docs.columns and stays.count() == docs.where(r"text rlike '\\p{L}'").count()
