@@ -93,6 +93,15 @@ def test_representatives(spark, corpus):
     assert got == sorted(i for i, _, c in plain.jaccard(rows) if i == c)
 
 
+def test_representatives_of_repeated_ids(spark):
+    """A row goes by its own text, whatever other rows of its id are linked with."""
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(3, one), (5, one + " end"), (5, two), (7, two + " end"), (5, three), (9, three + " end"), (5, three + " other"), (8, four), (None, one)]
+    got = {(r.doc_id, r.text) for r in jaccard.representatives(frame(spark, rows)).collect()}
+    assert {(3, one), (5, two), (8, four), (None, one)} <= got and len(got) == 5
+    assert len(got & {(5, three), (5, three + " other")}) == 1
+
+
 @pytest.mark.parametrize("width", [50, 26, 7, 104])
 def test_substrings(spark, corpus, width):
     rows = corpus + corpus[:5] + [(8000, (corpus[3][1] or "") + " end"), (8001, corpus[3][1]), (8001, "other " + (corpus[9][1] or "")), (8001, corpus[9][1])]
