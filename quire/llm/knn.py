@@ -3,8 +3,9 @@
 Vectors are turned into whole numbers, and the largest inner products are found as nearest neighbours:
 with one more coordinate sqrt(R^2 - |x|^2) for data (R: the largest norm) and 0 for queries, squared
 distance is |q|^2 + R^2 - 2 q.x.  Data and queries are assigned to the nearest of a few pivots.  From one
-summary row per pivot (how many rows, nearest, farthest, and the distances of its k + 1 nearest) follows for
-each group of queries a distance within which all their neighbours lie; a data row is replicated to a
+summary row per pivot (the farthest distance, and ids and distances of its k + 1 nearest ids) follows for
+each group of queries a distance within which all their neighbours lie: that of the k + 1 nearest ids, as
+rows of one id alone can be the query's own; a data row is replicated to a
 query group only if the triangle inequality lets it come that near.  A group is searched locally, and the
 k best of each part are merged.
 
@@ -103,9 +104,12 @@ def windows(pivots: np.ndarray, data: list, queries: list, k: int) -> list[tuple
     between = distances(pivots, pivots)
     out = []
     for i, reach in queries:
-        # Farthest that the k + 1 nearest can be, from the summaries alone; one of them may be the query itself.
-        bounds = np.sort(np.concatenate([reach + between[i, j] + np.array(nearest) for j, _, nearest in data]))
-        theta = bounds[k] if len(bounds) > k else np.inf
+        # Farthest that the k + 1 nearest ids can be, from the summaries alone; one of them may be the query's own.
+        bounds = np.concatenate([reach + between[i, j] + np.array([far for far, _ in nearest]) for j, _, nearest in data])
+        ids = np.concatenate([np.array([own for _, own in nearest], np.int64) for _, _, nearest in data])
+        order = np.argsort(bounds, kind="stable")
+        first = np.sort(np.unique(ids[order], return_index=True)[1])
+        theta = bounds[order[first[k]]] if len(first) > k else np.inf
         for j, most, _ in data:
             least = between[i, j] - reach - theta - SLACK * (1 + between[i, j] + reach)
             if most >= least:
@@ -152,10 +156,25 @@ def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 1
 
 
 def _nearest(data: DataFrame, k: int) -> DataFrame:
-    """Per pivot: the farthest distance and the k smallest, each task's share first."""
-    order = Window.partitionBy("pivot").orderBy("far")
-    few = data.select("pivot", "far").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    near = few.groupBy("pivot").agg(F.collect_list("far").alias("near"))
+    """Per pivot: the farthest distance, and the k ids with the smallest ones, each task's share first."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, np.int64)
+        for batch in stream:
+            pivot, far, own = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in zip(kept, ("pivot", "far", "id")))
+            order = np.lexsort((far, own, pivot))
+            pivot, far, own = pivot[order], far[order], own[order]
+            nearest = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (own[1:] != own[:-1])])[: len(own)]
+            pivot, far, own = pivot[nearest], far[nearest], own[nearest]
+            order = np.lexsort((own, far, pivot))
+            pivot, far, own = pivot[order], far[order], own[order]
+            few = np.arange(len(pivot)) - np.searchsorted(pivot, pivot) < k
+            kept = pivot[few], far[few], own[few]
+        yield pa.RecordBatch.from_arrays([pa.array(kept[0].astype(np.int32)), pa.array(kept[1]), pa.array(kept[2])], ["pivot", "far", "id"])
+
+    ids = data.select("pivot", "far", "id").mapInArrow(run, "pivot int, far double, id long").groupBy("pivot", "id").agg(F.min("far").alias("far"))
+    few = ids.withColumn("n", F.row_number().over(Window.partitionBy("pivot").orderBy("far", "id"))).where(F.col("n") <= k)
+    near = few.groupBy("pivot").agg(F.collect_list(F.struct("far", "id")).alias("near"))
     return data.groupBy("pivot").agg(F.max("far").alias("most")).join(near, "pivot")
 
 

@@ -172,6 +172,16 @@ def test_top_k(spark, monkeypatch, pivots, block):
     assert got == sorted(plain_top(rows, 10))
 
 
+@pytest.mark.parametrize("copies", [12])
+def test_top_k_of_repeated_query_ids(spark, copies):
+    """More rows of a query's id than k around it do not hide the others, however far off they are."""
+    rng = random.Random(3)
+    rows = [(100, [40.0, 0.0, 0.0])] * copies + [(k, [rng.gauss(c, 0.1) for c in (k % 3, -20 * (k % 2), 20)]) for k in range(1, 90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in knn.search(df, "vec_id", "embedding", df.vec_id % 100 == 0, n_pivots=200).collect())
+    assert got == sorted(plain_top(rows, 10)) and len(got) == 10
+
+
 def test_top_k_large_numbers(spark):
     rows = [(0, [1e12, -1e12]), (1, [1e12, 1.0]), (2, [3e12, 2.0]), (3, [-1e300, 0.0])]
     got = [tuple(r) for r in knn.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2).collect()]
