@@ -12,8 +12,9 @@ Bytes are taken in classes: letters a-z without case, digits, blanks, other ASCI
 byte from 0x80 on by itself.
 
 Training reads at most ``train_docs`` labelled rows of each language, those with the smallest hash of
-their id; the trees keep the most frequent contexts.  Both bounds hold at every size of input, so the
-model that is sent to the executors has a fixed largest size.  Scoring reads every text whole.
+their id.  That sample is the only bound: every label has its own tree, and it keeps every context and
+successor of the language's sample, however large the others are.  The model that is sent to the executors
+grows with the number of labels and not with the number of rows.  Scoring reads every text whole.
 
 Defined results: null text or text without letters is ``und`` with score 0, as is everything if there is
 nothing to learn from; ties go to the smaller label; repeated rows are judged alike.
@@ -36,11 +37,6 @@ from quire.llm.words import batches, rows_of, text_bytes
 SYMBOLS = 158
 ORDER = 3
 UNIT = 256
-#: Cells (context, byte class, language) of the frozen model, two bytes each.
-MAX_CELLS = 16_000_000
-#: Counted (language, context, byte class) rows that the model is built from.
-MAX_GRAMS = 600_000
-MAX_LANGUAGES = 64
 #: ``readable``: least share of letters, and bits a byte that are too many for a text of few letters (a byte
 #: at random takes 7.3).  Of 10000 sample documents the least share is 0.29 and the longest code 3.43 bits.
 MIN_LETTERS = 0.1
@@ -78,23 +74,45 @@ def context_codes(column: pa.Array, table: np.ndarray = _SYMBOL, wide: int = SYM
 
 @dataclass
 class Model:
-    """Frozen statistics: ``node`` maps three classes to a context, ``cost`` has its code lengths."""
+    """Frozen statistics.  Per language and order: seen n-grams (context code * SYMBOLS + class) in order and
+    their code lengths in bits, and the contexts with what an escape from them costs."""
 
     labels: list[str]
-    node: np.ndarray
-    cost: np.ndarray
+    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+    def bits(self, k: int, grams: np.ndarray) -> np.ndarray:
+        """Code lengths under language ``k``, in units: the longest seen form after the escapes above it."""
+        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            keys, cost, contexts, escape = self.tables[k][order]
+            own = grams[open_] % SYMBOLS ** (order + 1)
+            at, seen = _places(keys, own)
+            out[open_[seen]] += cost[at[seen]]
+            open_, own = open_[~seen], own[~seen]
+            at, known = _places(contexts, own // SYMBOLS)
+            out[open_[known]] += escape[at[known]]
+        out[open_] += np.log2(SYMBOLS)
+        return np.minimum(np.rint(out * UNIT), 65535).astype(np.int32)
 
     def code_lengths(self, column: pa.Array) -> np.ndarray:
         code, symbols, ends = context_codes(column)
         out = np.zeros((len(ends), len(self.labels)), np.int64)
         if len(symbols):
-            each = self.cost[self.node[code] * SYMBOLS + symbols]
+            some, which = np.unique(code * SYMBOLS + symbols, return_inverse=True)
             sizes = np.diff(ends, prepend=0)
             full = np.flatnonzero(sizes)
-            out[full] = np.add.reduceat(each, (ends - sizes)[full], axis=0, dtype=np.int64)
+            # One language at a time: memory does not grow with their number.
+            for k in range(len(self.labels)):
+                out[full, k] = np.add.reduceat(self.bits(k, some)[which], (ends - sizes)[full], dtype=np.int64)
         return out
 
 
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number is in the sorted keys, and whether it is there; keys are not empty."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def count_grams(df: DataFrame, text: str, label: str) -> DataFrame:
     """label, gram (context code * SYMBOLS + class), n; counted in each task first."""
 
@@ -114,66 +132,48 @@ def count_grams(df: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def frozen(labels: list[str], label: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    """Code lengths of every class in every kept context of every language."""
-    langs, most = len(labels), MAX_CELLS // (SYMBOLS * max(1, len(labels)))
-    context, symbol = np.divmod(gram, SYMBOLS)
-    kept = []
-    for order in range(ORDER + 1):
-        codes, which = np.unique(context % SYMBOLS**order, return_inverse=True)
-        total = np.bincount(which, weights=n)
-        kept.append(np.stack([np.full(len(codes), order), codes, total], 1))
-    every = np.concatenate(kept).astype(np.int64)
-    # A shorter context is at least as frequent as a longer one that ends in it, and comes first.
-    every = every[np.lexsort((every[:, 1], every[:, 0], -every[:, 2]))][:most]
-    every = every[np.lexsort((every[:, 1], every[:, 0]))]
-    p = np.full((len(every), langs, SYMBOLS), 1 / SYMBOLS, np.float32)
-    node = np.zeros((SYMBOLS,) * ORDER, np.int32)
-    for order in range(ORDER + 1):
-        own = np.flatnonzero(every[:, 0] == order)
-        codes = every[own, 1]
-        at = np.searchsorted(codes, context % SYMBOLS**order)
-        hit = np.flatnonzero((at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == context % SYMBOLS**order)) if len(codes) else []
-        counts = np.zeros((len(own), langs, SYMBOLS), np.float32)
-        if len(own):
-            np.add.at(counts, (at[hit], label[hit], symbol[hit]), n[hit])
-        if order:
-            short = np.flatnonzero(every[:, 0] == order - 1)
-            parent = p[short[np.searchsorted(every[short, 1], codes % SYMBOLS ** (order - 1))]]
-        else:
-            parent = p[own]
-        seen = counts > 0
-        total, distinct = counts.sum(-1, keepdims=True), seen.sum(-1, keepdims=True)
-        rest = np.where(seen, 0, parent)
-        mass = rest.sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escaped = distinct / (total + distinct) * rest / mass
-            mine = np.where(mass > 0, np.where(seen, counts / (total + distinct), escaped), counts / total)
-        p[own] = np.where(total > 0, mine, parent)
-        view = node.reshape(-1, SYMBOLS**order) if order else node.reshape(-1, 1)
-        view[:, codes] = own
-    cost = np.minimum(np.rint(-np.log2(np.maximum(p, 1e-30)) * UNIT), 65535).astype(np.uint16)
-    return Model(labels, node.reshape(-1), np.ascontiguousarray(cost.transpose(0, 2, 1)).reshape(-1, langs))
+    """Code lengths of every counted n-gram of every language, and escapes of every context."""
+    order_of = np.argsort(label, kind="stable")
+    edges = np.searchsorted(label[order_of], np.arange(len(labels) + 1))
+    tables = []
+    for k in range(len(labels)):
+        own = order_of[edges[k] : edges[k + 1]]
+        rows, shorter, p = [], None, None
+        for order in range(ORDER + 1):
+            keys, which = np.unique(gram[own] % SYMBOLS ** (order + 1), return_inverse=True)
+            count = np.bincount(which, weights=n[own])
+            contexts, at = np.unique(keys // SYMBOLS, return_inverse=True)
+            total, distinct = np.bincount(at, weights=count), np.bincount(at)
+            # What follows a context has followed the shorter one too.
+            parent = np.full(len(keys), 1 / SYMBOLS) if order == 0 else p[np.searchsorted(shorter, keys % SYMBOLS**order)]
+            # After a context that all classes have followed there is no escape.
+            whole = distinct == SYMBOLS
+            mass = np.where(whole, 1, np.maximum(1 - np.bincount(at, weights=parent), 1e-12))
+            p = count / (total + np.where(whole, 0, distinct))[at]
+            escape = -np.log2(distinct / (total + distinct) / mass)
+            rows.append((keys.astype(np.int32), -np.log2(p).astype(np.float32), contexts.astype(np.int32), escape.astype(np.float32)))
+            shorter = keys
+        tables.append(rows)
+    return Model(labels, tables)
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", train_docs: int = 3000) -> Model | None:
     """The model of the labelled rows of ``df``; None if there are none with text."""
     rows = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(label).isNotNull())
-    sizes = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
+    sizes = sorted((name, count) for name, count in rows.groupBy(label).count().collect())
     if not sizes:
         return None
     # Twice the expected number is read at most; a language with fewer rows is read whole.
-    share = F.lit(0.0)
-    for name, count in sizes:
-        share = F.when(F.col(label) == name, min(1.0, train_docs / count)).otherwise(share)
+    shares = [(name, k, min(1.0, train_docs / count)) for k, (name, count) in enumerate(sizes)]
+    names = F.broadcast(df.sparkSession.createDataFrame(shares, "label string, __code int, __share double"))
     place = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    grams = count_grams(rows.where(place < share), text, label)
-    found = grams.orderBy(F.desc("n"), "label", "gram").limit(MAX_GRAMS).toArrow()
-    labels = sorted(set(found["label"].to_pylist()))
-    if not labels:
+    asked = rows.select(F.col(text).alias("text"), F.col(label).alias("label"), place.alias("__place")).join(names, "label").where("__place < __share")
+    grams = count_grams(asked, "text", "label")
+    found = grams.join(names, "label").select("__code", F.col("gram").cast("int"), "n").toArrow()
+    codes, which = np.unique(found["__code"].to_numpy(), return_inverse=True)
+    if not len(codes):
         return None
-    code = {name: k for k, name in enumerate(labels)}
-    label_codes = np.array([code[x] for x in found["label"].to_pylist()], np.int64)
-    return frozen(labels, label_codes, found["gram"].to_numpy(), found["n"].to_numpy())
+    return frozen([sizes[k][0] for k in codes], which, found["gram"].to_numpy(), found["n"].to_numpy())
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score", cost: str | None = None) -> DataFrame:

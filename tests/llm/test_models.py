@@ -41,6 +41,20 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
 
 
+def test_every_language_of_the_sample_counts(spark):
+    """Languages after the 64th and those of few rows are predicted too, with all their n-grams."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:02}": ["".join(rng.choices(letters, k=6)) for _ in range(12)] for k in range(80)}
+    rows = [(name, " ".join(rng.choices(words, k=20))) for k, (name, words) in enumerate(own.items()) for _ in range(2 if k > 70 else 6)]
+    df = spark.createDataFrame([(k, t, name) for k, (name, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.labels == list(own)
+    counted = {r["label"]: r["count"] for r in language.count_grams(df, "text", "lang").groupBy("label").count().collect()}
+    assert {name: len(model.tables[k][3][0]) for k, name in enumerate(own)} == counted
+    assert all(r.lang_pred == r.lang for r in language.predict(df, model).collect())
+
+
 def test_code_lengths_follow_the_definition():
     """Escapes and exclusions written out for one language."""
     train = ["abab abcab", "ab cab"]
