@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, jaccard, knn, language, packing, quality, secrets, substrings, url_rules
+from quire.llm import bpe, exact_dedup, jaccard, knn, language, packing, quality, queries_corpus, secrets, substrings, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secret_scans": op9_secret_scans,
     "op10_language_id": op10_language_id,
+    **queries_corpus.QUERIES,
 }
 
 OP2 = r"""
@@ -210,4 +211,11 @@ from t left join listed using (doc_id) group by doc_id
 """
 
 
-ORACLES: dict[str, str] = {"op3_exact_topk": OP3, "op2_substring_dedup": OP2, "op5_exact_dedup": OP5, "op6_url_filters": OP6, "op9_secret_scans": _op9()}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2,
+    "op3_exact_topk": OP3,
+    "op5_exact_dedup": OP5,
+    "op6_url_filters": OP6,
+    "op9_secret_scans": _op9(),
+    **queries_corpus.ORACLES,
+}
