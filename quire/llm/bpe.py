@@ -164,6 +164,13 @@ class Codec:
             self.fresh, self.stale = {}, fresh
         return out
 
+    def unknown(self, room: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, one after the other, and their numbers, of distinct tokens outside the vocabulary."""
+        raw = room.tobytes()
+        lists = self.known([raw[a:b] for a, b in zip(starts.tolist(), (starts + lengths).tolist())])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and where each row's ids end."""
         data, ends = text_bytes(column)
@@ -188,11 +195,7 @@ class Codec:
             tail = eight[starts[miss] + np.maximum(lengths[miss] - 8, 0)]
             key = mix(h[miss] ^ (eight[starts[miss]] * np.uint64(3) + tail) ^ lengths[miss].astype(np.uint64))
             _, first, which = np.unique(key, return_index=True, return_inverse=True)
-            raw = room.tobytes()
-            at, to = starts[miss[first]].tolist(), (starts[miss[first]] + lengths[miss[first]]).tolist()
-            lists = self.known([raw[a:b] for a, b in zip(at, to)])
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+            flat, sizes = self.unknown(room, starts[miss[first]], lengths[miss[first]], key[first])
             list_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             count[miss] = sizes[which]
         out_ends = np.cumsum(count)

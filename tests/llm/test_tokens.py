@@ -65,7 +65,6 @@ def test_tokenizer_ids(texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     ids, ends = packing.tokenizer_codec(TOKENIZER).encode(pa.array(texts))
     begin = 0
     for text, end in zip(texts, ends.tolist()):
@@ -73,6 +72,30 @@ def test_tokenizer_ids(texts):
         begin = end
 
 
+def test_marks_in_a_text_are_ids_of_their_own():
+    """As the library has it, also at the ends, next to each other and in a text that is otherwise plain."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    made = ["<|endoftext|> hi", "hi <|endoftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|>", " a\n<|endoftext|>\n b ", "<|endoftext", None, "", "zqxj <|endoftext|>zqxj"]
+    ids, ends = packing.tokenizer_codec(TOKENIZER).encode(pa.array(made))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in made]
+    assert want[0] == [50256, 23105]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())] == want
+
+
+def test_forgotten_tokens_are_asked_for_again(texts, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing.FileCodec, "REMEMBERED", 20)
+    codec, whole = packing.FileCodec(TOKENIZER), packing.tokenizer_codec(TOKENIZER)
+    for k in (0, 40, 80, 0, 40, 120):
+        part = pa.array(texts[k : k + 40])
+        assert codec.encode(part)[0].tolist() == whole.encode(part)[0].tolist()
+    assert len(codec.old.keys) > 0
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 64), packing.Limits(64, 8, 20), packing.Limits(1, 1, 1)])
 def test_packing(spark, texts, limits):
     few = texts[:150] + texts[-13:]
