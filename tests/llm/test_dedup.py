@@ -137,3 +137,19 @@ def test_empty_tables(spark):
     assert jaccard.components(none).count() == 0
     assert substrings.report(none).count() == 0
     assert exact_dedup.unique(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_jaccard_of_a_loose_group(spark, monkeypatch, block):
+    """Copies of one text with so many changes that most of them lie between 0.5 and 0.85 of each other."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for n in range(260):
+        own = base[:]
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((n, " ".join(own)))
+    got = [tuple(r) for r in jaccard.components(frame(spark, rows)).collect()]
+    assert plain.order(got) == plain.order(plain.jaccard(rows))
