@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import let
 from quire.functions.tokens import keywords
+from quire.session import cut_lineage
 
 QUERY_BLOCK = 2048
 CHUNK_BLOCK = 1 << 17
@@ -155,11 +156,18 @@ def knn_topk(
         .cogroup(cb.groupBy(*keys))
         .applyInArrow(_block_topk, "qid string, chunk_id string, distance double, flags_mask bigint, top_k bigint")
     )
+    most = k if isinstance(k, int) else (q.agg(F.max("top_k")).first()[0] or 0)
+    return ranked_hits(near, most).drop("top_k")
+
+
+def ranked_hits(near: DataFrame, most: int) -> DataFrame:
+    """The best ``top_k`` hits of each question with their rank; ``most`` is the largest k.
+
+    As a constant it lets Spark cut every question before the shuffle.
+    """
     order = Window.partitionBy("qid").orderBy("distance", "chunk_id")
     ranked = near.withColumn("rank", F.row_number().over(order))
-    # The largest k as a constant lets Spark cut every question before the shuffle.
-    most = k if isinstance(k, int) else (q.agg(F.max("top_k")).first()[0] or 0)
-    return ranked.filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("top_k")).drop("top_k")
+    return ranked.filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("top_k"))
 
 
 # --- reranking ----------------------------------------------------------------------------
@@ -285,6 +293,13 @@ def build_context(hits: DataFrame, rank_col: str, max_chunks: int = 8, max_chars
     return parts.select("qid", F.array_join(texts, "\n\n---\n\n").alias("context"), F.size("__p").alias("n_chunks"))
 
 
+def with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the text of their chunks; only texts of chunks that were hit are moved."""
+    hits = cut_lineage(hits)
+    texts = chunks.select("chunk_id", "text").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return hits.join(texts, "chunk_id", "left")
+
+
 def multipart_floor(marks: Column, target: Column, multipart: Column) -> Column:
     """Words each part of a long multi-part question should reach, else null."""
     return F.when((marks >= 10) & multipart, F.greatest(F.lit(180), F.floor(target * 0.28)).cast("bigint"))
@@ -296,26 +311,29 @@ def retrieve(
     flags: Sequence[str],
     semantic: str | Callable[[DataFrame], DataFrame] = "identity",
     top_n: int | None = None,
+    nearest: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked hits for planned questions: filtered neighbours, metadata boost, semantic rerank.
 
+    ``nearest`` finds the neighbours of planned questions in another way than ``knn_topk`` over all chunks, such as
+    ``balls.ball_topk`` with an index.
+
     ``planned`` carries qid, subject, qvec, question_text, target_sections, top_k, filter_names and,
     for the heuristic reranker, optionally required_categories.  A reranker of one's own is a
     function from hits (with ``boost_rank`` and chunk text) to hits with ``final_rank``.
     """
-    hits = knn_topk(planned, chunks, "top_k", "filter_names", flags)
+    hits = nearest(planned) if nearest else knn_topk(planned, chunks, "top_k", "filter_names", flags)
     wanted = [c for c in ("question_text", "target_sections", "top_k", "filter_names", "required_categories") if c in planned.columns]
     info = planned.select("qid", *wanted)
     boosted = metadata_boost(hits.join(info, "qid"), flags)
     if semantic == "identity":
         out = identity_rerank(boosted, "boost_rank", top_n).withColumn("final_rank", F.col("boost_rank"))
     elif callable(semantic):
-        out = semantic(boosted.join(chunks.select("chunk_id", "text"), "chunk_id", "left"))
+        out = semantic(with_text(boosted, chunks))
         out = out if top_n is None else out.filter(F.col("final_rank") <= max(top_n, 0))
     elif semantic == "heuristic":
-        with_text = boosted.join(chunks.select("chunk_id", "text"), "chunk_id", "left")
         required = "required_categories" if "required_categories" in wanted else None
-        out = heuristic_rerank(with_text, flags, "boost_rank", required, top_n).withColumn("final_rank", F.col("rerank"))
+        out = heuristic_rerank(with_text(boosted, chunks), flags, "boost_rank", required, top_n).withColumn("final_rank", F.col("rerank"))
     else:
         raise ValueError(f"unknown reranker {semantic!r}")
     return out.withColumn("filter_active", F.size("filter_names") > 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import lexicon as L
 from quire.functions import text as T
 from quire.operators import planning as Q
+from quire.operators import balls
 from quire.operators import retrieval as G
 from quire.plans.queries_questions import D_AQ, D_BP
 from quire.plans.queries_text import D_MULTIPART
@@ -42,17 +43,23 @@ def planned(v):
     return Q.retrieval_plan(Q.analyze_questions(v.qv))
 
 
-@query(
-    "g1_knn_topk",
-    f"""select qid, chunk_id, round(dist, 6) as distance, rk as rank from (
+D_NEAREST = f"""select qid, chunk_id, round(dist, 6) as distance, rk as rank from (
       select q.qid, c.chunk_id, {D_DIST_QC} as dist, row_number() over (partition by q.qid order by {D_DIST_QC}, c.chunk_id) as rk
-      from qv q join f6 c on q.subject = c.subject) where rk <= 8""",
-)
+      from qv q join f6 c on q.subject = c.subject) where rk <= 8"""
+
+
+@query("g1_knn_topk", D_NEAREST)
 def _(v):
     hits = G.knn_topk(v.qv, v.f6, 8)
     return hits.select("qid", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint"))
 
 
+@query("g1_ball_index_topk", D_NEAREST)
+def _(v):
+    hits = balls.ball_topk(v.qv, balls.ball_index(v.f6, rows_per_ball=64), 8)
+    return hits.select("qid", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint"))
+
+
 @query("g2_metadata_filter", "select chunk_id, subject from f6 where section_management or section_diagram")
 def _(v):
     return G.metadata_filter(v.f6, ["section_management", "section_diagram"]).select("chunk_id", "subject")
@@ -64,6 +71,12 @@ def _(v):
     return hits.select("qid", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint"))
 
 
+@query("g3_ball_index_per_question_k", f"with {D_H} select qid, chunk_id, round(dist, 6) as distance, rk as rank from h")
+def _(v):
+    hits = balls.ball_topk(planned(v), balls.ball_index(v.f6, FLAGS, rows_per_ball=64), "top_k", "filter_names")
+    return hits.select("qid", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint"))
+
+
 @query(
     "g4_metadata_boost",
     f"with {D_H} select qid, chunk_id, cast(matches as bigint) as matches, round(boosted, 6) as distance, brk as rank from hr",
@@ -188,7 +201,7 @@ def _(v):
 )
 def _(v):
     p = planned(v)
-    hits = G.retrieve(p, v.f6, FLAGS).join(v.f6.select("chunk_id", "text"), "chunk_id", "left")
+    hits = G.with_text(G.retrieve(p, v.f6, FLAGS), v.f6)
     ctx = G.build_context(hits, "final_rank")
     marks = F.coalesce("marks", F.lit(10))
     target = F.when(marks == 5, F.lit(L.ANSWER_TARGETS[5])).otherwise(F.lit(L.ANSWER_TARGETS[10]))
