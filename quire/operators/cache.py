@@ -48,6 +48,24 @@ def cache_key(
     return F.substring(F.sha2(parts, 256), 1, 16)
 
 
+def fixed_reasons(embedding_model: str, current: Mapping[str, int] = L.COMPONENT_VERSIONS) -> Column:
+    """Reasons that follow from the answer alone: components and embedding model."""
+    drift = lambda c: F.lit(f"{c}_version_drift")
+    without = [F.lit(MISSING_VERSIONS), *[drift(c) for c, v in current.items() if v != 0]]
+    checks = []
+    for component, value in current.items():
+        have = F.try_element_at("versions", F.lit(component))
+        differs = F.when(have.isNull(), F.lit(value != 0)).otherwise(have != value)
+        checks.append(F.when(differs, drift(component)))
+    checks.append(F.when(F.col("embedding_model") != embedding_model, F.lit(EMBEDDING_DRIFT)))
+    return F.when(F.col("versions").isNull(), F.array(*without)).otherwise(F.array_compact(F.array(*checks)))
+
+
+def watches_corpus(subject: str = "subject") -> Column:
+    """Whether the revision of the corpus matters to an answer: it has versions and a subject."""
+    return F.col("versions").isNotNull() & (F.coalesce(F.col(subject), F.lit("")) != "")
+
+
 def stale_reasons(
     answers: DataFrame,
     kb: DataFrame,
@@ -64,18 +82,9 @@ def stale_reasons(
     revisions = kb.groupBy(subject).agg(F.max("revision").alias("__rev"))
     joined = answers.join(revisions, subject, "left")
     rev = F.coalesce("__rev", F.lit(0))
-    drift = lambda c: F.lit(f"{c}_version_drift")
-    without = [F.lit(MISSING_VERSIONS), *[drift(c) for c, v in current.items() if v != 0]]
-    checks = []
-    for component, value in current.items():
-        have = F.try_element_at("versions", F.lit(component))
-        differs = F.when(have.isNull(), F.lit(value != 0)).otherwise(have != value)
-        checks.append(F.when(differs, drift(component)))
-    checks.append(F.when(F.col("embedding_model") != embedding_model, F.lit(EMBEDDING_DRIFT)))
     kb_moved = F.when(F.col("kb_revision").isNull(), rev > 0).otherwise(F.col("kb_revision") != rev)
-    checks.append(F.when((F.coalesce(F.col(subject), F.lit("")) != "") & kb_moved, F.lit(KB_REINDEXED)))
-    reasons = F.when(F.col("versions").isNull(), F.array(*without)).otherwise(F.array_compact(F.array(*checks)))
-    return joined.withColumn("stale_reasons", reasons).drop("__rev")
+    corpus = F.when(watches_corpus(subject) & kb_moved, F.array(F.lit(KB_REINDEXED))).otherwise(F.array().cast("array<string>"))
+    return joined.withColumn("stale_reasons", F.concat(fixed_reasons(embedding_model, current), corpus)).drop("__rev")
 
 
 def mark_stale(answers: DataFrame, kb: DataFrame, embedding_model: str, **kw) -> DataFrame:

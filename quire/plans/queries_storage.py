@@ -179,10 +179,13 @@ def _(v):
 def _(v):
     root = scratch(v, "suites")
     rows = suite(v).drop("question_text")
+    # A version is a folder of documents of about a thousand questions, one in each file.
+    blocks = max(1, rows.count() // 1000)
     for name, part in (("v1", rows), ("v2", rows.filter("subject <> 'en'"))):
-        # A suite is one document with all its questions.
-        document = part.agg(F.collect_list(F.struct(*part.columns)).alias("questions"))
-        document.select(F.to_json(F.struct("questions"), {"pretty": "true"}).alias("value")).write.text(f"{root}/{name}.json")
+        block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")
+        documents = part.groupBy(F.col("module").alias("of"), block).agg(F.collect_list(F.struct(*part.columns)).alias("questions"))
+        text = F.to_json(F.struct("questions"), {"pretty": "true"}).alias("value")
+        documents.select("of", "block", text).write.partitionBy("of", "block").text(f"{root}/{name}.json")
     return S.read_eval_suite(v.spark, root, "v2").select("version", "module", "qid", F.col("marks").cast("bigint").alias("marks"))
 
 

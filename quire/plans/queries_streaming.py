@@ -16,26 +16,28 @@ from quire.streaming import runs as R
 CUTS = ["2024-01-09", "2024-01-16", "2024-01-24"]
 
 
-def in_files(df, path: str, conditions: list[str]):
-    """Write the rows of each condition after one another, so that files arrive in this order."""
-    for cond in conditions:
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+def run(v, steps, stream_of, mode, sink=None):
+    """Feed tables to a stream step by step, stopping it in between, and return the folder of its output.
+
+    A step is a list of tables, one for each input of the stream; each is appended as many files as Spark makes
+    of it.  Every step starts the stream anew from its checkpoint.
+    """
+    out, ckpt, inbox = scratch(v, "stream-out"), scratch(v, "stream-ckpt"), scratch(v, "inbox")
+    for step in steps:
+        inputs = []
+        for i, df in enumerate(step):
+            df.write.mode("append").parquet(f"{inbox}/{i}")
+            inputs.append(R.open_stream(v.spark, f"{inbox}/{i}", df.schema, None))
+        R.drain(stream_of(*inputs), ckpt, (sink or R.batch_sink)(out), mode)
+    return out
 
 
-def log_stream(v):
-    """The ingest log as a stream of files in time order."""
-    path = scratch(v, "log-files") + "/in"
+def log_steps(v):
+    """The ingest log in time order."""
     log = v.f7.withColumn("ts", F.col("ts").cast("timestamp"))
     lo = ["timestamp'1900-01-01'", *[f"timestamp'{c}'" for c in CUTS]]
     hi = [*[f"timestamp'{c}'" for c in CUTS], "timestamp'2900-01-01'"]
-    in_files(log, path, [f"ts >= {a} and ts < {b}" for a, b in zip(lo, hi)])
-    return R.open_stream(v.spark, path, log.schema)
-
-
-def run(v, stream, mode, sink=None):
-    out, ckpt = scratch(v, "stream-out"), scratch(v, "stream-ckpt")
-    R.drain(stream, ckpt, (sink or R.batch_sink)(out), mode)
-    return out
+    return [[log.filter(f"ts >= {a} and ts < {b}")] for a, b in zip(lo, hi)]
 
 
 def stamps(df, *cols):
@@ -48,18 +50,16 @@ def stamps(df, *cols):
 )
 def _(v):
     v = v.for_streams()
-    path = scratch(v, "inbox") + "/in"
     pages = v.raw.select("doc_id", "text")
-    in_files(pages, path, [f"doc_id % 4 = {i}" for i in range(4)])
-    stream = ST.new_contents(R.open_stream(v.spark, path, pages.schema))
-    out = run(v, stream, "append", lambda p: ST.ingest_sink(p, 300, 60))
+    steps = [[pages.filter(f"doc_id % 4 = {i}")] for i in range(4)]
+    out = run(v, steps, ST.new_contents, "append", lambda p: ST.ingest_sink(p, 300, 60))
     return v.spark.read.parquet(out).groupBy("content_sha").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 @query("l2_stream_status", "select book_id, arg_max(status, (ts, event_id)) as status from f7 group by book_id")
 def _(v):
     v = v.for_streams()
-    out = run(v, ST.stream_status(log_stream(v)), "update")
+    out = run(v, log_steps(v), ST.stream_status, "update")
     return R.latest_per_key(v.spark, out, ["book_id"]).select("book_id", "status")
 
 
@@ -69,7 +69,7 @@ def _(v):
 )
 def _(v):
     v = v.for_streams()
-    out = run(v, ST.stream_activity(log_stream(v), "6 hours"), "update")
+    out = run(v, log_steps(v), lambda log: ST.stream_activity(log, "6 hours"), "update")
     rows = R.latest_per_key(v.spark, out, ["start", "status"])
     return stamps(rows, "start").select("start", "status", "n", F.round("max_percent", 6).alias("max_percent"))
 
@@ -80,7 +80,7 @@ def _(v):
 )
 def _(v):
     v = v.for_streams()
-    out = run(v, ST.stream_activity(log_stream(v), "12 hours", "6 hours"), "update")
+    out = run(v, log_steps(v), lambda log: ST.stream_activity(log, "12 hours", "6 hours"), "update")
     return stamps(R.latest_per_key(v.spark, out, ["start", "status"]), "start").select("start", "status", "n")
 
 
@@ -93,7 +93,7 @@ def _(v):
 )
 def _(v):
     v = v.for_streams()
-    out = run(v, ST.stream_sessions(log_stream(v), "8 hours"), "append")
+    out = run(v, log_steps(v), lambda log: ST.stream_sessions(log, "8 hours"), "append")
     return stamps(v.spark.read.parquet(out), "start").select("book_id", "start", "n")
 
 
@@ -104,22 +104,24 @@ def _(v):
 )
 def _(v):
     v = v.for_streams()
-    out = run(v, ST.stream_job_state(log_stream(v)), "update")
+    out = run(v, log_steps(v), ST.stream_job_state, "update")
     rows = R.latest_per_key(v.spark, out, ["book_id"])
     return rows.select("book_id", "status", F.round("percent", 6).alias("percent"))
 
 
-def answer_stream(v, df):
-    path = scratch(v, "answer-files") + "/in"
-    in_files(df, path, [f"conv_id % 3 = {i}" for i in range(3)])
-    return R.open_stream(v.spark, path, df.schema)
+def answer_steps(df):
+    return [[df.filter(f"conv_id % 3 = {i}")] for i in range(3)]
 
 
 @query("l5_stream_stale", f"with {D_STALE} select qid, len(reasons) > 0 as stale, array_to_string(reasons, ',') as stale_reasons from sr")
 def _(v):
     v = v.for_streams()
-    out = run(v, ST.stream_stale(answer_stream(v, cached(v)), kb(v), MODEL), "append")
-    return v.spark.read.parquet(out).select("qid", "stale", F.array_join("stale_reasons", ",").alias("stale_reasons"))
+    # Revisions rise while answers arrive; the last bump comes when all answers are open.
+    bumps = [kb(v).withColumn("revision", F.greatest(F.lit(0), F.col("revision") - n)) for n in (2, 1, 0)]
+    steps = [[answers, bump] for (answers,), bump in zip(answer_steps(cached(v)), bumps)]
+    out = run(v, steps, lambda a, b: ST.stream_staleness(a, b, MODEL), "update")
+    rows = R.latest_per_key(v.spark, out, ["qid"])
+    return rows.select("qid", "stale", F.array_join("stale_reasons", ",").alias("stale_reasons"))
 
 
 _BLUEPRINT_RULES = ("WordCount", "RequiredSections", "BlueprintCompliance", "EvidenceCoverage")
@@ -128,6 +130,6 @@ _BLUEPRINT_RULES = ("WordCount", "RequiredSections", "BlueprintCompliance", "Evi
 @query("l6_stream_validate", f"{d_report(_BLUEPRINT_RULES)} select qid, passed, round(score, 6) as score, failed_rules from rep")
 def _(v):
     v = v.for_streams()
-    validated = ST.stream_validate(answer_stream(v, v.f5h), disabled=_BLUEPRINT_RULES)
-    out = run(v, H.validation_summary(validated), "append")
+    summary = lambda answers: H.validation_summary(ST.stream_validate(answers, disabled=_BLUEPRINT_RULES))
+    out = run(v, answer_steps(v.f5h), summary, "append")
     return v.spark.read.parquet(out).select("qid", "passed", F.round("score", 6).alias("score"), "failed_rules")

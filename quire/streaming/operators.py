@@ -151,6 +151,93 @@ def stream_stale(answers: DataFrame, revisions: DataFrame, embedding_model: str)
     return cache.mark_stale(answers, revisions, embedding_model)
 
 
+ANSWER_STATE = "kb_revision bigint, reasons string"
+STALE_OUTPUT = "qid string, stale boolean, stale_reasons array<string>, revision bigint"
+#: Answers of a subject are spread over this many states; every bump of its revision goes to all of them.
+SUBJECT_PARTS = 16
+
+
+class Staleness(StatefulProcessor):
+    """Open answers of a part of a subject, judged again whenever the subject's revision rises.
+
+    State is the highest revision so far and, for each answer, its own revision and the reasons that
+    follow from the answer alone.  Rows of a batch may come in any order: bumps are taken first.
+    Answers are put out in frames of a bounded length.
+    """
+
+    FRAME = 10_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.revision = handle.getValueState("revision", "revision bigint")
+        self.answers = handle.getMapState("answers", "qid string", ANSWER_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.revision.get()[0] if self.revision.exists() else 0
+        now, fresh = before, {}
+        for pdf in rows:
+            bumps = pdf["revision"].dropna()
+            if len(bumps):
+                now = max(now, int(bumps.max()))
+            arrived = pdf[pdf["qid"].notna()]
+            for qid, kb, reasons in zip(arrived["qid"], arrived["kb_revision"], arrived["reasons"]):
+                fresh[qid] = (None if pd.isna(kb) else int(kb), reasons)
+        for qid, answer in fresh.items():
+            self.answers.updateValue((qid,), answer)
+        if now != before:
+            self.revision.update((now,))
+            judged = ((k[0], tuple(v)) for k, v in self.answers.iterator())
+        else:
+            judged = iter(fresh.items())
+        frame = []
+        for qid, (kb, reasons) in judged:
+            found = reasons.split(",") if reasons else []
+            if (kb or 0) != now if kb is not None else now > 0:
+                found.append(cache.KB_REINDEXED)
+            frame.append((qid, bool(found), found, now))
+            if len(frame) == self.FRAME:
+                yield pd.DataFrame(frame, columns=["qid", "stale", "stale_reasons", "revision"])
+                frame = []
+        if frame:
+            yield pd.DataFrame(frame, columns=["qid", "stale", "stale_reasons", "revision"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_staleness(answers: DataFrame, bumps: DataFrame, embedding_model: str, subject: str = "subject", parts: int = SUBJECT_PARTS) -> DataFrame:
+    """Staleness of open answers, with both sides as streams; run in update mode.
+
+    ``answers`` has qid, subject, versions, embedding_model and kb_revision, ``bumps`` (subject, revision).  An
+    answer is put out when it arrives and again when its subject's revision rises; a later answer of the same
+    qid replaces it.  Answers that the corpus doesn't matter to are judged by themselves and keep no state.
+    """
+    reasons = F.array_join(cache.fixed_reasons(embedding_model), ",")
+    watched = cache.watches_corpus(subject)
+    none = lambda kind: F.lit(None).cast(kind)
+    left = answers.select(
+        # An answer without a subject has a key of its own kind, which no bump reaches.
+        F.when(watched, F.col(subject)).alias("subject"),
+        F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part"),
+        F.col("qid").cast("string").alias("qid"),
+        F.col("kb_revision").cast("bigint").alias("kb_revision"),
+        reasons.alias("reasons"),
+        none("bigint").alias("revision"),
+    )
+    right = bumps.filter(F.col(subject).isNotNull()).select(
+        F.col(subject).alias("subject"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+        none("string").alias("qid"),
+        none("bigint").alias("kb_revision"),
+        none("string").alias("reasons"),
+        F.col("revision").cast("bigint").alias("revision"),
+    )
+    alone = left.filter("subject is null")
+    open_ = left.filter("subject is not null").unionByName(right)
+    judged = open_.groupBy("subject", "part").transformWithStateInPandas(Staleness(), STALE_OUTPUT, "Update", "None")
+    own = F.when(F.col("reasons") == "", F.array().cast("array<string>")).otherwise(F.split("reasons", ","))
+    return judged.unionByName(alone.select("qid", (F.col("reasons") != "").alias("stale"), own.alias("stale_reasons"), F.lit(0).cast("bigint").alias("revision")))
+
+
 def stream_validate(answers: DataFrame, disabled=()) -> DataFrame:
     """The validation projection on arriving answers."""
     return validation.validate(answers, disabled)

@@ -15,8 +15,10 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1, fmt: str = "parquet") -> DataFrame:
+    """Files of a folder as they arrive; without ``files_per_trigger`` all new ones make one batch."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
 def drain(

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from quire import lexicon as L
 from quire.streaming import operators as ST
 from quire.streaming import runs as R
 
@@ -72,3 +73,39 @@ def test_restart_adds_nothing(spark, tmp_path):
     assert len(once()) == 2
     pages.withColumn("text", F.concat("text", F.lit("!"))).coalesce(1).write.mode("append").parquet(path)
     assert len(once()) == 4
+
+
+ANSWERS = "qid string, subject string, versions map<string,int>, embedding_model string, kb_revision int"
+VERSIONS = dict(L.COMPONENT_VERSIONS)
+
+
+def test_staleness_follows_both_streams(spark, tmp_path):
+    """Open answers come again when a revision rises, after restarts too; others stay as they are."""
+    s = session(spark)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    answers = [
+        [("a", "x", VERSIONS, "m", 1), ("b", "y", VERSIONS, "m", None), ("c", None, VERSIONS, "old", 3), ("d", "x", None, "m", 1)],
+        [("e", "x", VERSIONS, "m", 2)],
+        [("a", "x", VERSIONS, "m", 3)],
+        [],
+    ]
+    bumps = [[("x", 1)], [("x", 2), ("x", 1), (None, 9)], [("x", 3)], [("y", 1), ("x", 2)]]
+    seen = []
+    for n, (a, b) in enumerate(zip(answers, bumps)):
+        s.createDataFrame(a, ANSWERS).write.mode("append").parquet(str(tmp_path / "a"))
+        s.createDataFrame(b, "subject string, revision int").write.mode("append").parquet(str(tmp_path / "b"))
+        left = R.open_stream(s, str(tmp_path / "a"), s.createDataFrame([], ANSWERS).schema, None)
+        right = R.open_stream(s, str(tmp_path / "b"), s.createDataFrame([], "subject string, revision int").schema, None)
+        R.drain(ST.stream_staleness(left, right, "m", parts=3), ck, R.batch_sink(out), "update")
+        rows = R.latest_per_key(s, out, ["qid"]).collect()
+        seen.append({r.qid: tuple(r.stale_reasons) for r in rows})
+    kb = ("kb_reindexed",)
+    assert {q: r for q, r in seen[0].items() if q != "d"} == {"a": (), "b": (), "c": ("embedding_model_drift",)}
+    assert seen[0]["d"][0] == "missing_versions_field" and seen[3]["d"] == seen[0]["d"]
+    assert seen[1]["a"] == kb and seen[1]["e"] == ()
+    assert seen[2]["a"] == () and seen[2]["e"] == kb and seen[2]["b"] == ()
+    assert seen[3]["b"] == kb and seen[3]["a"] == () and seen[3]["c"] == ("embedding_model_drift",)
+    # Nothing new arrives: nothing is put out.
+    n = s.read.parquet(out).count()
+    R.drain(ST.stream_staleness(left, right, "m", parts=3), ck, R.batch_sink(out), "update")
+    assert s.read.parquet(out).count() == n
