@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.arrays import let
-from quire.operators.blocked import number_rows
+from quire.operators.blocked import BLOCK, last_seen, next_seen, number_rows, running_sum
+from quire.operators.chains import visited
 from quire.operators.pages import page_quality_flags
 from quire.session import cut_lineage
 
@@ -266,25 +266,29 @@ def select_layout_pages(
     return ranked.join(limits, "book_id").filter(F.col("rn") <= F.col("budget"))
 
 
-def page_ranges(selected: DataFrame, merge_gap: int = 1, max_span: int = 28) -> DataFrame:
-    """Merge selected pages into ranges; input is a budgeted selection (a few hundred per book)."""
-    lists = selected.groupBy("book_id").agg(F.array_sort(F.collect_set("page_num")).alias("p"))
-    empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-
-    def step(acc: Column, page: Column) -> Column:
-        def extend(cur: Column) -> Column:
-            fits = (page - cur["hi"] <= merge_gap + 1) & (page - cur["lo"] < max_span)
-            grown = F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(cur["lo"].alias("lo"), page.alias("hi"))),
-            )
-            return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(page.alias("lo"), page.alias("hi")))))
-
-        fresh = F.array(F.struct(page.alias("lo"), page.alias("hi")))
-        return F.when(F.size(acc) == 0, fresh).otherwise(let(F.try_element_at(acc, F.lit(-1)), extend))
+def page_ranges(
+    selected: DataFrame, merge_gap: int = 1, max_span: int = 28, block: int = BLOCK, materialize: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
+    """Merge selected pages into ranges of at most ``max_span`` pages, over gaps of at most ``merge_gap``.
 
-    ranges = F.aggregate("p", empty, step)
-    out = lists.select("book_id", F.inline(ranges))
+    A range ends before the first page that lies behind a larger gap or too far from the range's first
+    page.  So every page knows which one would begin the next range, and the ranges that occur begin at the
+    pages that the chain of these successors visits.
+    """
+    pages = selected.groupBy("book_id", "page_num").agg(F.count(F.lit(1)).alias("copies"))
+    placed = materialize(running_sum(pages, ["book_id"], ["page_num"], {"idx": F.lit(1)}, width=block).drop("copies"))
+    none = F.lit(None).cast("bigint")
+    here = placed.select("book_id", F.col("page_num").cast("bigint").alias("pos"), F.lit(0).alias("probe"), F.col("idx").alias("page"), none.alias("idx"))
+    far = placed.select("book_id", (F.col("page_num") + max_span - 1).cast("bigint").alias("pos"), F.lit(1).alias("probe"), none.alias("page"), "idx")
+    far = next_seen(here.unionByName(far), ["book_id"], ["pos", "probe"], {"far": F.col("page")}, width=block).filter("probe = 1").select("book_id", "idx", "far")
+    before = last_seen(placed, ["book_id"], ["page_num"], {"last": F.col("page_num")}, width=block, inclusive=False)
+    apart = F.when(F.col("page_num") - F.col("last") > merge_gap + 1, F.col("idx"))
+    island = next_seen(before, ["book_id"], ["page_num"], {"gap": apart}, width=block).select("book_id", "idx", "gap")
+    edges = far.join(island, ["book_id", "idx"]).select("book_id", "idx", F.least("far", "gap").alias("nxt"))
+    starts = visited(materialize(edges), "book_id", block, materialize).withColumnRenamed("number", "begins")
+    joined = placed.join(starts, ["book_id", "idx"], "left")
+    filled = last_seen(joined, ["book_id"], ["page_num"], {"range_no": F.col("begins")}, width=block)
+    out = filled.groupBy("book_id", "range_no").agg(F.min("page_num").alias("lo"), F.max("page_num").alias("hi"))
     return out.select(
         "book_id",
         F.col("lo").alias("start_page"),

@@ -1,62 +1,22 @@
 """Greedy packing of consecutive pages into batches of a limited size.
 
-Greedy packing looks sequential: where a batch starts depends on all batches before.  It is still
-exact when done in pieces.  The batch after a given page depends only on text lengths, so every
-page first learns its successor (the page that would start the next batch).  Blocks of pages then
-resolve their own chains, one row per possible entry page, a short walk over blocks picks the
-entries that really occur, and the blocks mark their starts.
+Greedy packing looks sequential: where a batch starts depends on all batches before.  But which page would
+start the next batch depends only on text lengths, so every page first learns its successor; the
+starts that occur are then the rows visited by the chain of successors (see ``chains``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.blocked import BLOCK, last_seen, next_seen, running_sum
+from quire.operators.chains import visited
 from quire.session import cut_lineage
 
 
-def _resolve_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For every entry page: the page after its chain leaves the block, and the batches on the way."""
-    pdf = pdf.sort_values("page_num")
-    pages, nexts = pdf["page_num"].to_numpy(), pdf["nxt"].to_numpy()
-    where = {p: i for i, p in enumerate(pages)}
-    leave, count = nexts.copy(), [1] * len(pages)
-    for i in range(len(pages) - 1, -1, -1):
-        inside = where.get(nexts[i])
-        if inside is not None:
-            leave[i], count[i] = leave[inside], count[inside] + 1
-    out = pd.DataFrame({"book_id": pdf["book_id"].to_numpy(), "block": pdf["block"].to_numpy(), "entry": pages, "leave": leave, "n": count})
-    return out[pdf["is_entry"].to_numpy()]
-
-
-def _walk_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entries that occur, from the first page of the book on, with the batches before them."""
-    step = {e: (l, n, b) for e, l, n, b in zip(pdf["entry"], pdf["leave"], pdf["n"], pdf["block"])}
-    at, before, rows = pdf["entry"].min(), 0, []
-    book = pdf["book_id"].iloc[0]
-    while at in step:
-        leave, n, block = step[at]
-        rows.append((book, block, at, before))
-        before += n
-        at = leave
-    return pd.DataFrame(rows, columns=["book_id", "block", "entry", "before"])
-
-
-def _mark_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    follow = dict(zip(pdf["page_num"], pdf["nxt"]))
-    at, number, rows = pdf["entry"].iloc[0], int(pdf["before"].iloc[0]), []
-    book = pdf["book_id"].iloc[0]
-    while at in follow:
-        number += 1
-        rows.append((book, at, number))
-        at = follow[at]
-    return pd.DataFrame(rows, columns=["book_id", "page_num", "batch"])
-
-
 def pack_pages(
     pages: DataFrame,
     max_chars: int = 9000,
@@ -65,35 +25,17 @@ def pack_pages(
 ) -> DataFrame:
     """``(book_id, page_num, batch_no)``: a page counts its length plus two; a longer page is alone."""
     sized = pages.select("book_id", "page_num", (F.length(F.coalesce("text", F.lit(""))) + 2).cast("bigint").alias("size"))
-    placed = materialize(running_sum(sized, ["book_id"], ["page_num"], {"begin": F.col("size")}, width=block))
-    ends = placed.select(
-        "book_id", (F.col("begin") + F.col("size")).alias("pos"), F.lit(0).alias("probe"), F.col("page_num").alias("ending"), F.lit(None).cast("bigint").alias("page_num")
-    )
-    limits = placed.select(
-        "book_id", (F.col("begin") + max_chars).alias("pos"), F.lit(1).alias("probe"), F.lit(None).cast("bigint").alias("ending"), "page_num"
-    )
+    sums = {"begin": F.col("size"), "idx": F.lit(1)}
+    placed = materialize(running_sum(sized, ["book_id"], ["page_num"], sums, width=block))
+    none = F.lit(None).cast("bigint")
+    ends = placed.select("book_id", (F.col("begin") + F.col("size")).alias("pos"), F.lit(0).alias("probe"), F.col("idx").alias("ending"), none.alias("idx"))
+    limits = placed.select("book_id", (F.col("begin") + max_chars).alias("pos"), F.lit(1).alias("probe"), none.alias("ending"), "idx")
     # First page that ends beyond the limit of a batch begun here, but at least the next page.
     seen = next_seen(ends.unionByName(limits), ["book_id"], ["pos", "probe"], {"over": F.col("ending")}, width=max_chars * 512)
-    last_page = placed.groupBy("book_id").agg(F.max("page_num").alias("last_page"))
-    nxt = F.greatest(F.col("over"), F.when(F.col("over").isNotNull(), F.col("page_num") + 1))
-    edges = seen.filter("probe = 1").join(last_page, "book_id").select(
-        "book_id",
-        "page_num",
-        F.coalesce(F.when(nxt <= F.col("last_page"), nxt), F.lit(-1)).cast("bigint").alias("nxt"),
-        F.floor((F.col("page_num") - 1) / block).cast("bigint").alias("block"),
-    )
-    edges = materialize(edges)
-    crossing = edges.filter((F.col("nxt") > 0) & (F.floor((F.col("nxt") - 1) / block) != F.col("block")))
-    entries = crossing.select("book_id", F.col("nxt").alias("page_num")).distinct().withColumn("e", F.lit(True))
-    flagged = edges.join(entries, ["book_id", "page_num"], "left").withColumn(
-        "is_entry", F.coalesce("e", F.col("page_num") == 1)
-    ).drop("e")
-    schema = "book_id string, block bigint, entry bigint, leave bigint, n bigint"
-    chains = flagged.groupBy("book_id", "block").applyInPandas(_resolve_block, schema)
-    actual = chains.groupBy("book_id").applyInPandas(_walk_blocks, "book_id string, block bigint, entry bigint, before bigint")
-    marked = edges.join(actual, ["book_id", "block"]).groupBy("book_id", "block").applyInPandas(
-        _mark_starts, "book_id string, page_num bigint, batch bigint"
-    )
-    joined = placed.select("book_id", "page_num").join(marked, ["book_id", "page_num"], "left")
+    total = placed.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    nxt = F.when(F.col("over").isNotNull(), F.greatest(F.col("over"), F.col("idx") + 1))
+    edges = seen.filter("probe = 1").join(total, "book_id").select("book_id", "idx", F.when(nxt < F.col("n"), nxt).alias("nxt"))
+    starts = visited(materialize(edges), "book_id", block, materialize).withColumnRenamed("number", "batch")
+    joined = placed.select("book_id", "page_num", "idx").join(starts, ["book_id", "idx"], "left")
     filled = last_seen(joined, ["book_id"], ["page_num"], {"batch_no": F.col("batch")}, width=block)
     return filled.select("book_id", "page_num", "batch_no")
