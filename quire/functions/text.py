@@ -50,13 +50,15 @@ def lines_of(text: Column) -> Column:
 
 # White space as page text has it: also no-break, thin and ideographic blanks and the separators.
 _BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same as a class of a pattern: with (?U) Java's own white space is all of them but the four separators.
+_BLANK = r"(?U)[\s\x1c-\x1f]"
+_BLANK_BUT_SPACE = r"[\s\x1c-\x1f&&[^ ]]"
 
 
 def words_of(text: Column) -> Column:
     """Blank-separated tokens; an all-blank text has none."""
     body = strip_blanks(text)
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"[{_BLANK}]+"))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"{_BLANK}+"))
 
 
 def count_words(text: Column) -> Column:
@@ -74,7 +76,7 @@ def rstrip_blanks(text: Column) -> Column:
 
 def squeeze_blanks(text: Column) -> Column:
     """Single blanks between tokens; runs that are already one blank are left alone."""
-    return strip_blanks(F.regexp_replace(text, f"[{_BLANK}]{{2,}}|[{_BLANK}&&[^ ]]", " "))
+    return strip_blanks(F.regexp_replace(text, f"{_BLANK}{{2,}}+|{_BLANK_BUT_SPACE}", " "))
 
 
 def chars_matching(text: Column, char_class: str) -> Column:
@@ -98,23 +100,27 @@ def strip_header_footer(text: Column) -> Column:
 
 
 def _collapse_line(line: Column) -> Column:
-    end = r"(?= |$)"
-    # Every rule is about a blank followed by a single letter, so that is tested first.  The blank
-    # goes if it lies inside a run of three or more single letters (two before it, or one before
-    # and two after) or if such a run follows a longer alphabetic token (Java wants a number there; this one
-    # is beyond any text).
-    drop = (
-        rf" (?=\p{{L}}{end})(?:(?<=(?:^| )\p{{L}} \p{{L}} )|(?<=(?:^| )\p{{L}} )(?=\p{{L}} \p{{L}}{end})"
-        rf"|(?=\p{{L}} \p{{L}} \p{{L}}{end})(?<=(?:^| )\p{{L}}{{2,1000000000}} ))"
-    )
+    """Join runs of three or more single letters, also with a longer alphabetic token before them.
+
+    Every pattern is anchored at a token's start or looks a fixed number of characters around, so the time
+    grows with the length of the line.
+    """
+    end, begin = r"(?![^ ])", r"(?<![^ ])"
+    run = rf"\p{{L}} \p{{L}} \p{{L}}{end}"
+    # The blank between a longer token and a run is doubled first, as no others are double here.
+    after_token = rf"{begin}(\p{{L}}{{2,}}+) (?={run})"
+    # A blank inside a run: two letters before it, or one before and two after.
+    inside = rf" (?=\p{{L}}{end})(?:(?<=(?:^| )\p{{L}} \p{{L}} )|(?<=(?:^| )\p{{L}} )(?=\p{{L}} \p{{L}}{end}))"
 
     def rewrite(s: Column) -> Column:
-        all_single = s.rlike(r"^\p{L}(?: \p{L}){2,}$")
+        all_single = s.rlike(r"^\p{L}(?: \p{L}){2,}+$")
         joined = F.regexp_replace(s, " ", "")
+        marked = F.regexp_replace(F.regexp_replace(s, after_token, "$1  "), inside, "")
         return (
             F.when(~s.rlike(r"^\S+ \S+ \S"), line)
+            .when(~s.rlike(begin + run), s)
             .when(all_single, F.when(joined.rlike(r"\p{Lu}") | (F.length(joined) > 8), joined).otherwise(line))
-            .otherwise(F.regexp_replace(s, drop, ""))
+            .otherwise(F.replace(marked, F.lit("  "), F.lit("")))
         )
 
     return let(squeeze_blanks(line), rewrite)
