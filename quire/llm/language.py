@@ -211,9 +211,11 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", pred: str =
     return df.withColumn("__lettered", lettered).mapInArrow(run, schema)
 
 
-def readable(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def readable(df: DataFrame, model: Model | None, text: str = "text", label: str | None = None) -> DataFrame:
     """The rows whose text is written language, with their columns; labels are not looked at.
 
+    ``label`` names a column whose nulls are filled with the predicted language.
+
     A text goes if letters and their marks are less than ``MIN_LETTERS`` of its characters that aren't
     blank, or less than half of them while its code is longer than ``MAX_BITS`` a byte.  Texts of a script
     that the model has never seen have long codes but consist of letters: they stay, as all do that
@@ -222,9 +224,14 @@ def readable(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     shown = F.length(F.regexp_replace(text, r"\s+", ""))
     letters = F.length(text) - F.length(F.regexp_replace(text, r"[\p{L}\p{M}]+", ""))
     share = F.coalesce(letters / F.when(shown > 0, shown), F.lit(0.0))
-    judged = predict(df.withColumn("__letters", share).where((F.col("__letters") > 0) & (F.col("__letters") >= MIN_LETTERS)), model, text, "__lang", "__score", "__cost")
+    # Measured once, in the rows that go to the model; what follows looks at columns alone.
+    judged = predict(df.withColumn("__letters", share), model, text, "__lang", "__score", "__cost")
+    written = (F.col("__letters") > 0) & (F.col("__letters") >= MIN_LETTERS)
     junk = (F.col("__letters") < 0.5) & (F.coalesce("__cost", F.lit(0.0)) > MAX_BITS)
-    return judged.where(~junk).drop("__letters", "__lang", "__score", "__cost")
+    if label:
+        found = F.when(F.col("__lang") != "und", F.col("__lang"))
+        judged = judged.withColumn(label, F.coalesce(F.col(label), found))
+    return judged.where(written & ~junk).drop("__letters", "__lang", "__score", "__cost")
 
 
 def third(doc_id: str) -> Column:

@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
-_written: list[str] = []
+#: Path and, where there is one, catalogue name of all that is kept.
+_written: list[tuple[str, str | None]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +33,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     lost executor costs only the tasks it ran.  Unlike ``checkpoint()`` this runs the plan once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.append((path, None))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,15 +43,25 @@ def keep_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_folder(spark)}/{table}"
-    _written.append(path)
+    _written.append((path, table))
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables kept so far; results that are not yet written can't be read after this."""
-    while _written:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def kept() -> int:
+    """How many tables are kept now."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Delete the tables kept after the first ``since``, but for the ``last`` ones; results that are read from them
+    and not yet written can't be read after this."""
+    end = max(since, len(_written) - last)
+    gone, _written[since:end] = _written[since:end], []
+    for path, table in gone:
+        if table:
+            spark.sql(f"drop table if exists {table}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

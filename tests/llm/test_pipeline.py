@@ -63,6 +63,26 @@ def test_run_and_empty_table(spark, tmp_path):
     assert pipeline.run(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_only_the_result_is_kept(spark, tmp_path):
+    """What the stages keep on the way is deleted, tables in the catalogue too; results of others stay."""
+    from quire.llm import tables
+
+    other = tables.keep(spark.range(3), "other")
+    n, names = tables.kept(), len(spark.catalog.listTables())
+    spark.createDataFrame(documents(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = pipeline.run(spark, str(tmp_path))
+    assert tables.kept() == n + 1 and len(spark.catalog.listTables()) <= names
+    assert out.count() > 0 and other.count() == 3
+
+
+def test_a_missing_language_is_filled(spark):
+    rows = [(k, "der die das und ist nicht ein haus " * 9, "de") for k in range(9)] + [(20 + k, "the and is not a house of this " * 9, "en") for k in range(9)]
+    rows += [(50, "das haus ist ein haus und nicht das", None), (51, "this is the house and not a house", None)]
+    docs = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in rows], SCHEMA)
+    got = {r.doc_id: r.lang for r in pipeline.language_id(spark, docs, "").collect()}
+    assert got[50] == "de" and got[51] == "en" and got[0] == "de" and len(got) == 20
+
+
 def test_documents_without_labels(spark):
     """With nothing to learn from, documents stay; texts of hardly any letters go with a model and without."""
     numbers = "4785380592391139 " * 200 + "x"
