@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, jaccard, language, packing, secrets
-from quire.llm.tables import keep
+from quire.llm.tables import keep, kept, release
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are no written language (see ``language.readable``) go; the labels teach the model."""
-    return language.readable(docs, language.train(docs))
+    """Texts that are no written language (see ``language.readable``) go; a document without a language gets the predicted one."""
+    return language.readable(docs, language.train(docs), label="lang" if "lang" in docs.columns else None)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that go to a Python worker at once: the stages hold a whole batch.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 4000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table.  What a stage has kept, and its input, is deleted when its result is written;
+    the last result stays in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    before, first = spark.conf.get(BATCH[0]), kept()
+    spark.conf.set(*BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            release(spark, first, last=1)
+    finally:
+        spark.conf.set(BATCH[0], before)
     return docs
