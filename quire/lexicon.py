@@ -166,7 +166,7 @@ ALLOWED_NAMES = (
     "EDD LMP FHS NST PROM SGA AGA VBAC CS LSCS PMMVY SUMAN LAQSHYA PPP NGO NGOS WASH IMCI ART ARV MCP ANMOL UIP NDD AFHS PE "
     "NAHP ICTC THE AND FOR WITH FROM THIS THAT ARE WAS NOT"
 ).split()
-DENIED_NAMES = ("CHIP", "HIPAA", "MEDICAID", "MEDICARE", "NHS", "OBAMACARE", "PRAMS")
+DENIED_NAMES = ("PRAMS", "MEDICAID", "MEDICARE", "OBAMACARE", "CHIP", "HIPAA", "NHS")
 KNOWN_TITLES = (
     "pradhan mantri matru vandana yojana",
     "janani suraksha yojana",

@@ -1,4 +1,8 @@
-"""Chunk index: embedded chunks partitioned by subject."""
+"""Chunk index: embedded chunks in folders by subject and, within it, by a hash bucket of the book.
+
+A book lies in one bucket, so adding or deleting books reads and writes the buckets of those books and
+leaves the files of all others as they are.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,25 @@ from pyspark.sql import functions as F
 from quire.session import cut_lineage, remove_folder
 
 
+#: Buckets of a subject.  Part of the stored layout: an index is read and changed with the number it was written with.
+BUCKETS = 64
+_FOLDERS = ["subject", "bucket"]
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col("book_id").cast("string")), F.lit(BUCKETS)).cast("int"))
+
+
+def _touched(stored: DataFrame, books: DataFrame) -> DataFrame:
+    """The stored rows of the buckets of some books; other folders are pruned from the scan."""
+    return stored.join(F.broadcast(books) if _few(books) else books, _FOLDERS, "left_semi")
+
+
+def _few(folders: DataFrame, most: int = 100_000) -> bool:
+    """Whether a list of folders is short enough to be sent to all tasks."""
+    return folders.limit(most + 1).count() <= most
+
+
 def merge_metadata(chunks: DataFrame, metadata: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Metadata columns next to the base columns; a base column wins over one of the same name."""
     extra = [c for c in metadata.columns if c == key or c not in chunks.columns]
@@ -16,16 +39,17 @@ def merge_metadata(chunks: DataFrame, metadata: DataFrame, key: str = "chunk_id"
 
 
 def write_chunk_index(chunks: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """Replace the subjects present in ``chunks``; readers prune by subject folder.
+    """Replace the folders (subject and bucket) present in ``chunks``; readers prune by subject.
 
-    Rows are dealt by subject first, large ones over several tasks, so a folder gets few files.
+    Rows are dealt by folder first, large ones over several tasks, so a folder gets few files.  New files are staged and
+    moved when all of them are written.
     """
-    (
-        chunks.hint("rebalance", "subject").write.partitionBy("subject").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
-    )
+    dealt = _bucketed(chunks).hint("rebalance", *_FOLDERS)
+    dealt.write.partitionBy(*_FOLDERS).mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
 
 
 def stored_index(spark: SparkSession, root: str) -> DataFrame | None:
+    """All stored rows with their bucket; None where nothing is stored."""
     try:
         return spark.read.parquet(root)
     except AnalysisException as exc:
@@ -35,15 +59,20 @@ def stored_index(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def add_chunks(spark: SparkSession, chunks: DataFrame, root: str) -> None:
-    """Add chunks to a stored index, next to the books it has; ids that it has already are left alone."""
+    """Add chunks to a stored index, next to the books it has; ids that it has already are left alone.
+
+    Ids are only read in the buckets of the books that are added.
+    """
     stored = stored_index(spark, root)
     if stored is not None:
-        chunks = cut_lineage(chunks.join(stored.select("subject", "chunk_id"), ["subject", "chunk_id"], "left_anti"))
+        folders = cut_lineage(_bucketed(chunks).select(*_FOLDERS).distinct())
+        known = _touched(stored.select(*_FOLDERS, "chunk_id"), folders).select("subject", "chunk_id")
+        chunks = cut_lineage(chunks.join(known, ["subject", "chunk_id"], "left_anti"))
     write_chunk_index(chunks, root, "append")
 
 
 def read_chunk_index(spark: SparkSession, root: str, subject: str | None = None) -> DataFrame:
-    stored = spark.read.parquet(root)
+    stored = spark.read.parquet(root).drop("bucket")
     return stored if subject is None else stored.filter(F.col("subject") == subject)
 
 
@@ -53,16 +82,16 @@ def delete_book_chunks(chunks: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def rewrite_without_books(spark: SparkSession, root: str, doomed: DataFrame) -> None:
-    """Delete books in a stored index; only their subject folders are rewritten, emptied ones removed."""
-    subjects = doomed.select("subject").distinct()
-    touched = spark.read.parquet(root).join(subjects, "subject", "left_semi")
+    """Delete books in a stored index; only their buckets are read and rewritten, emptied ones removed."""
+    folders = cut_lineage(_bucketed(doomed).select(*_FOLDERS).distinct())
+    touched = _touched(spark.read.parquet(root), folders)
     left = cut_lineage(delete_book_chunks(touched, doomed))
-    emptied = touched.select("subject").distinct().join(left.select("subject"), "subject", "left_anti")
-    folders = [r.subject for r in emptied.collect()]  # one short name per subject that loses its last book
-    write_chunk_index(left, root)
+    # A folder that loses its last book: one short row each, gone through one by one.
+    emptied = folders.join(left.select(*_FOLDERS).distinct(), _FOLDERS, "left_anti")
+    write_chunk_index(left.drop("bucket"), root)
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    for subject in folders:
-        remove_folder(spark, f"{root}/{escape.getPartitionPathString('subject', subject)}")
+    for r in emptied.toLocalIterator():
+        remove_folder(spark, f"{root}/{escape.getPartitionPathString('subject', r.subject)}/bucket={r.bucket}")
 
 
 def count_book_chunks(chunks: DataFrame) -> DataFrame:

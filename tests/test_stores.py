@@ -27,6 +27,22 @@ def test_index_adds_and_deletes(spark, tmp_path):
     assert index_rows(spark, root) == [("c", "en", "b2")]
 
 
+def test_only_the_buckets_of_a_book_are_touched(spark, tmp_path):
+    """Files of other buckets keep their names when a book is deleted or added."""
+    root = tmp_path / "index"
+    rows = [(f"c{k}", "en", f"b{k % 40}") for k in range(400)] + [("z", "fr", "b1")]
+    chunk_index.write_chunk_index(spark.createDataFrame(rows, CHUNK), str(root))
+    files = lambda: {str(p.relative_to(root)) for p in root.rglob("*.parquet")}
+    before = files()
+    chunk_index.rewrite_without_books(spark, str(root), spark.createDataFrame([("en", "b1"), ("en", "none")], "subject string, book_id string"))
+    after = files()
+    assert index_rows(spark, str(root)) == sorted(r for r in rows if r[1:] != ("en", "b1"))
+    assert len({f.rsplit("/", 1)[0] for f in before - after}) == 1 and len(before & after) == len(before) - len(before - after) > 20
+    chunk_index.add_chunks(spark, spark.createDataFrame([("c1", "en", "b1"), ("c2", "en", "b2")], CHUNK), str(root))
+    assert after <= files() and len(files() - after) <= 1
+    assert index_rows(spark, str(root)) == sorted([r for r in rows if r[1:] != ("en", "b1")] + [("c1", "en", "b1")])
+
+
 def test_indented_and_broken_answers(spark, tmp_path):
     folder = tmp_path / "m1" / "ch 1"
     folder.mkdir(parents=True)
