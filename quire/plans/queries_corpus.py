@@ -113,6 +113,12 @@ def _(v):
     return flagged.select("doc_id", *[e.name for e in L.profile("demo")])
 
 
+@query("c8_section_flags_documents", f"select doc_id, {d_flags('t', 'chunk')} from (select doc_id, {D_ASCII.format(c='text')} as t from rawp)")
+def _(v):
+    flagged = W.section_flags(v.raw, "chunk")
+    return flagged.select("doc_id", *[e.name for e in L.profile("chunk")])
+
+
 @query("c8_section_flags_full_lexicon", f"select qid, {d_flags('question_text', 'chunk')} from f4")
 def _(v):
     flagged = W.section_flags(v.f4, "chunk", "question_text")

@@ -256,6 +256,18 @@ def _(v):
     return v.f4.select("qid", T.expand_query(F.col("question_text"), DEMO_RULES).alias("expanded"))
 
 
+_RULE_HITS = ", ".join("case when regexp_matches(question_text, '{}') then '{}' end".format(*rule) for rule in T.QUERY_RULES)
+
+
+@query(
+    "b12_expand_query_rules",
+    f"""select qid, case when len(h) = 0 then question_text else concat(question_text, chr(10), array_to_string(h, ' ')) end as expanded from (
+      select qid, question_text, list_filter([{_RULE_HITS}], lambda x: x is not null) as h from f4)""",
+)
+def _(v):
+    return v.f4.select("qid", T.expand_query(F.col("question_text")).alias("expanded"))
+
+
 D_MULTIPART = """(length({c}) - length(replace({c}, '?', '')) >= 2
    or regexp_matches({c}, '(?i)\\b(a\\)|b\\)|c\\)|\\(a\\)|\\(b\\)|\\(c\\)|part\\s*[abc123]|section\\s*[abc])\\b')
    or regexp_matches({c}, '(?i)\\?\\s*(Mention|Outline|Enumerate|Describe|Explain|List|Write|Discuss)\\b')
