@@ -48,8 +48,8 @@ def test_ranges(spark, gap, span, block):
 
 
 def test_one_book_of_very_many_pages(spark):
-    """No task gets the whole book: 100,000 pages are 25 blocks."""
-    n = 100_000
+    """No task gets the whole book: 40,000 pages are 10 blocks."""
+    n = 40_000
     pages = spark.range(1, n + 1).select(F.lit("b").alias("book_id"), F.col("id").cast("int").alias("page_num"), F.repeat(F.lit("x"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("int")).alias("text"))
     size = [r.s + 2 for r in pages.orderBy("page_num").select(F.length("text").alias("s")).collect()]
     batch, used, want = 0, None, []
