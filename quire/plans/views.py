@@ -26,9 +26,8 @@ _F2_TEXT = """concat(
   'In ', cast(1950 + doc_id % 120 as string), '  there were ', cast(1000 + doc_id % 9000 as string), ' cases.   ', chr(10), chr(10), chr(10), chr(10),
   text, chr(10), cast(page_num as string))"""
 
-# The whole text as questions: every 600 letters give a question with options and one without.
-_LETTERS = "regexp_replace(text, '[^A-Za-z ]', ''{g})"
-_QUESTIONS = "regexp_replace(" + _LETTERS + ", '(.{{1,300}})(.{{0,300}})', concat('1. {{1}} (a) one (b) two (c) three{key}', chr(10), '2. Discuss {{2}}', chr(10)){{g}})"
+# The whole text with all its characters as questions: every 600 give a question with options and one without.
+_QUESTIONS = "regexp_replace(text, '(?s)(.{{1,300}})(.{{0,300}})', concat('1. {{1}} (a) one (b) two (c) three{key}', chr(10), '2. Discuss {{2}}', chr(10)){{g}})"
 
 _F3_TEXT = (
     "concat(case when page_num % 3 = 1 then concat('Section ', substring('ABCD', cast(1 + doc_id % 4 as int), 1), ' ', "
