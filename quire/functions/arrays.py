@@ -35,6 +35,15 @@ def index_where(arr: Column, pred: Callable[[Column, Column], Column]) -> Column
     return let(arr, lambda a: F.filter(index_range(F.size(a)), lambda i: pred(F.element_at(a, i), a)))
 
 
+def prefix_sums(arr: Column) -> Column:
+    """Running sums of an array of numbers by doubling shifts: n log n for an array of n."""
+    shifts = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(arr), F.lit(2)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int")
+    )
+    add = lambda acc, s: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - s), F.lit(0)))
+    return F.aggregate(shifts, arr, add)
+
+
 def run_lengths(arr: Column) -> Column:
     """Distinct values of an array with their counts, in linear time after one sort.
 

@@ -7,6 +7,8 @@ array, never as a per-row Python function.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ CONNECTOR_END = (
 EMPTY_BULLET = r"^\s*[•\-–—*]\s*$"
 BULLET_LINE = r"^\s*[•\-–—*]\s+\S"
 COMPLETE_END = r"[.!?…:)\]]\s*$|\*\*\s*$"
+OPEN_BOLD_TAIL = 80
+STUMP_MARK = r"^[•\-–—*]\s*"
+STUMP_COMPLETE = r"[.!?:)\]\"]$"
 ORPHAN_HEADING = r"^\s*(\*\*[^*].+\*\*|#{1,3}\s+\S|[A-Z][A-Za-z0-9 /&-]{2,60})\s*$"
 KEBAB_CASE = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 QUESTION_WORDS_KEPT = (
@@ -399,6 +404,30 @@ def tidy_answer(text: Column, max_lines: int = 12, max_headings: int = 4) -> Col
     return let(lines_of(text), of)
 
 
+def close_open_bold(text: Column, max_tail: int = OPEN_BOLD_TAIL) -> Column:
+    """Drop an unclosed bold piece at the end of a cut-off answer, and the bullet that became a stump by it.
+
+    Only texts with an odd number of bold marks, the last of them within ``max_tail`` characters of the end, change.
+    The last line goes too if it is a bullet of fewer than five words or without an ending sign.  Null is empty.
+    """
+
+    def without_stump(body: Column) -> Column:
+        lines = lines_of(body)
+        last = strip_blanks(F.element_at(lines, -1))
+        words = F.size(words_of(F.regexp_replace(last, STUMP_MARK, "")))
+        stump = last.rlike(STUMP_MARK) & ((words < 5) | ~last.rlike(STUMP_COMPLETE))
+        head = rstrip_blanks(F.array_join(F.slice(lines, F.lit(1), F.size(lines) - 1), "\n"))
+        return F.when(stump, head).otherwise(body)
+
+    def of(body: Column) -> Column:
+        odd = F.size(F.split(body, r"\*\*", -1)) % 2 == 0
+        before = F.regexp_extract(body, r"(?s)^(.*)\*\*", 1)
+        near = F.length(body) - F.length(before) <= max_tail
+        return F.when(odd & near, let(rstrip_blanks(before), without_stump)).otherwise(body)
+
+    return let(rstrip_blanks(F.coalesce(text, F.lit(""))), of)
+
+
 def merge_split_tokens(text: Column) -> Column:
     """Join a one- or two-letter token with a following lower-case alphabetic token."""
     return F.regexp_replace(text, r"(?<![^ ])(\p{L}{1,2}) (\p{Ll}\p{L}*)(?![^ ])", "$1$2")
@@ -409,5 +438,8 @@ def options_to_text(options: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(") "), e["value"])), "\n")
 
 
-def estimate_tokens(text: Column) -> Column:
+def estimate_tokens(text: Column, tokens: Callable[[Column], Column] | None = None) -> Column:
+    """Number of tokens: those of ``tokens`` (text to an array, see ``tokens.Tokenizer``), else a quarter of the characters."""
+    if tokens is not None:
+        return F.size(tokens(F.coalesce(text, F.lit("")))).cast("bigint")
     return F.floor(F.length(text) / 4).cast("bigint")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire import lexicon as L
 from quire.functions.arrays import let, run_lengths
+from quire.functions.text import count_words, words_of
 
 # (?U) makes a word boundary treat accented letters as letters on every Java version.
 KEYWORD = r"(?U)\b[A-Za-z][A-Za-z0-9-]{3,}\b"
@@ -14,6 +19,42 @@ YEAR = r"(?U)\b(19[0-9][0-9]|20[0-9][0-9]|2100)\b"
 NUMBER = r"(?<!\d)([1-9]\d{0,2}(?:,\d{3})+|\d{4,})(?!\d)"
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """How text falls into tokens and how tokens become text again.
+
+    ``split`` maps a text column to an array of strings; ``joiner`` stands between two tokens of a window.
+    With ``glues`` a token cut by a page break counts once.
+    """
+
+    split: Callable[[Column], Column]
+    joiner: str = " "
+    glues: bool = True
+
+
+WORDS = Tokenizer(words_of)
+
+
+def pattern_tokenizer(pattern: str) -> Tokenizer:
+    """Matches of ``pattern`` as tokens; one that covers every character keeps all blanks of the text."""
+    return Tokenizer(lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "", False)
+
+
+def function_tokenizer(pieces: Callable[[str], list[str]], joiner: str = "") -> Tokenizer:
+    """Tokens of a Python function, such as the pieces of a subword vocabulary; texts go to it in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: list(pieces(t)), na_action="ignore")
+
+    return Tokenizer(split, joiner, False)
+
+
+def count_tokens(text: Column, tokenizer: Tokenizer = WORDS) -> Column:
+    return count_words(text) if tokenizer is WORDS else F.size(tokenizer.split(text))
+
+
 def _stopwords() -> Column:
     return F.array(*[F.lit(w) for w in L.STOPWORDS if len(w) > 3])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import let
+from quire.functions.arrays import let, prefix_sums
 from quire.functions.text import lines_of, strip_blanks
 
 # --- fixed values: line forms ----------------------------------------------------------------
@@ -57,55 +57,78 @@ def line_kind(line: Column) -> Column:
     return let(strip_blanks(line), of)
 
 
+#: A line as one letter.  O opens a diagram, C could close one; T and H are lines before a table separator
+#: (a separator itself, or not), w and u separators elsewhere; b is blank; the other lines by their kind,
+#: without and with a bar.
+KIND_LETTERS = {"heading": "hi", "paragraph": "pq", "main_bullet": "mn", "sub_bullet": "st"}
+#: Blocks as runs of letters: a diagram up to its close, a table with its separator and rows, a paragraph
+#: of lines, any other line on its own.
+BLOCK_LETTERS = "O[^C]*C?|[HT].[Hinqt]*|[pqwC]+|[hismntub]"
+
+
+def line_letter(line: Column, separator: Column, before_separator: Column, kind: Column) -> Column:
+    bar = line.contains("|")
+    of_kind = F.lit("b")
+    for name, (plain, barred) in KIND_LETTERS.items():
+        of_kind = F.when(kind == name, F.when(bar, barred).otherwise(plain)).otherwise(of_kind)
+    return (
+        F.when(line.rlike(FENCE_OPEN), "O")
+        .when(line.rlike(FENCE_CLOSE), "C")
+        .when(bar & before_separator, F.when(separator, "T").otherwise("H"))
+        .when(separator, F.when(kind == "sub_bullet", "u").otherwise("w"))
+        .otherwise(of_kind)
+    )
+
+
 def blocks_of(text: Column) -> Column:
-    """``array<struct<kind, content>>``: one fold over the lines of an answer."""
-
-    def fold(lines: Column) -> Column:
-        rows = F.transform(
-            lines,
-            lambda x, i: F.struct(
-                x.alias("line"),
-                (x.contains("|") & F.coalesce(is_table_separator(F.try_element_at(lines, i + 2)), F.lit(False))).alias("head"),
-                is_table_separator(x).alias("sep"),
-                x.rlike(FENCE_OPEN).alias("opens"),
-                x.rlike(FENCE_CLOSE).alias("closes"),
-                line_kind(x).alias("k"),
-            ),
-        )
-        zero = F.struct(F.lit("").alias("mode"), F.array().cast(f"array<{_BLOCK}>").alias("out"))
-        return F.aggregate(rows, zero, step, lambda acc: F.transform(acc["out"], lambda b: F.struct(b["kind"].alias("kind"), F.coalesce(b["content"], F.lit("")).alias("content"))))
-
-    def block(kind, content) -> Column:
-        kind = kind if isinstance(kind, Column) else F.lit(kind)
-        return F.array(F.struct(kind.alias("kind"), content.cast("string").alias("content")))
-
-    def extend(out: Column, sep: str, piece: Column) -> Column:
-        """Append to the content of the last block."""
-        last = F.element_at(out, -1)
-        joined = F.when(last["content"].isNull(), piece).otherwise(F.concat(last["content"], F.lit(sep), piece))
-        return F.concat(F.slice(out, F.lit(1), F.size(out) - 1), block(last["kind"], joined))
-
-    def state(mode, out: Column) -> Column:
-        mode = mode if isinstance(mode, Column) else F.lit(mode)
-        return F.struct(mode.alias("mode"), out.alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        mode, out = acc["mode"], acc["out"]
-        in_table = (mode == "table") & r["line"].rlike(r"\S") & r["line"].contains("|") & ~r["sep"]
-        kind = r["k"]["kind"]
-        return (
-            F.when((mode == "fence") & r["closes"], state("", out))
-            .when(mode == "fence", state("fence", extend(out, "\n", r["line"])))
-            .when(mode == "head", state("table", out))
-            .when(in_table, state("table", extend(out, "\n", table_row(r["line"]))))
-            .when(r["opens"], state("fence", F.concat(out, block("diagram", F.lit(None)))))
-            .when(r["head"], state("head", F.concat(out, block("table", table_row(r["line"])))))
-            .when(kind == "blank", state("", out))
-            .when((kind == "paragraph") & (mode == "paragraph"), state("paragraph", extend(out, " ", r["k"]["content"])))
-            .otherwise(state(kind, F.concat(out, block(kind, r["k"]["content"]))))
+    """``array<struct<kind, content>>`` of an answer.
+
+    Every line becomes a letter, one pattern cuts the letters into blocks, and each block takes its slice of
+    the lines: no state travels from line to line, and the time grows with the number of lines.
+    """
+
+    def coded(lines: Column) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            ahead = F.coalesce(is_table_separator(F.try_element_at(lines, i + 2)), F.lit(False))
+            return let(
+                line_kind(x),
+                lambda k: F.struct(
+                    x.alias("line"), line_letter(x, is_table_separator(x), ahead, k["kind"]).alias("letter"), k["content"].alias("content")
+                ),
+            )
+
+        return F.transform(lines, of)
+
+    def cut(rows: Column) -> Column:
+        letters = F.array_join(F.transform(rows, lambda r: r["letter"]), "")
+        parts = F.regexp_extract_all(letters, F.lit(BLOCK_LETTERS), F.lit(0))
+        return let(parts, lambda ps: let(prefix_sums(F.transform(ps, F.length)), lambda ends: placed(rows, ps, ends)))
+
+    def placed(rows: Column, parts: Column, ends: Column) -> Column:
+        spans = F.zip_with(parts, ends, lambda p, e: F.struct(p.alias("part"), e.alias("end")))
+        return F.transform(F.filter(spans, lambda s: s["part"] != "b"), lambda s: block(rows, s["part"], s["end"]))
+
+    def block(rows: Column, part: Column, end: Column) -> Column:
+        n = F.length(part)
+        first = F.substring(part, 1, 1)
+        own = F.slice(rows, end - n + 1, n)
+        closed = F.when(part.endswith("C"), 1).otherwise(0)
+        inside = F.slice(rows, end - n + 2, n - 1 - closed)
+        single = F.element_at(rows, end)["content"]
+        kinds = F.when(first == "O", "diagram").when(first.isin("H", "T"), "table")
+        for name, pair in KIND_LETTERS.items():
+            kinds = kinds.when(first.isin(*pair), name)
+        kinds = kinds.when(first == "u", "sub_bullet").otherwise("paragraph")
+        joined = lambda arr, f, sep: F.array_join(F.transform(arr, f), sep)
+        content = (
+            F.when(first == "O", joined(inside, lambda r: r["line"], "\n"))
+            .when(first.isin("H", "T"), joined(F.filter(own, lambda r, i: i != 1), lambda r: table_row(r["line"]), "\n"))
+            .when(first.isin("p", "q", "w", "C"), joined(own, lambda r: r["content"], " "))
+            .otherwise(single)
         )
+        return F.struct(kinds.alias("kind"), content.alias("content")).cast(_BLOCK)
 
-    return let(lines_of(F.coalesce(text, F.lit(""))), fold)
+    return let(lines_of(F.coalesce(text, F.lit(""))), lambda lines: let(coded(lines), cut))
 
 
 def answer_blocks(answers: DataFrame, key: str = "qid") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import at_or_null
-from quire.functions.text import count_words, lines_of, strip_blanks
+from quire.functions.text import lines_of, strip_blanks
+from quire.functions.tokens import WORDS, Tokenizer, count_tokens
 from quire.operators.blocked import last_seen, next_seen, running_sum
 from quire.session import cut_lineage
 
@@ -27,7 +28,7 @@ def first_heading(text: Column) -> Column:
     return at_or_null(F.filter(lines, lambda x: x.rlike(HEADING)), 1)
 
 
-def page_facts(pages: DataFrame, materialize: Materialize = cut_lineage) -> DataFrame:
+def page_facts(pages: DataFrame, materialize: Materialize = cut_lineage, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Everything chapters and windows need to know about a page, from one pass over its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return materialize(
@@ -35,7 +36,7 @@ def page_facts(pages: DataFrame, materialize: Materialize = cut_lineage) -> Data
             *KEYS,
             "page_num",
             first_heading(text).alias("title"),
-            count_words(text).cast("bigint").alias("n"),
+            count_tokens(text, tokenizer).cast("bigint").alias("n"),
             (text != "").alias("filled"),
             text.rlike(r"^\S").alias("opens"),
             text.rlike(r"\S\z").alias("closes"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quire import lexicon as L
 from quire.functions import tokens as K
-from quire.functions.text import count_words, words_of
 from quire.operators.blocked import last_seen, running_sum
 from quire.session import cut_lineage
 
@@ -25,6 +24,7 @@ def chunk_windows(
     facts: DataFrame | None = None,
     glue_pages: bool = True,
     materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
+    tokenizer: K.Tokenizer = K.WORDS,
 ) -> DataFrame:
     """Windows of ``size`` tokens, ``overlap`` shared with the window before, within each chapter.
 
@@ -35,6 +35,9 @@ def chunk_windows(
 
     ``chapters`` is the narrow result of ``chapter_of_pages`` and ``facts`` that of ``page_facts``;
     without them the pages carry the chapter keys themselves.  Page text is joined once, at the end.
+
+    ``tokenizer`` says what a token is; ``facts`` have to come from the same one.  ``chunk_seq`` tells windows
+    apart whose ids are equal (same pages, same beginning): id and sequence together are the key of a chunk.
     """
     if size <= 0:
         raise ValueError("size must be positive")
@@ -49,7 +52,7 @@ def chunk_windows(
     if facts is None:
         facts = pages.select(
             *at,
-            count_words(text).cast("bigint").alias("n"),
+            K.count_tokens(text, tokenizer).cast("bigint").alias("n"),
             (text != "").alias("filled"),
             text.rlike(r"^\S").alias("opens"),
             text.rlike(r"\S\z").alias("closes"),
@@ -59,7 +62,7 @@ def chunk_windows(
         stats = stats.drop("title").join(chapters, at)
     named = [c for c in ("chapter_title",) if chapters is not None]
     stats = last_seen(stats, keys, ["page_num"], {"before": F.col("closes")}, inclusive=False)
-    joins = F.coalesce(F.col("before") & F.col("opens"), F.lit(False)) if glue_pages else F.lit(False)
+    joins = F.coalesce(F.col("before") & F.col("opens"), F.lit(False)) if glue_pages and tokenizer.glues else F.lit(False)
     stats = materialize(stats.select(*keys, "page_num", *named, "n", joins.cast("int").alias("cont")))
     fresh = F.col("n") - F.col("cont")
     placed = running_sum(stats, keys, ["page_num"], {"upto": fresh})
@@ -79,7 +82,7 @@ def chunk_windows(
     slices = (
         pages.select(*own)
         .join(side, at)
-        .withColumn("__tokens", words_of(text))
+        .withColumn("__tokens", tokenizer.split(text))
         .withColumn("window_no", F.explode(F.sequence("w_lo", "w_hi")))
     )
     begin = F.greatest(F.col("first"), F.col("window_no") * step)
@@ -91,7 +94,7 @@ def chunk_windows(
         *carried,
         F.struct(
             "page_num",
-            F.array_join(piece, " ").alias("piece"),
+            F.array_join(piece, tokenizer.joiner).alias("piece"),
             ((F.col("cont") == 1) & (begin == F.col("first"))).alias("glued"),
         ).alias("__s"),
         (end + 1).alias("__end"),
@@ -106,9 +109,9 @@ def chunk_windows(
     joined = F.aggregate(
         "__parts",
         F.lit(""),
-        lambda acc, p: F.concat(acc, F.when((acc == "") | p["glued"], F.lit("")).otherwise(F.lit(" ")), p["piece"]),
+        lambda acc, p: F.concat(acc, F.when((acc == "") | p["glued"], F.lit("")).otherwise(F.lit(tokenizer.joiner)), p["piece"]),
     )
-    return windows.withColumn("text", joined).drop("__parts")
+    return windows.withColumn("text", joined).withColumn("chunk_seq", F.col("window_no")).drop("__parts")
 
 
 def chunk_id(book: Column, page_start: Column, page_end: Column, text: Column) -> Column:

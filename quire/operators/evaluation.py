@@ -46,13 +46,14 @@ def stub_answer(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
     )
 
 
-def answer_batch(prompts: DataFrame, infer: Infer, key: str = "qid", prompt: str = "prompt") -> DataFrame:
+def answer_batch(prompts: DataFrame, infer: Infer, key: str | Sequence[str] = "qid", prompt: str = "prompt") -> DataFrame:
     """Run ``infer`` over batches of prompts; a failing prompt becomes a row with ``error``.
 
     A batch that fails, or that does not give one reply per prompt, is tried again prompt by prompt,
     so one bad prompt costs only itself and no prompt gets the reply of another.
     """
     names = [f.split()[0] for f in ANSWER_FIELDS.split(", ")]
+    keys = [key] if isinstance(key, str) else list(key)
 
     def replies_to(texts: list[str]) -> list[dict]:
         replies = list(infer(texts))
@@ -77,10 +78,41 @@ def answer_batch(prompts: DataFrame, infer: Infer, key: str = "qid", prompt: str
             out["latency_seconds"] = out["latency_seconds"].astype("float64")
             for name in ("answer_text", "error"):
                 out[name] = [x if isinstance(x, str) else None for x in out[name]]
-            out.insert(0, key, pdf[key])
-            yield out
-
-    return prompts.select(key, prompt).mapInPandas(run, f"{key} string, {ANSWER_FIELDS}")
+            yield pd.concat([pdf[keys], out], axis=1)
+
+    types = ", ".join(f"`{k}` {prompts.schema[k].dataType.simpleString()}" for k in keys)
+    return prompts.select(*keys, prompt).mapInPandas(run, f"{types}, {ANSWER_FIELDS}")
+
+
+def answer_questions(
+    prompts: DataFrame,
+    infer: Infer,
+    stored: DataFrame,
+    on: Sequence[str] = ("module", "chapter", "qid"),
+    force: bool = False,
+    skip: Column | None = None,
+    prompt: str = "prompt",
+) -> DataFrame:
+    """Every question with ``outcome`` (cached, generated, failed, skipped), answer, tokens, latency and error.
+
+    A question with a stored answer (``on``, answer_text, total_tokens, latency_seconds; one row per key) takes it
+    unless ``force`` is set; only the others reach ``infer``.  ``skip`` marks questions left out, for instance those
+    after a cancelled run: they are neither looked up nor answered.  Repeated questions give a row each; a null
+    in a key is never cached.
+    """
+    fields = ["answer_text", "total_tokens", "latency_seconds", "error"]
+    left_out = F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False)
+    open_ = prompts.filter(~left_out)
+    skipped = prompts.filter(left_out).select(*on, F.lit("skipped").alias("outcome"))
+    if force:
+        pending, known = open_, None
+    else:
+        pending = open_.join(stored.select(*on), list(on), "left_anti")
+        known = open_.select(*on).join(stored.select(*on, *fields[:-1]), list(on)).withColumn("outcome", F.lit("cached"))
+    replies = answer_batch(pending, infer, on, prompt)
+    outcome = F.when(F.col("error").isNotNull(), "failed").otherwise("generated")
+    out = replies.select(*on, outcome.alias("outcome"), *fields).unionByName(skipped, allowMissingColumns=True)
+    return out if known is None else out.unionByName(known, allowMissingColumns=True)
 
 
 def batch_summary(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -89,12 +121,17 @@ def batch_summary(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("questions_total"),
         *[F.count_if(F.col("outcome") == o).alias(f"questions_{o}") for o in ("generated", "cached", "failed", "skipped")],
-        F.array_sort(F.collect_set("chapter")).alias("chapters"),
+        F.count_distinct("chapter").alias("n_chapters"),
         F.coalesce(F.sum(F.when(done, F.col("total_tokens"))), F.lit(0)).alias("total_tokens"),
         F.coalesce(F.sum(F.when(done, F.col("latency_seconds"))), F.lit(0.0)).alias("total_latency_seconds"),
     )
 
 
+def batch_chapters(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The chapters of a batch with their questions, a row each."""
+    return results.groupBy(*keys, "chapter").agg(F.count(F.lit(1)).alias("questions"))
+
+
 def failed_questions(results: DataFrame) -> DataFrame:
     return results.filter(F.col("outcome") == "failed").select("module", "qid")
 
@@ -135,8 +172,13 @@ def hydrate_suite(suite: DataFrame, banks: DataFrame) -> tuple[DataFrame, DataFr
     return full, suite.join(banks.select(*key), key, "left_anti").select(*key)
 
 
+#: Measures a record may have and that are averaged: over the cold path, and over all records.
+COLD_MEANS = ("retrieval_latency_seconds", "generation_latency_seconds")
+MEANS = ("pdf_generation_seconds", "answer_length_chars", "answer_length_words", "retrieval_chunks")
+
+
 def benchmark_summary(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """All aggregates of a run in one pass."""
+    """All aggregates of a run in one pass; a measure the records don't have gives no column."""
     cold = F.col("path") == "cold"
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     over_cold = lambda f, c: f(F.when(cold, c))
@@ -154,7 +196,10 @@ def benchmark_summary(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         over_cold(F.sum, F.col("completion_tokens")).alias("total_completion_tokens"),
         over_cold(F.sum, total).alias("total_tokens"),
         over_cold(F.avg, F.col("prompt_tokens")).alias("avg_prompt_tokens"),
+        over_cold(F.avg, F.col("completion_tokens")).alias("avg_completion_tokens"),
         over_cold(F.avg, total).alias("avg_total_tokens"),
+        *[over_cold(F.avg, F.col(c)).alias(f"avg_{c}") for c in COLD_MEANS if c in records.columns],
+        *[F.avg(c).alias(f"avg_{c}") for c in MEANS if c in records.columns],
         F.avg("latency_seconds").alias("avg_total_latency_seconds"),
         F.avg(F.when(F.col("avg_distance") > 0, F.col("avg_distance"))).alias("avg_retrieval_distance"),
     )

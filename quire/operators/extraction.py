@@ -321,15 +321,44 @@ def question_key(text: Column) -> Column:
     return F.lower(T.squeeze_blanks(text))
 
 
-def dedupe_questions(sources: Sequence[DataFrame], keys: Sequence[str], position: str, min_chars: int = 4) -> DataFrame:
-    """First source, then first position wins per normalised text.
-
-    The winner is an aggregate, so copies collapse before the shuffle however many there are.
-    """
+def _stacked(sources: Sequence[DataFrame]) -> DataFrame:
     rows = None
     for i, df in enumerate(sources):
         ranked = df.withColumn("source_no", F.lit(i))
         rows = ranked if rows is None else rows.unionByName(ranked, allowMissingColumns=True)
+    return rows
+
+
+def merge_by_id(sources: Sequence[DataFrame], keys: Sequence[str], position: str, qid: str = "qid") -> DataFrame:
+    """First source, then first position wins per question id; texts are not compared.
+
+    A null or empty id becomes ``q`` and the position, of three digits at least.  The winner is an aggregate,
+    so copies collapse before the shuffle.  Empty sources give no rows; repeated rows leave one.
+    """
+    rows = _stacked(sources)
+    at = F.col(position).cast("string")
+    own = F.concat(F.lit("q"), F.when(F.length(at) < 3, F.lpad(at, 3, "0")).otherwise(at))
+    rows = rows.withColumn(qid, F.coalesce(F.nullif(F.col(qid), F.lit("")), own))
+    body = F.struct(*[F.col(c) for c in rows.columns])
+    best = rows.groupBy(*keys, qid).agg(F.min_by(body, F.struct("source_no", position)).alias("__row"))
+    return best.select("__row.*")
+
+
+def dedupe_questions(
+    sources: Sequence[DataFrame],
+    keys: Sequence[str],
+    position: str,
+    min_chars: int = 4,
+    prepare: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """First source, then first position wins per normalised text.
+
+    The winner is an aggregate, so copies collapse before the shuffle however many there are.  ``prepare``
+    rewrites the text before it is measured and compared, for instance ``text.clean_question_text``.
+    """
+    rows = _stacked(sources)
+    if prepare is not None:
+        rows = rows.withColumn("question_text", prepare(F.col("question_text")))
     rows = rows.filter(F.length(T.squeeze_blanks(F.col("question_text"))) >= min_chars)
     body = F.struct(*[F.col(c) for c in rows.columns])
     best = rows.groupBy(*keys, question_key(F.col("question_text")).alias("__key")).agg(

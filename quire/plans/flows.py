@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import lexicon as L
 from quire.functions import text as T
+from quire.functions.tokens import WORDS, Tokenizer
 from quire.operators import chapters, chunks, evaluation, pages, planning, retrieval, validation
 from quire.session import cut_lineage
 from quire.sources import chunk_index
@@ -19,20 +20,22 @@ def build_chunks(
     size: int = 1000,
     overlap: int = 200,
     extractors: Sequence[chunks.Extractor] = (chunks.chunk_metadata,),
+    tokenizer: Tokenizer = WORDS,
 ) -> DataFrame:
     """Clean pages, find chapters, cut windows, add ids and metadata."""
     clean = pages.clean_pages(page_table)
-    facts = chapters.page_facts(clean)
+    facts = chapters.page_facts(clean, tokenizer=tokenizer)
     placed = chapters.chapter_of_pages(facts, chapters.segment_chapters(facts))
-    cut = chunks.chunk_windows(clean, size, overlap, chapters=placed, facts=facts)
+    cut = chunks.chunk_windows(clean, size, overlap, chapters=placed, facts=facts, tokenizer=tokenizer)
     cid = chunks.chunk_id(F.col("book_id"), F.col("page_start"), F.col("page_end"), F.col("text"))
     return chunks.enrich(cut.withColumn("chunk_id", cid), extractors)
 
 
 def ingest(page_table: DataFrame, vectors: DataFrame, root: str, size: int = 1000, overlap: int = 200) -> None:
-    """Add the chunks of a page table with their vectors (chunk_id, embedding) to a stored index."""
+    """Add the chunks of a page table with their vectors (chunk_id, chunk_seq if known, embedding) to a stored index."""
     flat = chunks.flatten_metadata(build_chunks(page_table, size, overlap))
-    chunk_index.add_chunks(page_table.sparkSession, flat.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left"), root)
+    key = [c for c in ("chunk_id", "chunk_seq") if c in vectors.columns]
+    chunk_index.add_chunks(page_table.sparkSession, flat.join(vectors.select(*key, "embedding"), key, "left"), root)
 
 
 def solve(
@@ -48,6 +51,9 @@ def solve(
 
     ``planner`` adds columns to the planned questions, for a template of one's own to use.
     """
+    if "chunk_seq" in indexed.columns:
+        # Windows of equal id stay apart: the sequence is part of the id inside the flow.
+        indexed = indexed.withColumn("chunk_id", F.concat_ws("#", "chunk_id", "chunk_seq"))
     planned = planning.retrieval_plan(planning.analyze_questions(questions))
     if planner is not None:
         planned = planner(planned)

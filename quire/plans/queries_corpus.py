@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire import lexicon as L
 from quire.functions import tokens as K
+from quire.functions.tokens import pattern_tokenizer
 from quire.operators import chapters as C
 from quire.operators import chunks as W
 from quire.plans.queries_questions import sql_text
@@ -94,6 +95,31 @@ def _(v):
     )
 
 
+_PIECE = " ?[A-Za-z]+| ?[^A-Za-z ]+| +"
+
+
+@query(
+    "c6_piece_windows",
+    f"""with p as (select book_id, page_num, unnest(regexp_extract_all(text, '{_PIECE}')) as tok, generate_subscripts(regexp_extract_all(text, '{_PIECE}'), 1) as i from f2),
+       n as (select book_id, page_num, tok, row_number() over w - 1 as k, count(*) over (partition by book_id) as total from p window w as (partition by book_id order by page_num, i)),
+       x as (select *, unnest(range(greatest(0, (k - {SIZE} + {SIZE - OVERLAP}) // {SIZE - OVERLAP}), k // {SIZE - OVERLAP} + 1)) as window_no from n)
+       select book_id, window_no::bigint as window_no, string_agg(tok, '' order by k) as text, count(*)::bigint as token_count, min(page_num) as page_start, max(page_num) as page_end
+       from x where window_no = 0 or window_no * {SIZE - OVERLAP} + {OVERLAP} < total group by book_id, window_no""",
+)
+def _(v):
+    cut = W.chunk_windows(v.f2, SIZE, OVERLAP, keys=["book_id"], tokenizer=pattern_tokenizer(_PIECE))
+    return cut.select("book_id", "window_no", "text", F.col("token_count").cast("bigint"), "page_start", "page_end")
+
+
+@query(
+    "c7_chunk_key",
+    f"""with {D_WIN} select chunk_id, window_no::bigint as chunk_seq, count(*) as n from (select *, substring(sha256(concat_ws('|', book_id, page_start::varchar, page_end::varchar, substring(text, 1, 200))), 1, 16) as chunk_id from win) group by 1, 2""",
+)
+def _(v):
+    cid = W.chunk_id(F.col("book_id"), F.col("page_start"), F.col("page_end"), F.col("text"))
+    return windows(v).withColumn("chunk_id", cid).groupBy("chunk_id", "chunk_seq").agg(F.count("*").alias("n"))
+
+
 @query(
     "c7_chunk_id",
     f"with {D_WIN} select book_id, window_no, page_start, page_end, substring(sha256(concat_ws('|', book_id, page_start::varchar, page_end::varchar, substring(text, 1, 200))), 1, 16) as chunk_id from win",

@@ -36,6 +36,24 @@ def _(v):
     return out.select("qid", "answer_text", "total_tokens", "error")
 
 
+@query(
+    "j1_batch_outcomes",
+    """with s as (select module, chapter, qid, any_value(answer_text) as a, max(length(answer_text)) as n from f5 where conv_id % 2 = 0 group by all having count(*) = 1),
+       q as (select 'm' || (conv_id % 7) as module, chapter, qid, question_text, conv_id % 8 = 7 as skip from f4)
+       select q.qid, case when skip then 'skipped' when s.qid is not null then 'cached' when contains(question_text, 'NHM') then 'failed' else 'generated' end as outcome,
+         case when skip then null when s.qid is not null then a when contains(question_text, 'NHM') then null else concat('MOCK ANSWER (', substring(question_text, 1, 50), ')') end as answer_text,
+         case when skip then null when s.qid is not null then n when contains(question_text, 'NHM') then null else 600 end::bigint as total_tokens
+       from q left join s on s.module = q.module and s.chapter = q.chapter and s.qid = q.qid""",
+)
+def _(v):
+    on = ["module", "chapter", "qid"]
+    stored = v.f5.filter("conv_id % 2 = 0").groupBy(*on).agg(F.min("answer_text").alias("answer_text"), F.count("*").alias("n")).filter("n = 1")
+    stored = stored.select(*on, "answer_text", F.length("answer_text").cast("bigint").alias("total_tokens"), F.lit(1.0).alias("latency_seconds"))
+    asked = v.f4.select(F.expr("concat('m', cast(conv_id % 7 as string))").alias("module"), "chapter", "qid", F.col("question_text").alias("prompt"), "conv_id")
+    out = J.answer_questions(asked, picky, stored, on, skip=F.col("conv_id") % 8 == 7)
+    return out.select("qid", "outcome", "answer_text", "total_tokens")
+
+
 @query(
     "j2_stub_answer",
     "select qid, concat('MOCK ANSWER (', substring(question_text, 1, 50), ')') as answer_text, 500::bigint as prompt_tokens, 100::bigint as completion_tokens, 600::bigint as total_tokens, 0.1::double as latency_seconds from f4",
@@ -59,12 +77,17 @@ def results(v):
 @query(
     "j3_batch_summary",
     f"""with {D_RES} select module, count(*) as questions_total, count_if(outcome = 'generated')::bigint as questions_generated, count_if(outcome = 'cached')::bigint as questions_cached,
-        count_if(outcome = 'failed')::bigint as questions_failed, count_if(outcome = 'skipped')::bigint as questions_skipped, string_agg(distinct chapter, ',' order by chapter) as chapters,
+        count_if(outcome = 'failed')::bigint as questions_failed, count_if(outcome = 'skipped')::bigint as questions_skipped, count(distinct chapter) as n_chapters,
         coalesce(sum(total_tokens) filter (where outcome in ('generated', 'cached')), 0)::bigint as total_tokens, round(coalesce(sum(latency_seconds) filter (where outcome in ('generated', 'cached')), 0), 4) as total_latency_seconds from res group by module""",
 )
 def _(v):
     out = J.batch_summary(results(v), ["module"])
-    return out.withColumns({"chapters": F.array_join("chapters", ","), "total_latency_seconds": F.round("total_latency_seconds", 4)})
+    return out.withColumn("total_latency_seconds", F.round("total_latency_seconds", 4))
+
+
+@query("j3_batch_chapters", f"with {D_RES} select module, chapter, count(*) as questions from res group by module, chapter")
+def _(v):
+    return J.batch_chapters(results(v), ["module"])
 
 
 @query("j3_failed_questions", f"with {D_RES} select module, qid from res where outcome = 'failed'")
@@ -109,9 +132,12 @@ def _(v):
 D_SUM = """sm as (select run_id, count(*) as n_records, count_if(path = 'cold')::bigint as n_cold, count_if(path = 'warm')::bigint as n_warm, count_if(success)::bigint as n_success, count_if(not success)::bigint as n_failure,
    count_if(cache_hit)::bigint as n_cache_hits, count_if(path = 'cold' and not cache_hit)::bigint as n_cache_misses, count_if(cache_hit) / count(*)::double as cache_hit_rate,
    sum(prompt_tokens) filter (where path = 'cold')::bigint as total_prompt_tokens, sum(completion_tokens) filter (where path = 'cold')::bigint as total_completion_tokens, sum(prompt_tokens + completion_tokens) filter (where path = 'cold')::bigint as total_tokens,
-   avg(prompt_tokens) filter (where path = 'cold') as avg_prompt_tokens, avg(prompt_tokens + completion_tokens) filter (where path = 'cold') as avg_total_tokens, avg(latency_seconds) as avg_total_latency_seconds,
+   avg(prompt_tokens) filter (where path = 'cold') as avg_prompt_tokens, avg(completion_tokens) filter (where path = 'cold') as avg_completion_tokens, avg(retrieval_latency_seconds) filter (where path = 'cold') as avg_retrieval_latency_seconds,
+   avg(generation_latency_seconds) filter (where path = 'cold') as avg_generation_latency_seconds, avg(pdf_generation_seconds) as avg_pdf_generation_seconds, avg(answer_length_chars) as avg_answer_length_chars, avg(answer_length_words) as avg_answer_length_words, avg(retrieval_chunks) as avg_retrieval_chunks, avg(prompt_tokens + completion_tokens) filter (where path = 'cold') as avg_total_tokens, avg(latency_seconds) as avg_total_latency_seconds,
    avg(avg_distance) filter (where avg_distance > 0) as avg_retrieval_distance from f8 group by run_id)"""
-_MEANS = ("cache_hit_rate", "avg_prompt_tokens", "avg_total_tokens", "avg_total_latency_seconds", "avg_retrieval_distance")
+_MEANS = (
+    "cache_hit_rate", "avg_prompt_tokens", "avg_completion_tokens", "avg_retrieval_latency_seconds", "avg_generation_latency_seconds",
+    "avg_pdf_generation_seconds", "avg_answer_length_chars", "avg_answer_length_words", "avg_retrieval_chunks", "avg_total_tokens", "avg_total_latency_seconds", "avg_retrieval_distance")
 
 
 @query(

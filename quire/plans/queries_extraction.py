@@ -163,6 +163,22 @@ def _(v):
     return out.select("subject", "qid", F.col("source_no").cast("bigint"), "question_text")
 
 
+@query(
+    "e10_merge_by_id",
+    """with a as (select case when conv_id % 11 = 0 then null when conv_id % 13 = 0 then '' else qid end as qid, subject, 0 as src, conv_id * 100 + turn as p, question_text as t from f4 where conv_id % 3 > 0),
+       b as (select qid, subject, 1 as src, conv_id * 100 + turn as p, upper(question_text) as t from f4),
+       u as (select subject, coalesce(nullif(qid, ''), 'q' || case when length(p::varchar) < 3 then lpad(p::varchar, 3, '0') else p::varchar end) as qid, src, p, t from (select * from a union all select * from b)),
+       r as (select *, row_number() over (partition by subject, qid order by src, p) as rn from u)
+       select subject, qid, src::bigint as source_no, t as question_text from r where rn = 1""",
+)
+def _(v):
+    pos = (F.col("conv_id") * 100 + F.col("turn")).alias("p")
+    holes = F.expr("case when conv_id % 11 = 0 then null when conv_id % 13 = 0 then '' else qid end").alias("qid")
+    a = v.f4.filter("conv_id % 3 > 0").select(holes, "subject", pos, "question_text")
+    b = v.f4.select("qid", "subject", pos, F.upper("question_text").alias("question_text"))
+    return E.merge_by_id([a, b], ["subject"], "p").select("subject", "qid", F.col("source_no").cast("bigint"), "question_text")
+
+
 @query(
     "e11_fill_chapters",
     """with s as (select qid, subject, conv_id * 100 + turn as p, case when conv_id % 7 = 0 then '  Unit   One ' when conv_id % 7 = 1 then 'Short Essays' else '' end as seg, case conv_id % 5 when 0 then 'unknown' when 1 then 'N/A' when 2 then chapter when 3 then 'Long Answers' else null end as own from f4),

@@ -324,6 +324,23 @@ def _(v):
     return v.f5.select("qid", T.tidy_answer(F.col("answer_text")).alias("answer_text"))
 
 
+_CUT_BOLD = """concat(answer_text, case conv_id % 7 when 0 then concat(chr(10), '- give **fluids and') when 1 then concat(chr(10), '- one two three four five six **cou')
+  when 2 then concat(chr(10), '• one two three four five. **cou ') when 3 then concat(' **open', repeat(' far away', 12)) when 4 then ' ***' when 5 then concat(chr(10), '* stub **a** b **') else '' end)"""
+
+
+@query(
+    "b15_close_open_bold",
+    f"""with a as (select qid, regexp_replace({_CUT_BOLD}, '\\s+$', '') as t from f5),
+       b as (select qid, t, regexp_extract(t, '(?s)^(.*)\\*\\*', 1) as before, len(string_split(t, '**')) % 2 = 0 as odd from a),
+       c as (select qid, t, odd and length(t) - length(before) <= 80 as cut, regexp_replace(before, '\\s+$', '') as body from b),
+       d as (select *, string_split(body, chr(10)) as ls, {D_STRIP.format(c='string_split(body, chr(10))[-1]')} as last from c),
+       e as (select *, regexp_matches(last, '^[•\\-–—*]') and (len({D_WORDS.format(c="regexp_replace(last, '^[•\\-–—*]\\s*', '')")}) < 5 or not regexp_matches(last, '[.!?:)\\]"]$')) as stump from d)
+       select qid, case when not cut then t when stump then regexp_replace(array_to_string(ls[1:len(ls) - 1], chr(10)), '\\s+$', '') else body end as answer_text from e""",
+)
+def _(v):
+    return v.f5.select("qid", T.close_open_bold(F.expr(_CUT_BOLD)).alias("answer_text"))
+
+
 @query(
     "b16_merge_split_tokens",
     """with t as (select doc_id, unnest(string_split(text, ' ')) as tok, generate_subscripts(string_split(text, ' '), 1) as i from rawp),

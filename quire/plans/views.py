@@ -61,7 +61,8 @@ _F6 = f"""select concat('c', lpad(cast(e.vec_id as string), 7, '0')) as chunk_id
 _F7 = """select event_id, user_id as book_id, ts, case event_type when 'signup' then 'pending' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'succeeded' else 'failed' end as status, value as percent, props from events"""
 
 _F8 = """select concat('m', cast(l_suppkey % 5 as string)) as module, concat('q', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as qid, case when l_linestatus = 'O' then 'cold' else 'warm' end as path, l_discount < 0.09 as success, l_linestatus <> 'O' as cache_hit, l_returnflag as run_id,
-  cast(l_quantity as int) * 10 as prompt_tokens, cast(l_quantity as int) as completion_tokens, l_tax as latency_seconds, case when l_quantity < 5 then cast(0.0 as double) else l_extendedprice / 100000 end as avg_distance from lineitem"""
+  cast(l_quantity as int) * 10 as prompt_tokens, cast(l_quantity as int) as completion_tokens, l_tax as latency_seconds, case when l_quantity < 5 then cast(0.0 as double) else l_extendedprice / 100000 end as avg_distance,
+  l_discount as retrieval_latency_seconds, l_tax + l_discount as generation_latency_seconds, l_tax / 2 as pdf_generation_seconds, cast(floor(l_extendedprice) as bigint) % 4000 as answer_length_chars, l_partkey % 700 as answer_length_words, l_linenumber % 6 as retrieval_chunks from lineitem"""
 
 _F9 = """select concat(lang,'-',source) as book_id, lang as subject, count(*) as pages, cast(floor(count(*) * 1.2) as int) as chunks, min(doc_id) as first_doc, case when min(doc_id) % 4 = 0 then 'archived' else null end as archived_at from documents group by lang, source"""
 

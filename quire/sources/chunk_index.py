@@ -59,15 +59,17 @@ def stored_index(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def add_chunks(spark: SparkSession, chunks: DataFrame, root: str) -> None:
-    """Add chunks to a stored index, next to the books it has; ids that it has already are left alone.
+    """Add chunks to a stored index, next to the books it has; chunks that it has already are left alone.
 
-    Ids are only read in the buckets of the books that are added.
+    The key is the id, with ``chunk_seq`` where both have it.  Keys are only read in the buckets of the books that are
+    added.
     """
     stored = stored_index(spark, root)
     if stored is not None:
         folders = cut_lineage(_bucketed(chunks).select(*_FOLDERS).distinct())
-        known = _touched(stored.select(*_FOLDERS, "chunk_id"), folders).select("subject", "chunk_id")
-        chunks = cut_lineage(chunks.join(known, ["subject", "chunk_id"], "left_anti"))
+        key = [c for c in ("subject", "chunk_id", "chunk_seq") if c in chunks.columns and c in stored.columns]
+        known = _touched(stored.select(*{*_FOLDERS, *key}), folders).select(*key)
+        chunks = cut_lineage(chunks.join(known, key, "left_anti"))
     write_chunk_index(chunks, root, "append")
 
 

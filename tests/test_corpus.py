@@ -1,11 +1,14 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import tokens as K
 from quire.operators import books as D
 from quire.operators import chapters as C
 from quire.operators import chunks as W
+from quire.operators import evaluation as J
 from quire.operators import extraction as E
 from quire.operators import pages as P
 from quire.operators.packing import pack_pages
@@ -125,3 +128,53 @@ def test_page_packing_in_blocks(spark, block):
     pages = spark.createDataFrame(rows, "book_id string, page_num bigint, text string")
     got = {(r.book_id, r.page_num): r.batch_no for r in pack_pages(pages, 50, block).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("size, overlap", [(5, 2), (4, 0), (50, 10)])
+def test_windows_of_another_tokenizer_are_slices_of_the_text(spark, size, overlap):
+    texts = ["one  two thr", "ee,\n four", "", "   ", "nine ten\televen — twelve"]
+    cut = lambda t: re.findall(r"\s*\w{1,3}|\W", t)
+    pages = book(spark, texts).withColumn("chapter_start", F.lit(1))
+    tokens = [x for t in texts for x in cut(t)]
+    starts = [s for s in range(0, len(tokens), size - overlap) if s == 0 or s + overlap < len(tokens)]
+    want = ["".join(tokens[s : s + size]) for s in starts]
+    for tokenizer in (K.function_tokenizer(cut), K.pattern_tokenizer(r"(?U)\s*\w{1,3}|\W")):
+        got = W.chunk_windows(pages, size, overlap, tokenizer=tokenizer).orderBy("window_no").collect()
+        assert [r.text for r in got] == want and [r.token_count for r in got] == [len(tokens[s : s + size]) for s in starts]
+    assert starts[-1] + size >= len(tokens)
+
+
+def test_windows_of_equal_ids_have_different_keys(spark):
+    pages = book(spark, ["same words again " * 400]).withColumn("chapter_start", F.lit(1))
+    cut = W.chunk_windows(pages, 300, 0)
+    keyed = cut.withColumn("chunk_id", W.chunk_id(F.col("book_id"), F.col("page_start"), F.col("page_end"), F.col("text")))
+    assert keyed.count() == 4 and keyed.select("chunk_id").distinct().count() == 1
+    assert keyed.select("chunk_id", "chunk_seq").distinct().count() == 4
+
+
+def test_merge_by_id(spark):
+    form = "qid string, p int, question_text string"
+    a = spark.createDataFrame([("q1", 1, "a1"), (None, 2, "a2"), ("q1", 3, "later"), ("", 1234, "a4")], form)
+    b = spark.createDataFrame([("q1", 1, "b1"), ("q002", 2, "b2"), ("q9", 3, "b3")], form)
+    got = {(r.qid, r.question_text) for r in E.merge_by_id([a, b], [], "p").collect()}
+    assert got == {("q1", "a1"), ("q002", "a2"), ("q1234", "a4"), ("q9", "b3")}
+    assert E.merge_by_id([a.limit(0), b.limit(0)], [], "p").count() == 0
+
+
+def test_outcomes_of_a_batch(spark):
+    asked = spark.createDataFrame([("m", "c", f"q{k}", f"prompt {k}") for k in range(6)] + [("m", None, "q1", "prompt null")], "module string, chapter string, qid string, prompt string")
+    stored = spark.createDataFrame([("m", "c", "q1", "kept", 7, 0.5), ("m", "c", "q5", "kept", 7, 0.5)], "module string, chapter string, qid string, answer_text string, total_tokens long, latency_seconds double")
+
+    def infer(prompts):
+        if any("prompt 2" in p or "prompt 1" in p for p in prompts):
+            raise RuntimeError("off")
+        return [{"answer_text": "new", "total_tokens": 1, "latency_seconds": 0.1} for _ in prompts]
+
+    late = F.col("qid") >= "q4"
+    rows = J.answer_questions(asked, infer, stored, skip=late).collect()
+    assert sorted((r.qid, r.outcome, r.answer_text) for r in rows) == [
+        ("q0", "generated", "new"), ("q1", "cached", "kept"), ("q1", "generated", "new"), ("q2", "failed", None),
+        ("q3", "generated", "new"), ("q4", "skipped", None), ("q5", "skipped", None),
+    ]
+    again = {(r.qid, r.chapter): r.outcome for r in J.answer_questions(asked, infer, stored, force=True).collect()}
+    assert again["q1", "c"] == "failed" and again["q5", "c"] == "generated"

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +120,60 @@ def test_staleness(spark):
     assert out["fresh"] == [] and out["newsub"] == [] and out["norev"] == ["kb_reindexed"]
     assert out["old"] == ["prompt_version_drift", "embedding_model_drift", "kb_reindexed"]
     assert out["none"][0] == "missing_versions_field" and len(out["none"]) == 6
+
+
+def plain_blocks(lines):
+    """The same blocks by a walk from line to line, for lines of a few known forms."""
+    out, mode, i = [], "", 0
+    bar = lambda x: "|" in x
+    separator = lambda x: x in ("|--|", "|---|:-:|")
+    cells = lambda x: " | ".join(c.strip() for c in x.strip("|").split("|"))
+    kinds = {"- a": ("sub_bullet", "a"), "• b": ("main_bullet", "b"), "Title": ("heading", "Title"), "- x | y": ("sub_bullet", "x | y")}
+    for i, x in enumerate(lines):
+        if mode == "fence":
+            if x == "```":
+                mode = ""
+            else:
+                out[-1][1].append(x)
+        elif mode == "head":
+            mode = "table"
+        elif mode == "table" and bar(x) and not separator(x):
+            out[-1][1].append(cells(x))
+        elif x == "```dot":
+            mode = "fence"
+            out.append(("diagram", [], "\n"))
+        elif bar(x) and i + 1 < len(lines) and separator(lines[i + 1]):
+            mode = "head"
+            out.append(("table", [cells(x)], "\n"))
+        elif x == "":
+            mode = ""
+        elif x in kinds:
+            mode = kinds[x][0]
+            out.append((mode, [kinds[x][1]], ""))
+        elif mode == "paragraph":
+            out[-1][1].append(x)
+        else:
+            mode = "paragraph"
+            out.append((mode, [x], " "))
+    return [(kind, sep.join(parts)) for kind, parts, sep in out]
+
+
+def test_blocks_equal_a_walk(spark):
+    forms = ["- a", "• b", "Title", "- x | y", "|--|", "|---|:-:|", "| c | d", "```dot", "```", "", "some words", "more words."]
+    rng = random.Random(5)
+    texts = [[rng.choice(forms) for _ in range(rng.randint(1, 40))] for _ in range(300)]
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "qid int, answer_text string")
+    got = {}
+    for r in sorted(B.answer_blocks(df).collect(), key=lambda r: (r.qid, r.block_no)):
+        got.setdefault(r.qid, []).append((r.kind, r.content))
+    for k, t in enumerate(texts):
+        assert got.get(k, []) == plain_blocks(t), t
+
+
+def test_blocks_of_a_long_answer(spark):
+    """Time grows with the lines: 40,000 take seconds."""
+    text = "\n".join("- item" if k % 3 else f"line {k}." for k in range(40_000))
+    df = spark.createDataFrame([("q", text)], "qid string, answer_text string")
+    begun = time.time()
+    assert B.answer_blocks(df).count() == 40_000
+    assert time.time() - begun < 60
