@@ -1,11 +1,13 @@
 """Secret scan: known forms by pattern, unknown ones by sliding-window entropy per character class.
 
 Everything is an expression over one row: no shuffle, no Python, and the work of a document follows
-its length alone.  A *candidate* is a long run of key characters.  A window slides over it; the
+its length alone.  A *candidate* is a long run of key characters between separators (``/ _ = -`` and all
+that no key holds), so a name or path next to a key neither changes its class nor hides it.  A window slides over it; the
 counts of the characters in it and the sum of c*log2(c) over them are kept up by one addition and one
-removal a step (in whole millionths of a bit, so the sums are exact).  The candidate's class (hex or
-mixed) gives the window and the least entropy; windows at or above it join to spans.  Candidates on the
-allow-list (identifiers of known form, listed values, alphabets) yield no span.  The
+removal a step (in whole millionths of a bit, so the sums are exact).  The candidate's class (hex,
+mixed or letters) gives the window and the least entropy; windows at or above it join to spans.  Candidates on the
+allow-list (checksums of the right length after their name, listed values, alphabets) yield no span; the parts of a
+dashed UUID are too short to be candidates.  The
 pattern spans (assignments, access ids, hex runs) are never suppressed.
 
 Positions are code points, ends exclusive.  Defined results: null or empty text has no spans; repeated
@@ -27,16 +29,21 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 #: A maximal run of lower-case hex digits of 16 or more is what HEX leaves after its length test.
 HEX_LONG = "[0-9a-f]{16,}"
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: A checksum with its name in front, or a part between separators.
+CANDIDATE = (
+    "(?:[Mm][Dd]5[-_=][0-9A-Fa-f]{32}|[Ss][Hh][Aa]1[-_=][0-9A-Fa-f]{40}|[Ss][Hh][Aa]256[-_=][0-9A-Fa-f]{64}|[Ss][Hh][Aa]384[-_=][0-9A-Fa-f]{96}"
+    "|[Ss][Hh][Aa]512[-_=][0-9A-Fa-f]{128})\\b|[A-Za-z0-9+]{20,}"
+)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: class: (pattern of the whole candidate, window, least entropy of a window in bits)
-CLASSES = {"hex": ("^[0-9A-Fa-f]+$", 20, 3.0), "mixed": ("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", 20, 3.75)}
-#: Candidates that are no secrets: UUIDs, alphabets in order, published checksums by their names.
-ALLOWED = (
-    "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    "(?i)0123456789abcdef|abcdefghijklmnopqrst",
-    "(?i)^(?:sha1|sha256|sha384|sha512|md5)[-_=]",
-)
+CLASSES = {
+    "hex": ("^[0-9A-Fa-f]+$", 20, 3.0),
+    "mixed": ("[0-9][+]*[A-Za-z]|[A-Za-z][+]*[0-9]", 20, 3.75),
+    # Capitals as close to each other as words and names written together hardly have them.
+    "letters": ("(?:[A-Z][a-z]{0,2}){5}", 20, 3.95),
+}
+#: Candidates that are no secrets: alphabets in order, published checksums by their names.
+ALLOWED = ("(?i)0123456789abcdef|abcdefghijklmnopqrst", "^(?:[Mm][Dd]5|[Ss][Hh][Aa][0-9]+)[-_=]")
 KINDS = ("assign", "access", "hex", "entropy")
 SPANS = "array<struct<start: int, kind: int, end: int>>"
 UNIT = 1_000_000

@@ -1,6 +1,10 @@
 """URL rules and secret scans on hand-made rows."""
 
+import random
 import re
+import string
+import time
+import uuid
 
 import pytest
 
@@ -57,6 +61,9 @@ TEXTS = [
     "ab" * 4000,
     "token=" + "Zk3" * 10 + " " + "f" * 40,
     "😀 token = 'abcDEF123456' 😀",
+    "md5_9e107d9d372bb6826bd81d3542a419d6 SHA256=" + "9E107D9D" * 8 + " md5_9E107D9D372BB6826BD81D3542A419D6AA",
+    "files/0123456789abcdef0123/kJ8s0Qz1Lw9Xv2Bn5Mt7Rp3Yc6Hd4Gf_sha1=x",
+    "QwErTyUiOpAsDfGhJkLzXcVbNmqWeRtY averyveryLongWordInOnePieceWithoutDigits",
 ]
 
 
@@ -99,6 +106,38 @@ def test_secret_spans(spark):
     assert any(s[1] == 3 for s in got[6]) and not got[7] and not got[8]
 
 
+@pytest.mark.parametrize(
+    "before, alphabet, n, after",
+    [
+        ("", string.ascii_letters, 40, ""),
+        ("/files/0123456789abcdef/", string.ascii_letters + string.digits, 40, "/x"),
+        ("md5_", string.ascii_letters + string.digits, 40, ""),
+        ("SIGNING_KEY=", "0123456789ABCDEF", 32, ""),
+        ("", "0123456789ABCDEF", 32, ""),
+    ],
+)
+def test_random_keys_are_found(spark, before, alphabet, n, after):
+    rng = random.Random(7)
+    rows = [(k, "a " + before + "".join(rng.choices(alphabet, k=n)) + after + " b") for k in range(300)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(any(s.kind == 3 for s in r.secret_spans) for r in got) >= 285
+
+
+def test_words_and_identifiers_are_no_secrets(spark):
+    rng = random.Random(8)
+    texts = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(100)] + [f"id_{uuid.UUID(int=rng.getrandbits(128))}_x" for _ in range(50)]
+    texts += ["Donaudampfschifffahrtsgesellschaft", "internationalization_of_names", "AbstractSingletonProxyFactoryBean", "TransactionAwarePersistenceManager", "some-very-long-slug-of-2024/with/parts"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not [r.text for r in rows if any(s.kind == 3 for s in r.secret_spans)]
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    begun = time.time()
+    for run in ("ab" * 40_000, "Ab" * 40_000, "F" * 80_000, "+" * 80_000):
+        secrets.scan(spark.createDataFrame([(1, run)], "doc_id long, text string")).collect()
+    assert time.time() - begun < 90
+
+
 def test_redaction_keeps_everything_else(spark):
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, other string")
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
