@@ -9,12 +9,16 @@ positions that fall into it.  The sum over the shards is the document's code len
 more shards, none of them larger, and no n-gram is dropped.
 
 A document is kept if its perplexity is at most its language's threshold: the ``quantile`` of the
-perplexities of the trusted documents of that language, widened by ``margin``.  The quantile is exact
-over perplexities in steps of a thousandth of a bit; all trusted documents count.
+perplexities of the trusted documents of that language, widened by ``margin``.  Those perplexities are held
+out: documents fall into ``folds`` by crc32 of their id, and each is measured by a model of the other folds'
+trusted text, as a document that the model has not seen.  The quantile is exact over perplexities in steps of a
+thousandth of a bit; all trusted documents count.
 
 Defined results: null or empty text has no perplexity and is not kept; a null language is a language of
-its own; a language without trusted text is scored by no model and kept; repeated rows count as often as
-they occur; a repeated id in ``labels`` is trusted only if all its rows say so.
+its own; a language without trusted text is scored by no model and kept, one whose trusted documents all
+fall into one fold has no threshold and is kept; repeated rows count as often as
+they occur; a repeated id in ``labels`` is trusted only if all its rows say so.  Other columns are not read, whole
+texts of any length are, and a perplexity equal to the threshold is kept.
 """
 
 from __future__ import annotations
@@ -98,9 +102,17 @@ def estimated(grams: DataFrame, order: int, lower: DataFrame | None) -> tuple[Da
     return p, back.select("lang", "context", "back")
 
 
-def model(trusted: DataFrame) -> DataFrame:
-    """Rows (lang, level, key, value): level 1-4 log2 p of seen n-grams by order, 11-14 log2 back-off of contexts."""
-    tables = [keep(count_grams(trusted), "grams-4")]
+def with_folds(counts: DataFrame, folds: int) -> DataFrame:
+    """4-gram counts whose lang is ``fold:lang``, summed for ``all:lang`` and, per fold k, for ``k:lang`` without fold k."""
+    fold, lang = F.regexp_extract("lang", r"(?s)^(\d+):(.*)$", 1), F.regexp_extract("lang", r"(?s)^(\d+):(.*)$", 2)
+    others = F.filter(F.array(*[F.lit(str(k)) for k in range(folds)]), lambda k: k != fold)
+    names = F.transform(F.concat(F.array(F.lit("all")), others), lambda k: F.concat(k, F.lit(":"), lang))
+    return counts.select(F.explode(names).alias("lang"), "gram", "c").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def model(grams: DataFrame) -> DataFrame:
+    """From 4-gram counts: rows (lang, level, key, value): level 1-4 log2 p of seen n-grams by order, 11-14 log2 back-off of contexts."""
+    tables = [keep(grams, "grams-4")]
     for order in (3, 2, 1):
         # How many different classes an n-gram follows: its continuation count.
         shorter = tables[0].groupBy("lang", F.pmod("gram", F.lit(SYMBOLS**order)).alias("gram")).agg(F.count("*").alias("c"))
@@ -210,7 +222,7 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
 
 
 def classify(
-    df: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quantile: float = 0.98, margin: float = 0.05
+    df: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quantile: float = 0.95, margin: float = 0.05, folds: int = 4
 ) -> DataFrame:
     """Per row: doc_id, perplexity, threshold, kept, learned from rows whose labels have quality 1 and toxic 0."""
     language: Column = F.coalesce(F.col(lang).cast("string"), F.lit(""))
@@ -218,9 +230,18 @@ def classify(
     good = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t"))
     good = good.where("q = 1 and t = 0").select("id")
     trusted = rows.where("text is not null").join(good.hint("shuffle_hash"), "id", "left_semi")
-    table = keep(model(trusted.select("lang", "text")), "kneser-ney")
-    scored = keep(perplexity(rows, table, table.where("level in (3, 4, 13, 14)").count()), "perplexity")
-    edges = thresholds(scored.join(good, "id", "left_semi"), quantile)
+    fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)).cast("string")
+    by_fold = F.concat(fold, F.lit(":"), F.col("lang")).alias("lang")
+    table = keep(model(with_folds(keep(count_grams(trusted.select(by_fold, "text")), "grams-folds"), folds)), "kneser-ney")
+
+    def measured(name: Column, part: DataFrame, kept: str) -> DataFrame:
+        sizes = part.where("level in (3, 4, 13, 14)").count()
+        return keep(perplexity(rows.select("id", name, "text"), part, sizes).withColumn("lang", F.regexp_extract("lang", "(?s)^[^:]*:(.*)$", 1)), kept)
+
+    scored = measured(F.concat(F.lit("all:"), F.col("lang")).alias("lang"), table.where("lang like 'all:%'"), "perplexity")
+    # Measured for all rows, so that no text is joined with the labels again.
+    held = measured(by_fold, table.where("lang not like 'all:%'"), "held-out")
+    edges = thresholds(held.join(good, "id", "left_semi"), quantile)
     out = scored.join(F.broadcast(edges), "lang", "left")
     limit = F.col("edge") * (1 + margin)
     return out.select(

@@ -2,12 +2,14 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
 from quire.llm import knn, language, quality
 from quire.llm import queries as llm
 
@@ -144,6 +146,15 @@ def test_quality(spark, monkeypatch, shard):
             s = [0, 0, 0, *quality._SYMBOL[np.frombuffer(text.encode(), np.uint8)].tolist()]
             bits = sum(-math.log2(p(tuple(s[i : i + 4]), 4)) for i in range(len(s) - 3)) / (len(s) - 3)
             assert abs(math.log2(got[k][0].perplexity) - bits) < 0.002
+    # The threshold: the 24th of 25 values, each by a model of the other folds' trusted texts.
+    trusted = [(k, good[k]) for k in range(24)] + [(0, good[0])]
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4
+    unseen = [kneser_ney([t for k, t in trusted if fold(k) != f]) for f in range(4)]
+    bits = []
+    for k, text in trusted:
+        s = [0, 0, 0, *quality._SYMBOL[np.frombuffer(text.encode(), np.uint8)].tolist()]
+        bits.append(sum(-math.log2(unseen[fold(k)](tuple(s[i : i + 4]), 4)) for i in range(len(s) - 3)) / (len(s) - 3))
+    assert abs(math.log2(got[3][0].threshold) - sorted(bits)[23] * 1.05) < 0.003
     assert len(got[0]) == 2 and got[3][0].kept and not got[100][0].kept and not got[101][0].kept and not got[102][0].kept
     assert got[103][0].perplexity is None and got[103][0].kept and got[104][0].kept
 
@@ -156,6 +167,25 @@ def test_quality_on_labels(spark):
     assert sum(clean) >= 0.97 * len(clean) and sum(poor) <= 0.1 * len(poor)
 
 
+@pytest.mark.parametrize("n, least", [(3, 0.9), (10, 0.95)])
+def test_quality_keeps_clean_documents_of_a_language_with_few_labels(spark, n, least):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and text is not null")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    clean = docs.join(labels.where("quality = 1 and toxic = 0"), "doc_id", "left_semi")
+    some = [r.doc_id for r in clean.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(n).collect()]
+    few = labels.where(F.col("doc_id").isin(some))
+    rows = quality.classify(docs, few).join(clean.select("doc_id").distinct(), "doc_id").where(~F.col("doc_id").isin(some)).collect()
+    assert len(rows) > 100 and sum(r.kept for r in rows) >= least * len(rows)
+
+
+def test_quality_with_long_text_and_clashing_columns(spark):
+    rows = [(k, "some plain words " * 10, "en", 1, "x", 2.0) for k in range(8)] + [(9, "some plain words " * 20_000, "en", 1, "x", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id int, mark string, bits double")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 9 and all(r.kept for r in got)
+
+
 def test_quality_without_rows(spark):
     docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
