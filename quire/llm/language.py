@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from quire.llm.words import batches, rows_of, text_bytes
+from quire.llm.words import batches, give_back, rows_of, text_bytes
 
 #: 0: before the text; 1-26 letters; 27 digits; 28 blanks; 29 other signs; 30 and more: bytes from 0x80.
 SYMBOLS = 158
@@ -207,6 +207,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", pred: str =
                     each = bits.min(1) / UNIT / np.maximum(sizes, 1)
                     columns.append(pa.array(np.where(sizes > 0, each, np.nan), from_pandas=True))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+            give_back()
 
     return df.withColumn("__lettered", lettered).mapInArrow(run, schema)
 

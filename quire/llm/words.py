@@ -6,6 +6,8 @@ UTF-8 bytes of a batch; ``batches`` keeps such a batch to a bounded number of by
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,16 @@ _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system: idle workers keep what they hold
+    while others run the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread all bits of 64-bit values over all others."""
