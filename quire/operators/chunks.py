@@ -120,10 +120,14 @@ def chunk_id(book: Column, page_start: Column, page_end: Column, text: Column) -
     return F.substring(F.sha2(parts, 256), 1, 16)
 
 
-def section_flags(df: DataFrame, profile: str = "chunk", text: str = "text") -> DataFrame:
-    """One boolean column per lexicon section, all in one projection."""
+def section_flags(df: DataFrame, profile: str = "chunk", text: str = "text", ascii_words: bool = False) -> DataFrame:
+    """One boolean column per lexicon section, all in one projection.
+
+    ``ascii_words`` takes only ASCII characters as parts of words, as question analysis does.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({e.name: body.rlike(e.pattern) for e in L.profile(profile)})
+    of = L.ascii_words if ascii_words else str
+    return df.withColumns({e.name: body.rlike(of(e.pattern)) for e in L.profile(profile)})
 
 
 def chunk_metadata(df: DataFrame, text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ from quire.operators import chunks as W
 from quire.operators import evaluation as J
 from quire.operators import extraction as E
 from quire.operators import pages as P
+from quire.operators import planning as Q
 from quire.operators.packing import pack_pages
 
 
@@ -178,3 +179,14 @@ def test_outcomes_of_a_batch(spark):
     ]
     again = {(r.qid, r.chapter): r.outcome for r in J.answer_questions(asked, infer, stored, force=True).collect()}
     assert again["q1", "c"] == "failed" and again["q5", "c"] == "generated"
+
+
+def test_words_of_questions_are_ascii(spark):
+    texts = ["märch und", "the RCH here", "xrch", "épathİ NHM", "Übericds"]
+    df = spark.createDataFrame([(i, t, "theory", 10) for i, t in enumerate(texts)], "qid int, question_text string, type string, marks int")
+    hits = {r.qid: r.target_sections for r in Q.analyze_questions(df).collect()}
+    assert [bool(hits[i]) for i in range(5)] == [True, True, False, True, False]
+    flags = W.section_flags(df, "chunk", "question_text", ascii_words=True).orderBy("qid").collect()
+    assert [r.section_national_programme for r in flags] == [True, True, False, True, False]
+    plain = W.section_flags(df, "chunk", "question_text").orderBy("qid").collect()
+    assert [r.section_national_programme for r in plain] == [False, True, False, True, False]
