@@ -190,3 +190,8 @@ def test_words_of_questions_are_ascii(spark):
     assert [r.section_national_programme for r in flags] == [True, True, False, True, False]
     plain = W.section_flags(df, "chunk", "question_text").orderBy("qid").collect()
     assert [r.section_national_programme for r in plain] == [False, True, False, True, False]
+
+
+def test_breaks_take_the_letter_behind_a_number(spark):
+    df = spark.createDataFrame([("20@mai 1. l6.example", "20@mai \n1. l6.example"), ("1. a 2) b", "\n1. a \n2) b"), ("x1.5 a3.\nb", "x1.5 a3.\nb"[:5] + "a\n3.\nb")], "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", E.break_inline_questions(F.col("t")).alias("got")).collect())
