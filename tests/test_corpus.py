@@ -195,3 +195,10 @@ def test_words_of_questions_are_ascii(spark):
 def test_breaks_take_the_letter_behind_a_number(spark):
     df = spark.createDataFrame([("20@mai 1. l6.example", "20@mai \n1. l6.example"), ("1. a 2) b", "\n1. a \n2) b"), ("x1.5 a3.\nb", "x1.5 a3.\nb"[:5] + "a\n3.\nb")], "t string, want string")
     assert all(r.got == r.want for r in df.select("want", E.break_inline_questions(F.col("t")).alias("got")).collect())
+
+
+def test_batch_summary_lists_chapters(spark):
+    rows = [("m", "q1", "c2", "generated", 3, 0.5), ("m", "q2", "c1", "failed", 9, 0.5), ("m", "q3", "c2", "cached", 4, 0.25), ("m", "q4", None, "skipped", 0, 0.0)]
+    df = spark.createDataFrame(rows, "module string, qid string, chapter string, outcome string, total_tokens long, latency_seconds double")
+    got = J.batch_summary(df, ["module"]).first()
+    assert (got.chapters, got.n_chapters, got.questions_total, got.total_tokens) == (["c1", "c2"], 2, 4, 7)
