@@ -202,3 +202,30 @@ def test_batch_summary_lists_chapters(spark):
     df = spark.createDataFrame(rows, "module string, qid string, chapter string, outcome string, total_tokens long, latency_seconds double")
     got = J.batch_summary(df, ["module"]).first()
     assert (got.chapters, got.n_chapters, got.questions_total, got.total_tokens) == (["c1", "c2"], 2, 4, 7)
+
+
+def test_layout_scores_are_rounded_as_the_reference_database_does(spark):
+    import duckdb
+
+    lines = ["$$ " * 3] * 319 + ["$% " * 30] * 321
+    got = D.select_layout_pages(book(spark, ["\n".join(lines)]), min_score=0.1).first()
+    assert got.score == duckdb.execute("select round(0.28::double * (319 / 640::double / 0.55::double), 4)").fetchall()[0][0] == 0.2537
+
+
+def test_page_ranges_by_the_score_of_their_statement(spark, tmp_path):
+    from check import compare, duck
+    import __spark_entry__ as entry
+    import os
+
+    source = "/root/testdata/sf0.001"
+    for name in os.listdir(source):
+        if name != "documents.parquet":
+            os.symlink(f"{source}/{name}", tmp_path / name)
+    table = "\n".join(["12 34 ab 56 78"] * 12)
+    short = "\n".join(["short words only here"] * 12)
+    rows = [(i, table if i % 3 == 0 else short, "en", "web", 100) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "d"))
+    part = next(f for f in os.listdir(tmp_path / "d") if f.endswith(".parquet"))
+    os.symlink(tmp_path / "d" / part, tmp_path / "documents.parquet")
+    for query in ("d10_select_layout_pages", "d11_page_ranges"):
+        assert compare(spark, duck(str(tmp_path)), entry.queries()[query], entry.oracle_sql()[query], str(tmp_path))[0] is None
