@@ -7,8 +7,9 @@ there is an upper bound.  By the triangle inequality a ball can only hold a near
 centre less its radius is not above that bound; only those balls are read in the second phase.
 
 The number of centres grows with the subject (one for about ``rows_per_ball`` chunks), a ball of very
-many chunks (repeated vectors) is cut into parts, and what is compared at once is a part of a ball with a block of
-questions.  Results are exact whatever the data.  With vectors that lie equally far from each other nothing is
+many chunks (repeated vectors) is cut into parts, and what is compared at once is a shelf of balls with a block of
+questions near each other.  A ball is sent to the blocks that reach it, a question to the shelves of its subject, so what
+is moved grows with rows times blocks, not with questions times balls.  Results are exact whatever the data.  With vectors that lie equally far from each other nothing is
 pruned: every ball is read for every question, which is the work of ``knn_topk`` without an index.
 """
 
@@ -26,6 +27,7 @@ from quire.operators.retrieval import CHUNK_BLOCK, QUERY_BLOCK, _block_topk, _ve
 from quire.session import cut_lineage
 
 ROWS_PER_BALL = 2048
+INDEX_QUERY_BLOCK = 8192
 HITS = "qid string, chunk_id string, distance double, flags_mask bigint, top_k bigint"
 
 
@@ -125,27 +127,56 @@ def _home(questions: pa.Table, balls: pa.Table) -> pa.Table:
     return pa.table([questions["qid"].combine_chunks().filter(pa.array(some)), pa.array(balls["ball"].to_numpy()[best[some]])], schema=schema)
 
 
+def _home_and_side(questions: pa.Table, balls: pa.Table) -> pa.Table:
+    """(qid, ball, side): home, and the nearest of the first few balls, one for each block of the subject's questions."""
+    schema = pa.schema([("qid", pa.string()), ("ball", pa.int64()), ("side", pa.int32())])
+    home = _home(questions, balls)
+    if not home.num_rows:
+        return schema.empty_table()
+    few = balls.take(pa.array(np.argsort(balls["ball"].to_numpy(), kind="stable")[: questions["__n"][0].as_py()]))
+    d, _ = _to_centres(questions, few)
+    side = dict(zip(questions["qid"].to_pylist(), d.argmin(1).tolist()))
+    return home.append_column("side", pa.array([side[x] for x in home["qid"].to_pylist()], pa.int32())).cast(schema)
+
+
+def _reachable_balls(questions: pa.Table, balls: pa.Table) -> pa.Table:
+    """(subject, side, lot, ball) of the balls that any question of a block may find a chunk in."""
+    schema = pa.schema([("subject", pa.string()), ("side", pa.int32()), ("lot", pa.int32()), ("ball", pa.int64())])
+    if not questions.num_rows or not balls.num_rows:
+        return schema.empty_table()
+    hit = np.zeros(balls.num_rows, bool)
+    for lo in range(0, questions.num_rows, 1024):
+        hit |= _may_hold(questions.slice(lo, 1024), balls).any(0)
+    names = balls["ball"].to_numpy()[hit]
+    key = [pa.repeat(questions[c][0], len(names)) for c in ("subject", "side", "lot")]
+    return pa.table([*key, pa.array(names)], schema=schema)
+
+
 def _reachable(questions: pa.Table, balls: pa.Table) -> pa.Table:
     """(qid, ball) of all balls but the home that may hold a chunk within the bound."""
     schema = pa.schema([("qid", pa.string()), ("ball", pa.int64())])
     if not questions.num_rows or not balls.num_rows:
         return schema.empty_table()
+    row, col = np.nonzero(_may_hold(questions, balls))
+    return pa.table([questions["qid"].combine_chunks().take(pa.array(row)), pa.array(balls["ball"].to_numpy()[col])], schema=schema)
+
+
+def _may_hold(questions: pa.Table, balls: pa.Table) -> np.ndarray:
+    """Whether a ball that is not a question's home may hold a chunk within its bound."""
     d, sure = _to_centres(questions, balls)
     bound = questions["bound"].to_numpy(zero_copy_only=False)
     names = balls["ball"].to_numpy()
     slack = 1e-6 * (1.0 + d)
-    may = (d - balls["radius"].to_numpy()[None, :] - slack <= bound[:, None]) & (sure > 0) & (names[None, :] != questions["home"].to_numpy()[:, None])
-    row, col = np.nonzero(may)
-    return pa.table([questions["qid"].combine_chunks().take(pa.array(row)), pa.array(names[col])], schema=schema)
+    return (d - balls["radius"].to_numpy()[None, :] - slack <= bound[:, None]) & (sure > 0) & (names[None, :] != questions["home"].to_numpy()[:, None])
 
 
-def visits(questions: DataFrame, index: BallIndex, query_block: int, test: Callable, extra: Sequence[str] = ()) -> DataFrame:
+def visits(questions: DataFrame, index: BallIndex, query_block: int, test: Callable, extra: Sequence[str] = (), out: str = "qid string, ball bigint") -> DataFrame:
     """Rows (qid, ball) that ``test`` finds for blocks of questions and the balls of their subject."""
     blocks = questions.groupBy("subject").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("__n"))
     dealt = questions.join(blocks, "subject").withColumn("__b", F.pmod(F.xxhash64("qid"), "__n").cast("int"))
     copied = index.balls.join(blocks, "subject").withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     left = dealt.select("subject", "__b", "qid", "qvec", "top_k", "want_mask", *extra).groupBy("subject", "__b")
-    return left.cogroup(_fresh(copied, "subject", "__b", "ball", "centre", "radius", "counts").groupBy("subject", "__b")).applyInArrow(test, "qid string, ball bigint")
+    return left.cogroup(_fresh(copied, "subject", "__b", "ball", "centre", "radius", "counts").groupBy("subject", "__b")).applyInArrow(test, out)
 
 
 def _compared(questions: DataFrame, pairs: DataFrame, index: BallIndex, query_block: int) -> DataFrame:
@@ -162,24 +193,48 @@ def _compared(questions: DataFrame, pairs: DataFrame, index: BallIndex, query_bl
     return left.cogroup(_fresh(c, *keys, "chunk_id", "embedding", "flags_mask").groupBy(*keys)).applyInArrow(_block_topk, HITS)
 
 
+def _within_bounds(bounded: DataFrame, index: BallIndex, query_block: int, chunk_block: int, materialize: Callable) -> DataFrame:
+    """Hits of each question outside its home, within its bound.
+
+    Questions of one side of the subject make blocks.  What is sent is a ball to each block that reaches it, and a
+    question to each shelf of balls of its subject: never a question to each ball.
+    """
+    lots = bounded.groupBy("subject", "side").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("lots"))
+    placed = bounded.join(lots, ["subject", "side"]).withColumn("lot", F.pmod(F.xxhash64("qid"), "lots").cast("int")).drop("lots")
+    placed = materialize(placed)
+    block = ["subject", "side", "lot"]
+    copied = index.balls.join(placed.select(*block).distinct(), "subject")
+    copied = _fresh(copied, *block, "ball", "centre", "radius", "counts")
+    reached = placed.groupBy(*block).cogroup(copied.groupBy(*block)).applyInArrow(_reachable_balls, "subject string, side int, lot int, ball bigint")
+    reached = materialize(reached)
+    met = reached.select("subject", "ball").distinct().join(index.balls, ["subject", "ball"])
+    shelves = met.groupBy("subject").agg(F.ceil(F.sum(F.col("counts")[0]) / chunk_block).cast("int").alias("shelves"))
+    c = index.rows.join(shelves, "subject").withColumn("shelf", F.pmod(F.xxhash64("ball", "part"), "shelves").cast("int")).drop("shelves")
+    c = c.join(reached, ["subject", "ball"])
+    q = placed.join(shelves, "subject").withColumn("shelf", F.explode(F.sequence(F.lit(0), F.col("shelves") - 1)))
+    keys = [*block, "shelf"]
+    left = q.select(*keys, "qid", "qvec", "top_k", "want_mask", "home", "bound").groupBy(*keys)
+    return left.cogroup(_fresh(c, *keys, "chunk_id", "embedding", "flags_mask", "ball").groupBy(*keys)).applyInArrow(_block_topk, HITS)
+
+
 def ball_topk(
     questions: DataFrame,
     index: BallIndex,
     k: int | str = "top_k",
     filter_names: str | None = None,
-    query_block: int = QUERY_BLOCK,
+    query_block: int = INDEX_QUERY_BLOCK,
     materialize: Callable[[DataFrame], DataFrame] = cut_lineage,
+    chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
     """As ``knn_topk``, by the index: ``(qid, chunk_id, distance, flags_mask, rank)``."""
     q, most = asked(questions, k, filter_names, index.flags)
-    home = materialize(visits(q, index, query_block, _home))
-    first = materialize(ranked_hits(_compared(q, home, index, query_block), most))
+    home = materialize(visits(q, index, query_block, _home_and_side, ["__n"], "qid string, ball bigint, side int"))
+    first = materialize(ranked_hits(_compared(q, home.drop("side"), index, query_block), most))
     enough = first.groupBy("qid").agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"), F.first("top_k").alias("k"))
-    bounds = home.select("qid", F.col("ball").alias("home")).join(enough, "qid", "left")
+    bounds = home.select("qid", "side", F.col("ball").alias("home")).join(enough, "qid", "left")
     bound = F.when(F.col("n") >= F.col("k"), F.sqrt("d")).otherwise(F.lit(float("inf")))
-    bounded = q.join(bounds.select("qid", "home", bound.alias("bound")), "qid")
-    more = materialize(visits(bounded, index, query_block, _reachable, ["home", "bound"]))
-    rest = _compared(q, more, index, query_block)
+    bounded = q.join(bounds.select("qid", "side", "home", bound.alias("bound")), "qid")
+    rest = _within_bounds(bounded, index, query_block, chunk_block, materialize)
     return ranked_hits(first.drop("rank").unionByName(rest), most).drop("top_k")
 
 

@@ -22,7 +22,7 @@ from quire.functions.tokens import keywords
 from quire.session import cut_lineage
 
 QUERY_BLOCK = 2048
-CHUNK_BLOCK = 1 << 17
+CHUNK_BLOCK = 1 << 15
 UNKNOWN_FLAG = 1 << 62
 
 
@@ -72,54 +72,58 @@ def _vectors(col) -> np.ndarray:
     return flat.reshape(len(arr), -1) if len(arr) else flat.reshape(0, 1)
 
 
+_HITS = pa.schema(
+    [("qid", pa.string()), ("chunk_id", pa.string()), ("distance", pa.float64()), ("flags_mask", pa.int64()), ("top_k", pa.int64())]
+)
+#: Rows of a block that are compared at once; only they are held in double precision.
+QUERY_SLICE, CHUNK_SLICE = 256, 8192
+
+
 def _block_topk(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-    """Best k chunks of one block for every question of one block."""
-    schema = pa.schema(
-        [
-            ("qid", pa.string()),
-            ("chunk_id", pa.string()),
-            ("distance", pa.float64()),
-            ("flags_mask", pa.int64()),
-            ("top_k", pa.int64()),
-        ]
-    )
+    """Best k chunks of one block for every question of one block.
+
+    Questions with a ``bound`` (the distance that a chunk may have at most, not squared) and a ``home`` (a ball
+    whose chunks they know already) get the other chunks within their bound.
+    """
     if queries.num_rows == 0 or chunks.num_rows == 0:
-        return schema.empty_table()
-    q, c = _vectors(queries["qvec"]), _vectors(chunks["embedding"])
+        return _HITS.empty_table()
+    q = _vectors(queries["qvec"])
     k = queries["top_k"].to_numpy()
     want = queries["want_mask"].to_numpy()
     have = chunks["flags_mask"].to_numpy()
-    ids = chunks["chunk_id"].to_numpy(zero_copy_only=False)
-    qids = queries["qid"].to_numpy(zero_copy_only=False)
-    norms = np.einsum("ij,ij->i", c, c)
-    rows_out, cols_out, dist_out = [], [], []
-    for lo in range(0, len(q), 256):
-        qs, ws, ks = q[lo : lo + 256], want[lo : lo + 256], k[lo : lo + 256]
-        kmax = int(ks.max())
-        near_r, near_c = [], []
-        for at in range(0, len(c), 8192):
-            cs = c[at : at + 8192]
-            d = norms[at : at + 8192][None, :] - 2.0 * (qs @ cs.T)
-            shut = (ws[:, None] != 0) & ((ws[:, None] & have[at : at + 8192][None, :]) == 0)
+    bounded = "bound" in queries.column_names
+    bound = queries["bound"].to_numpy() ** 2 if bounded else np.full(len(q), np.inf)
+    home, ball = (queries["home"].to_numpy(), chunks["ball"].to_numpy()) if bounded else (None, None)
+    asked = np.einsum("ij,ij->i", q, q)
+    found = []
+    for at in range(0, chunks.num_rows, CHUNK_SLICE):
+        c = _vectors(chunks["embedding"].slice(at, CHUNK_SLICE))
+        norms = np.einsum("ij,ij->i", c, c)
+        for lo in range(0, len(q), QUERY_SLICE):
+            some = slice(lo, lo + QUERY_SLICE)
+            qs, ws, kmax = q[some], want[some], int(k[some].max())
+            d = asked[some][:, None] + norms[None, :] - 2.0 * (qs @ c.T)
+            shut = (ws[:, None] != 0) & ((ws[:, None] & have[at : at + CHUNK_SLICE][None, :]) == 0)
+            if bounded:
+                shut |= home[some][:, None] == ball[at : at + CHUNK_SLICE][None, :]
             d[shut] = np.inf
-            kk = min(kmax, d.shape[1]) - 1
-            edge = np.partition(d, kk, axis=1)[:, kk]
-            slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(edge), edge, 0.0)))
-            r, j = np.nonzero((d <= (edge + slack)[:, None]) & np.isfinite(d))
-            near_r.append(r)
-            near_c.append(j + at)
-        r, j = np.concatenate(near_r), np.concatenate(near_c)
-        diff = qs[r] - c[j]
-        exact = np.einsum("ij,ij->i", diff, diff)
-        order = np.lexsort((ids[j].astype(str), exact, r))
-        r, j, exact = r[order], j[order], exact[order]
-        starts = np.searchsorted(r, np.arange(len(qs)))
-        keep = np.arange(len(r)) - starts[r] < ks[r]
-        rows_out.append(r[keep] + lo)
-        cols_out.append(j[keep])
-        dist_out.append(exact[keep])
-    r, j, d = np.concatenate(rows_out), np.concatenate(cols_out), np.concatenate(dist_out)
-    return pa.table([pa.array(qids[r]), pa.array(ids[j]), pa.array(d), pa.array(have[j]), pa.array(k[r])], schema=schema)
+            slack = 1e-9 * (1.0 + asked[some] + norms.max())
+            near = (d <= (bound[some] + slack)[:, None]) & np.isfinite(d)
+            many = np.nonzero(near.sum(1) > kmax)[0]
+            if len(many):
+                edge = np.partition(d[many], kmax - 1, axis=1)[:, kmax - 1]
+                near[many] &= d[many] <= (edge + slack[many])[:, None]
+            r, j = np.nonzero(near)
+            diff = qs[r] - c[j]
+            found.append((r + lo, j + at, np.einsum("ij,ij->i", diff, diff)))
+    r, j, exact = (np.concatenate([f[i] for f in found]) for i in range(3))
+    ids = chunks["chunk_id"].take(pa.array(j)).to_numpy().astype(str)
+    order = np.lexsort((ids, exact, r))
+    r, j, exact = r[order], j[order], exact[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k[r]
+    r, j, exact = r[keep], j[keep], exact[keep]
+    columns = [queries["qid"].take(pa.array(r)), chunks["chunk_id"].take(pa.array(j)), pa.array(exact), pa.array(have[j]), pa.array(k[r])]
+    return pa.table(columns, schema=_HITS)
 
 
 def knn_topk(

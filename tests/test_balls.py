@@ -66,3 +66,15 @@ def test_retrieve_by_index(spark):
     want = G.retrieve(planned, c, FLAGS, "heuristic", 3)
     key = lambda df: sorted((r.qid, r.chunk_id, r.final_rank) for r in df.collect())
     assert key(got) == key(want)
+
+
+def test_no_question_is_sent_to_each_ball(spark):
+    from quire.session import cut_lineage
+
+    c, q = tables(spark, False)
+    kept = []
+    keep = lambda df: (kept.append(df.count()), cut_lineage(df))[1]
+    index = B.ball_index(c, FLAGS, 10)
+    B.ball_topk(q, index, 3, materialize=keep).count()
+    # One block of questions a subject; nearly every question reaches nearly every ball.
+    assert max(kept) <= max(index.balls.count(), 3 * q.count())
