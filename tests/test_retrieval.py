@@ -101,3 +101,23 @@ def test_strategy(spark):
     assert plan == {"a": (5, ["section_management"]), "b": (8, [])}
     with pytest.raises(ValueError):
         Q.retrieval_plan(df, "other")
+
+
+def test_vectors_of_a_block_are_widened_in_slices():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def vectors(n):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 256 * n + 1, 256, dtype=np.int32)), pa.array(np.zeros(256 * n, np.float32)))
+
+    n = 1 << 16
+    q = pa.table({"qid": ["q"], "qvec": vectors(1), "top_k": pa.array([2], pa.int64()), "want_mask": pa.array([0], pa.int64())})
+    # All chunks but one carry the same vector: ids decide.
+    c = pa.table({"chunk_id": [f"c{i:05d}" for i in range(n)], "embedding": vectors(n), "flags_mask": pa.array(np.zeros(n, np.int64))})
+    tracemalloc.start()
+    got = G._block_topk(q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["chunk_id"].to_pylist() == ["c00000", "c00001"] and peak < 100 << 20
