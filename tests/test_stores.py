@@ -131,3 +131,15 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Cluster())
+
+
+def test_records_of_a_run_are_stored_compressed(spark, tmp_path):
+    import os
+
+    from quire.sources import suites as S
+
+    records = spark.range(2000).selectExpr("id", "'m1' as module", "0.25D as retrieval_latency_seconds").coalesce(1)
+    S.write_benchmark_run(records, records.selectExpr("count(*) as n_records"), str(tmp_path), "r1")
+    folder = tmp_path / "r1" / "records"
+    assert sum(os.path.getsize(folder / f) for f in os.listdir(folder) if f.startswith("part")) < 2000 * 20
+    assert spark.read.json(str(folder)).count() == 2000 and S.list_runs(spark, str(tmp_path)).first().n_records == 2000
