@@ -53,6 +53,20 @@ def test_indented_and_broken_answers(spark, tmp_path):
     assert (rows["q2"].module, rows["q2"].chapter, rows["q2"].corrupt_reason) == ("m1", "ch 1", "corrupt_file:json")
 
 
+def test_packed_answers(spark, tmp_path):
+    """As many files as the data has parts, however many answers; broken and empty documents keep their keys."""
+    root, keys = str(tmp_path / "packed"), ("m=1", "ch/1 ä")
+    texts = {f"q{i}": json.dumps({"qid": f"q{i}", "module": "m=1", "chapter": "ch/1 ä", "answer_text": f"two\nlines {i}"}, indent=2) for i in range(40)}
+    texts |= {"q 40": '{"qid":   "qid" : "q', "q41": "", "q42": " \n", "q43": None}
+    rows = [(*keys, q, t) for q, t in texts.items()]
+    answers.pack_answers(spark.createDataFrame(rows, "module string, chapter string, qid string, value string").coalesce(2), root)
+    assert len(list((tmp_path / "packed").rglob("*.parquet"))) <= 2
+    found = {r.qid: r for r in answers.read_answers(spark, root, packed=True).collect()}
+    assert set(found) == set(texts) and {(r.module, r.chapter) for r in found.values()} == {keys}
+    assert all((r.answer_text, r.corrupt_reason) == (f"two\nlines {q[1:]}", None) for q, r in found.items() if int(q[1:]) < 40)
+    assert all((r.answer_text, r.corrupt_reason) == (None, "corrupt_file:json") for q, r in found.items() if int(q[1:]) >= 40)
+
+
 def test_equal_versions_have_one_winner(spark):
     schema = "module string, chapter string, qid string, text string, v int"
     rows = [("m", "c", "q", t, 1) for t in "abcdef"]
