@@ -229,3 +229,25 @@ def test_page_ranges_by_the_score_of_their_statement(spark, tmp_path):
     os.symlink(tmp_path / "d" / part, tmp_path / "documents.parquet")
     for query in ("d10_select_layout_pages", "d11_page_ranges"):
         assert compare(spark, duck(str(tmp_path)), entry.queries()[query], entry.oracle_sql()[query], str(tmp_path))[0] is None
+
+
+def test_question_text_is_cut_once(spark):
+    """The pattern of question starts is named once in the plan, so a page is not cut a second time for its size."""
+    pages = spark.createDataFrame([("b", 1, "1. What is it? 2) Why")], "book_id string, page_num int, text string")
+    plan = E.split_questions(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Question\\s+\\d+") == 1
+    assert [r.raw for r in E.split_questions(pages).collect()] == ["\n1. What is it? ", "\n2) Why"]
+
+
+def test_options_with_brackets_and_keys(spark):
+    cases = {
+        "stem (a) one; (b) two (c)": [("a", "one"), ("b", "two")],
+        "stem (a) one (x) (b) two Key: b": [("b", "two")],
+        "stem (a) one Answer : a) (b) Key: b (c) three": [("a", "one"), ("b", "Key: b"), ("c", "three")],
+        "(A) x(a)y (a)z\n": [("A", "x"), ("a", "z")],
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "id int, raw string")
+    got = {r.id: r for r in E.parse_questions(rows).selectExpr("id", "type", "question_text", "answer", "map_entries(options) o").collect()}
+    for i, want in enumerate(cases.values()):
+        assert [tuple(x) for x in got[i].o] == (want if len(want) > 1 else [])
+    assert (got[0].question_text, got[2].answer, got[1].type, got[3].question_text) == ("stem", "a", "theory", "")
