@@ -14,7 +14,7 @@ from quire.functions.arrays import let, run_lengths
 from quire.functions.text import count_words, words_of
 
 # (?U) makes a word boundary treat accented letters as letters on every Java version.
-KEYWORD = r"(?U)\b[A-Za-z][A-Za-z0-9-]{3,}\b"
+KEYWORD = r"(?U)(?=[A-Za-z])\b[A-Za-z][A-Za-z0-9-]{3,}\b"
 YEAR = r"(?U)\b(19[0-9][0-9]|20[0-9][0-9]|2100)\b"
 NUMBER = r"(?<!\d)([1-9]\d{0,2}(?:,\d{3})+|\d{4,})(?!\d)"
 
@@ -75,9 +75,9 @@ def keywords(text: Column) -> Column:
 def top_keywords(text: Column, n: int = 12) -> Column:
     """Most frequent content words, ties alphabetical; counted inside the row, without a shuffle."""
     counted = run_lengths(word_tokens(text))
-    stop = F.concat(_stopwords(), F.array(F.lit("")))
-    content = F.filter(counted, lambda c: ~F.array_contains(stop, c["value"]))
-    ranked = F.array_sort(F.transform(content, lambda c: F.struct((-c["n"]).alias("neg"), c["value"].alias("w"))))
+    stop = [w for w in L.STOPWORDS if len(w) > 3]
+    content = F.filter(counted, lambda c: ~c["value"].isin("", *stop))
+    ranked = F.sort_array(F.transform(content, lambda c: F.struct((-c["n"]).alias("neg"), c["value"].alias("w"))))
     return F.transform(F.slice(ranked, 1, n), lambda r: r["w"])
 
 

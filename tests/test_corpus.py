@@ -251,3 +251,10 @@ def test_options_with_brackets_and_keys(spark):
     for i, want in enumerate(cases.values()):
         assert [tuple(x) for x in got[i].o] == (want if len(want) > 1 else [])
     assert (got[0].question_text, got[2].answer, got[1].type, got[3].question_text) == ("stem", "a", "theory", "")
+
+
+def test_keywords_are_sorted_without_a_comparator(spark):
+    df = spark.createDataFrame([("Beta alpha beta, gamma ALPHA the with from x-ray- café delta",)], "text string")
+    top = df.select(K.top_keywords(F.col("text"), 3).alias("k"))
+    assert top.first().k == ["alpha", "beta", "delta"]
+    assert "array_sort" not in top._jdf.queryExecution().optimizedPlan().toString()
