@@ -126,14 +126,17 @@ def section_flags(df: DataFrame, profile: str = "chunk", text: str = "text", asc
     ``ascii_words`` takes only ASCII characters as parts of words, as question analysis does.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    of = L.ascii_words if ascii_words else str
-    return df.withColumns({e.name: body.rlike(of(e.pattern)) for e in L.profile(profile)})
+    if ascii_words:
+        return df.withColumns({e.name: body.rlike(L.ascii_words(e.pattern)) for e in L.profile(profile)})
+    lowered = F.lower(body)
+    return df.withColumns({e.name: e.found(body, lowered) for e in L.profile(profile)})
 
 
 def chunk_metadata(df: DataFrame, text: str = "text") -> DataFrame:
     """Nested metadata: structure flags, medical flags, and the exam lists."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = {e.name: body.rlike(e.pattern).alias(e.name) for e in L.profile("chunk")}
+    lowered = F.lower(body)
+    rows = {e.name: e.found(body, lowered).alias(e.name) for e in L.profile("chunk")}
     with_years = df.withColumn("__years", K.important_years(body))
     exam = F.struct(
         F.col("__years").alias("important_years"),

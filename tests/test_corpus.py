@@ -258,3 +258,18 @@ def test_keywords_are_sorted_without_a_comparator(spark):
     top = df.select(K.top_keywords(F.col("text"), 3).alias("k"))
     assert top.first().k == ["alpha", "beta", "delta"]
     assert "array_sort" not in top._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_of_patterns_lose_no_section(spark):
+    """Every text that a section's pattern matches holds one of the section's pieces."""
+    stems = "epidemiological aetiology causation caused risk factors high-risk signs and symptoms clinical feature presenting complaint diagnosing ddx differentials lab tests haematology X-ray EKG CT scan prescribing drugs immunation prophylactic vaccination national programme NVBDCP RNTCP NHP medico-legal medicolegal legal aspect evidence act per 5 odds ratio mean ± is defined definition: refers to is a disease stages IV type 2 category -> → --> flow chart flowchart step 3: Table 4. tab. 7 see table Fig. 3 figure 9 diagram = π formula calculation: conclusions summary: to summarise key point take-home message in summary mechanism incidence testimony screening dosage".split()
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice((str, str.upper, str.title))(rnd.choice(stems)) for _ in range(rnd.randint(1, 4))) for _ in range(6000)]
+    texts += [" ".join(stems[i : i + n]) for i in range(len(stems)) for n in (1, 2, 3, 4)] + ["İs A  disease", "FIGURE\n3", "Straße", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    entries = W.L.profile("chunk")
+    assert {n for n, _ in W.L.CHUNK_PATTERNS} - set(W.L.CHUNK_PIECES) == {"section_statistics"}
+    got = W.section_flags(df, "chunk").withColumns({f"p_{e.name}": F.col("text").rlike(e.pattern) for e in entries})
+    for e in entries:
+        assert got.filter(F.col(e.name) != F.col(f"p_{e.name}")).count() == 0 and got.filter(e.name).count() > 5
+    assert "contains(" in W.section_flags(df, "chunk")._jdf.queryExecution().optimizedPlan().toString().lower()
