@@ -107,17 +107,15 @@ def _walk(body: Column, n: Column, targets: Column) -> Column:
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def closest(window: Column, lo: Column, aim: Column, pos: Column, pat: str) -> Column:
-        hits = F.filter(
-            F.transform(
-                F.filter(
-                    index_range(F.length(window)), lambda j: F.substring(window, j, F.lit(len(pat))) == F.lit(pat)
-                ),
-                lambda j: lo + j - 1 + len(pat),
-            ),
-            lambda a: a > pos,
-        )
-        ranked = F.array_min(F.transform(hits, lambda a: F.struct(F.abs(a - aim).alias("d"), a.alias("at"))))
-        return ranked["at"]
+        """The end of ``pat`` next to ``aim``: of the last one up to it and the first one from it on, no other can be."""
+        reach = F.greatest(aim - lo, F.lit(0)).cast("int")
+        head = F.substring(window, F.lit(1), reach)
+        up_to = F.when(head.contains(pat), lo + F.length(head) - F.length(F.substring_index(head, pat, -1)))
+        found = F.position(F.lit(pat), window, F.greatest(reach + 1 - len(pat), F.lit(1)))
+        onward = F.when(found > 0, lo + found - 1 + len(pat))
+        both = F.struct(up_to.alias("a"), onward.alias("b"))
+        nearer = lambda s: F.when(s["b"].isNull() | (aim - s["a"] <= s["b"] - aim), s["a"]).otherwise(s["b"])
+        return let(both, lambda s: let(nearer(s), lambda at: F.when(at > pos, at)))
 
     def step(acc: Column, target: Column) -> Column:
         pos = acc["pos"]

@@ -253,13 +253,6 @@ def test_options_with_brackets_and_keys(spark):
     assert (got[0].question_text, got[2].answer, got[1].type, got[3].question_text) == ("stem", "a", "theory", "")
 
 
-def test_keywords_are_sorted_without_a_comparator(spark):
-    df = spark.createDataFrame([("Beta alpha beta, gamma ALPHA the with from x-ray- café delta",)], "text string")
-    top = df.select(K.top_keywords(F.col("text"), 3).alias("k"))
-    assert top.first().k == ["alpha", "beta", "delta"]
-    assert "array_sort" not in top._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_pieces_of_patterns_lose_no_section(spark):
     """Every text that a section's pattern matches holds one of the section's pieces."""
     stems = "epidemiological aetiology causation caused risk factors high-risk signs and symptoms clinical feature presenting complaint diagnosing ddx differentials lab tests haematology X-ray EKG CT scan prescribing drugs immunation prophylactic vaccination national programme NVBDCP RNTCP NHP medico-legal medicolegal legal aspect evidence act per 5 odds ratio mean ± is defined definition: refers to is a disease stages IV type 2 category -> → --> flow chart flowchart step 3: Table 4. tab. 7 see table Fig. 3 figure 9 diagram = π formula calculation: conclusions summary: to summarise key point take-home message in summary mechanism incidence testimony screening dosage".split()
@@ -273,3 +266,22 @@ def test_pieces_of_patterns_lose_no_section(spark):
     for e in entries:
         assert got.filter(F.col(e.name) != F.col(f"p_{e.name}")).count() == 0 and got.filter(e.name).count() > 5
     assert "contains(" in W.section_flags(df, "chunk")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_keywords_are_sorted_without_a_comparator(spark):
+    df = spark.createDataFrame([("Beta alpha beta, gamma ALPHA the with from x-ray- café delta",)], "text string")
+    top = df.select(K.top_keywords(F.col("text"), 3).alias("k"))
+    assert top.first().k == ["alpha", "beta", "delta"]
+    assert "array_sort" not in top._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_breaks_next_to_the_aim(spark):
+    """Of two breaks at the same distance the earlier one; blank lines before lines before blanks; no walk over a window."""
+    text = "a" * 98 + " " + "b" * 1 + " " + "c" * 99
+    lined = "a" * 60 + "\n\n\n" + "b" * 77 + " " + "c" * 59
+    df = spark.createDataFrame([(1, text, [80, 80]), (2, lined, [80, 80]), (3, "x" * 300, [80, 80])], "id int, content string, page_lengths array<bigint>")
+    out = P.distribute_text(df)
+    got = {(r.id, r.page_off): r.text for r in out.collect()}
+    assert (got[1, 0], got[2, 0], got[3, 0]) == ("a" * 98, "a" * 60, "x" * 150)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(1, length(" not in plan
