@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -64,7 +64,8 @@ def stream_sessions(log: DataFrame, gap: str, delay: str = "1 hour") -> DataFram
     return counted.select("book_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-STATE = "status string, percent double, ts timestamp, event_id bigint"
+# Times are microseconds, which no zone of a worker can shift.
+STATE = "status string, percent double, at bigint, event_id bigint"
 JOB_OUTPUT = f"book_id bigint, {STATE}"
 
 
@@ -83,64 +84,66 @@ class JobState(StatefulProcessor):
         self.state = handle.getValueState("job", STATE)
 
     @staticmethod
-    def better(old: tuple | None, pdf: pd.DataFrame) -> tuple | None:
-        ordered = pdf.sort_values(["ts", "event_id"])
-        final = ordered[ordered["status"].isin(TERMINAL)]
-        best = final.iloc[0] if len(final) else ordered.iloc[-1]
-        new = (best["status"], min(100.0, max(0.0, float(best["percent"]))), best["ts"].to_pydatetime(), int(best["event_id"]))
+    def place(record: tuple) -> tuple:
+        """A record without a time comes last."""
+        return record[2] is None, record[2], record[3]
+
+    @classmethod
+    def better(cls, old: tuple | None, new: tuple) -> tuple:
         if old is None:
             return new
         old_final, new_final = old[0] in TERMINAL, new[0] in TERMINAL
         if old_final != new_final:
             return old if old_final else new
-        old_first = (old[2], old[3]) <= (new[2], new[3])
-        return old if old_first == old_final else new
+        return old if (cls.place(old) <= cls.place(new)) == old_final else new
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = tuple(self.state.get()) if self.state.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stored = self.state.get()
         if stored is not None and (stored[0] in TERMINAL or stored[0] == "timeout"):
             return
-        current, batch = stored, None
-        for pdf in rows:
-            if len(pdf):
-                batch = self.better(batch, pdf)
+        current, batch = stored if stored is None else tuple(stored), None
+        for row in rows:
+            percent = 0.0 if row.percent is None else min(100.0, max(0.0, row.percent))
+            batch = self.better(batch, (row.status, percent, row.at, row.event_id))
         if batch is None:
             return
-        if current is None or batch[0] in TERMINAL or (batch[2], batch[3]) > (current[2], current[3]):
+        if current is None or batch[0] in TERMINAL or self.place(batch) > self.place(current):
             current = batch
         self.state.update(current)
         if self.deadline_ms is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             if current[0] not in TERMINAL:
-                self.handle.registerTimer(int(current[2].timestamp() * 1000) + self.deadline_ms)
+                self.handle.registerTimer(current[2] // 1000 + self.deadline_ms)
         yield self.row(key, current)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if not self.state.exists():
             return
-        status, percent, ts, event_id = self.state.get()
+        status, percent, at, event_id = self.state.get()
         if status in TERMINAL or status == "timeout":
             return
-        self.state.update(("timeout", percent, ts, event_id))
-        yield self.row(key, ("timeout", percent, ts, event_id))
+        self.state.update(("timeout", percent, at, event_id))
+        yield self.row(key, ("timeout", percent, at, event_id))
 
     @staticmethod
-    def row(key, state: tuple) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"book_id": [key[0]], "status": [state[0]], "percent": [state[1]], "ts": [pd.Timestamp(state[2])], "event_id": [state[3]]}
-        )
+    def row(key, state: tuple) -> Row:
+        status, percent, at, event_id = state
+        return Row(book_id=key[0], status=status, percent=percent, at=at, event_id=event_id)
 
     def close(self) -> None:
         pass
 
 
 def stream_job_state(log: DataFrame, delay: str = "1 hour", deadline_ms: int | None = None) -> DataFrame:
-    return (
-        log.withWatermark("ts", delay)
+    # Jobs are many and their records few: rows go to Python and back in common batches, not a frame for each job.
+    states = (
+        log.select("book_id", "event_id", "ts", "status", "percent", F.unix_micros("ts").alias("at"))
+        .withWatermark("ts", delay)
         .groupBy("book_id")
-        .transformWithStateInPandas(JobState(deadline_ms), JOB_OUTPUT, "Update", "EventTime")
+        .transformWithState(JobState(deadline_ms), JOB_OUTPUT, "Update", "EventTime")
     )
+    return states.select("book_id", "status", "percent", F.timestamp_micros("at").alias("ts"), "event_id")
 
 
 def stream_stale(answers: DataFrame, revisions: DataFrame, embedding_model: str) -> DataFrame:

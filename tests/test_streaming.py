@@ -109,3 +109,12 @@ def test_staleness_follows_both_streams(spark, tmp_path):
     n = s.read.parquet(out).count()
     R.drain(ST.stream_staleness(left, right, "m", parts=3), ck, R.batch_sink(out), "update")
     assert s.read.parquet(out).count() == n
+
+
+def test_job_records_are_ranked_row_by_row():
+    """The first final record, else the newest; one without a time is the newest."""
+    better = ST.JobState.better
+    run, late, end, later = ("running", 1.0, 5, 1), ("running", 2.0, None, 2), ("failed", 3.0, 9, 3), ("succeeded", 4.0, 9, 4)
+    assert better(None, run) == run and better(run, late) == late and better(late, run) == late
+    assert better(end, run) == end and better(run, end) == end
+    assert better(later, end) == end and better(end, later) == end
