@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +77,9 @@ _HITS = pa.schema(
     [("qid", pa.string()), ("chunk_id", pa.string()), ("distance", pa.float64()), ("flags_mask", pa.int64()), ("top_k", pa.int64())]
 )
 #: Rows of a block that are compared at once; only they are held in double precision.
-QUERY_SLICE, CHUNK_SLICE = 256, 8192
+QUERY_SLICE, CHUNK_SLICE = 256, 2048
+#: Pairs whose exact distance is computed at once; more come up only where many distances are equal.
+PAIR_SLICE = 1 << 14
 
 
 def _block_topk(queries: pa.Table, chunks: pa.Table) -> pa.Table:
@@ -87,6 +90,8 @@ def _block_topk(queries: pa.Table, chunks: pa.Table) -> pa.Table:
     """
     if queries.num_rows == 0 or chunks.num_rows == 0:
         return _HITS.empty_table()
+    # In the order of ids a later chunk at an equal distance never comes first.
+    chunks = chunks.take(pc.sort_indices(chunks["chunk_id"]))
     q = _vectors(queries["qvec"])
     k = queries["top_k"].to_numpy()
     want = queries["want_mask"].to_numpy()
@@ -96,36 +101,65 @@ def _block_topk(queries: pa.Table, chunks: pa.Table) -> pa.Table:
     home, ball = (queries["home"].to_numpy(), chunks["ball"].to_numpy()) if bounded else (None, None)
     asked = np.einsum("ij,ij->i", q, q)
     found = []
-    for at in range(0, chunks.num_rows, CHUNK_SLICE):
-        c = _vectors(chunks["embedding"].slice(at, CHUNK_SLICE))
-        norms = np.einsum("ij,ij->i", c, c)
-        for lo in range(0, len(q), QUERY_SLICE):
-            some = slice(lo, lo + QUERY_SLICE)
-            qs, ws, kmax = q[some], want[some], int(k[some].max())
-            d = asked[some][:, None] + norms[None, :] - 2.0 * (qs @ c.T)
-            shut = (ws[:, None] != 0) & ((ws[:, None] & have[at : at + CHUNK_SLICE][None, :]) == 0)
+    for lo in range(0, len(q), QUERY_SLICE):
+        some = slice(lo, lo + QUERY_SLICE)
+        best = _Best(q[some], k[some])
+        ws, kmax = want[some][:, None], int(k[some].max())
+        for at in range(0, chunks.num_rows, CHUNK_SLICE):
+            part = slice(at, at + CHUNK_SLICE)
+            c = _vectors(chunks["embedding"].slice(at, CHUNK_SLICE))
+            norms = np.einsum("ij,ij->i", c, c)
+            d = best.q @ c.T
+            d *= -2.0
+            d += asked[some][:, None]
+            d += norms
+            if ws.any():
+                d[(ws != 0) & ((ws & have[part]) == 0)] = np.inf
             if bounded:
-                shut |= home[some][:, None] == ball[at : at + CHUNK_SLICE][None, :]
-            d[shut] = np.inf
+                d[home[some][:, None] == ball[part]] = np.inf
             slack = 1e-9 * (1.0 + asked[some] + norms.max())
-            near = (d <= (bound[some] + slack)[:, None]) & np.isfinite(d)
-            many = np.nonzero(near.sum(1) > kmax)[0]
+            near = (d <= (np.minimum(bound[some], best.edge) + slack)[:, None]) & np.isfinite(d)
+            many = np.nonzero(np.count_nonzero(near, axis=1) > kmax)[0]
             if len(many):
                 edge = np.partition(d[many], kmax - 1, axis=1)[:, kmax - 1]
                 near[many] &= d[many] <= (edge + slack[many])[:, None]
             r, j = np.nonzero(near)
-            diff = qs[r] - c[j]
-            found.append((r + lo, j + at, np.einsum("ij,ij->i", diff, diff)))
+            for i in range(0, len(r), PAIR_SLICE):
+                best.add(r[i : i + PAIR_SLICE], j[i : i + PAIR_SLICE], c, at)
+        found.append((best.r + lo, best.j, best.exact))
     r, j, exact = (np.concatenate([f[i] for f in found]) for i in range(3))
-    ids = chunks["chunk_id"].take(pa.array(j)).to_numpy().astype(str)
-    order = np.lexsort((ids, exact, r))
-    r, j, exact = r[order], j[order], exact[order]
-    keep = np.arange(len(r)) - np.searchsorted(r, r) < k[r]
-    r, j, exact = r[keep], j[keep], exact[keep]
     columns = [queries["qid"].take(pa.array(r)), chunks["chunk_id"].take(pa.array(j)), pa.array(exact), pa.array(have[j]), pa.array(k[r])]
     return pa.table(columns, schema=_HITS)
 
 
+class _Best:
+    """The best k chunks so far of a slice of questions; ``edge`` is the distance of the k-th, infinite before there are k."""
+
+    def __init__(self, q: np.ndarray, k: np.ndarray):
+        self.q, self.k = q, k
+        self.edge = np.full(len(q), np.inf)
+        self.r = self.j = np.empty(0, np.int64)
+        self.exact = np.empty(0)
+
+    def add(self, r: np.ndarray, j: np.ndarray, c: np.ndarray, at: int) -> None:
+        """Take in pairs of a question and a row of ``c``, the chunks from ``at`` on; chunks come in ascending order."""
+        diff = self.q[r]
+        diff -= c[j]
+        exact = np.einsum("ij,ij->i", diff, diff)
+        closer = exact < self.edge[r]
+        if not closer.any():
+            return
+        r, j = np.concatenate([self.r, r[closer]]), np.concatenate([self.j, j[closer] + at])
+        exact = np.concatenate([self.exact, exact[closer]])
+        order = np.lexsort((j, exact, r))
+        r, j, exact = r[order], j[order], exact[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < self.k[r]
+        self.r, self.j, self.exact = r[keep], j[keep], exact[keep]
+        last = place == self.k[r] - 1
+        self.edge[r[last]] = exact[last]
+
+
 def knn_topk(
     questions: DataFrame,
     chunks: DataFrame,

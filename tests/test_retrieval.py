@@ -121,3 +121,35 @@ def test_vectors_of_a_block_are_widened_in_slices():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got["chunk_id"].to_pylist() == ["c00000", "c00001"] and peak < 100 << 20
+
+
+def test_equal_vectors_are_compared_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def vectors(a):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.astype(np.float32).ravel()))
+
+    rng = np.random.default_rng(5)
+    n, m = 1 << 13, 300
+    points, ids = np.zeros((n, 64)), rng.permutation(n)
+    points[::4096] = 2.0
+    asked, k = rng.normal(size=(m, 64)), rng.integers(1, 6, m)
+    want, have = rng.integers(0, 2, m), rng.integers(0, 2, n)
+    q = pa.table({"qid": [f"q{i:03d}" for i in range(m)], "qvec": vectors(asked), "top_k": pa.array(k), "want_mask": pa.array(want)})
+    c = pa.table({"chunk_id": [f"c{i:05d}" for i in ids], "embedding": vectors(points), "flags_mask": pa.array(have)})
+    tracemalloc.start()
+    got = G._block_topk(q, c).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hits = {}
+    for qid, cid in zip(got["qid"], got["chunk_id"]):
+        hits.setdefault(qid, []).append(int(cid[1:]))
+    shut = {w: set(ids[(have & w) == 0]) if w else set() for w in (0, 1)}
+    middle, corner = set(ids) - set(ids[::4096]), set(ids[::4096])
+    for i, v in enumerate(np.float32(asked).astype(float)):
+        near, far = (middle, corner) if (v**2).sum() < ((v - 2.0) ** 2).sum() else (corner, middle)
+        pool = sorted(near - shut[want[i]]) + sorted(far - shut[want[i]])
+        assert hits[f"q{i:03d}"] == pool[: k[i]]
+    assert peak < 64 << 20
