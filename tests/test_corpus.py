@@ -285,3 +285,23 @@ def test_breaks_next_to_the_aim(spark):
     assert (got[1, 0], got[2, 0], got[3, 0]) == ("a" * 98, "a" * 60, "x" * 150)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(1, length(" not in plan
+
+
+@pytest.mark.parametrize("query", ["d10_select_layout_pages", "d11_page_ranges"])
+def test_layout_pages_with_rows_of_numbers_equal_their_statement(spark, tmp_path, query):
+    from check import compare, duck
+    import __spark_entry__ as entry
+    import os
+
+    rnd = random.Random(3)
+    token = lambda: rnd.choice([str(rnd.randrange(1000)), "ab", "word", "|", "é1", "x\ry"])
+    line = lambda: "".join(token() + rnd.choice([" ", "  ", "\t"]) for _ in range(rnd.choice([0, 2, 4, 9, 14])))
+    rows = [(i, "\n".join(line() for _ in range(rnd.choice([3, 9, 30]))), "en", "web", 100) for i in range(300)]
+    source = "/root/testdata/sf0.001"
+    for name in os.listdir(source):
+        if name != "documents.parquet":
+            os.symlink(f"{source}/{name}", tmp_path / name)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "d"))
+    part = next(f for f in os.listdir(tmp_path / "d") if f.endswith(".parquet"))
+    os.symlink(tmp_path / "d" / part, tmp_path / "documents.parquet")
+    assert compare(spark, duck(str(tmp_path)), entry.queries()[query], entry.oracle_sql()[query], str(tmp_path))[0] is None
