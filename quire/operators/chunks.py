@@ -132,12 +132,18 @@ def section_flags(df: DataFrame, profile: str = "chunk", text: str = "text", asc
     return df.withColumns({e.name: e.found(body, lowered) for e in L.profile(profile)})
 
 
-def chunk_metadata(df: DataFrame, text: str = "text") -> DataFrame:
-    """Nested metadata: structure flags, medical flags, and the exam lists."""
+def chunk_metadata(df: DataFrame, text: str = "text", ascii_words: bool = False) -> DataFrame:
+    """Nested metadata: structure flags, medical flags, and the exam lists.
+
+    ``ascii_words`` takes only ASCII characters as parts of the words of flags, as question analysis does.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    lowered = F.lower(body)
-    rows = {e.name: e.found(body, lowered).alias(e.name) for e in L.profile("chunk")}
-    with_years = df.withColumn("__years", K.important_years(body))
+    # Only Java folds the case of "ı" and "İ" to that of "i"; "ſ" is a small letter already, but a form of "s".
+    read = F.replace(F.replace(body, F.lit("ı"), F.lit("é")), F.lit("İ"), F.lit("é")) if ascii_words else body
+    lowered = F.replace(F.lower("__read"), F.lit("ſ"), F.lit("s"))
+    words = L.ascii_words if ascii_words else str
+    with_years = df.withColumns({"__years": K.important_years(body), "__read": read}).withColumn("__lowered", lowered)
+    rows = {e.name: e.found(F.col("__read"), F.col("__lowered"), words).alias(e.name) for e in L.profile("chunk")}
     exam = F.struct(
         F.col("__years").alias("important_years"),
         K.important_numbers(body, F.col("__years")).alias("important_numbers"),
@@ -150,7 +156,7 @@ def chunk_metadata(df: DataFrame, text: str = "text") -> DataFrame:
             F.struct(*[rows[n] for n in L.MEDICAL_SECTIONS]).alias("medical"),
             exam.alias("exam"),
         ),
-    ).drop("__years")
+    ).drop("__years", "__read", "__lowered")
 
 
 Extractor = Callable[[DataFrame], DataFrame]

@@ -305,3 +305,32 @@ def test_layout_pages_with_rows_of_numbers_equal_their_statement(spark, tmp_path
     part = next(f for f in os.listdir(tmp_path / "d") if f.endswith(".parquet"))
     os.symlink(tmp_path / "d" / part, tmp_path / "documents.parquet")
     assert compare(spark, duck(str(tmp_path)), entry.queries()[query], entry.oracle_sql()[query], str(tmp_path))[0] is None
+
+
+def test_flattened_flags_take_ascii_words(spark):
+    texts = ["märch und", "the RCH here", "xrch", "épath NHM", "Übericds", "cauſes", "causatıon", "classİfication"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "qid int, answer_text string")
+    flat = W.flatten_metadata(W.chunk_metadata(df, "answer_text", ascii_words=True)).orderBy("qid").collect()
+    assert [r.section_national_programme for r in flat] == [True, True, False, True, False, False, False, False]
+    assert [r.section_etiology for r in flat] == [False] * 5 + [True, False, False]
+    assert not any(r.section_classification for r in flat)
+    plain = W.flatten_metadata(W.chunk_metadata(df, "answer_text")).orderBy("qid").collect()
+    assert [r.section_national_programme for r in plain] == [False, True, False, True, False, False, False, False]
+
+
+def test_flattened_metadata_equals_its_statement(spark, tmp_path):
+    from check import compare, duck
+    import __spark_entry__ as entry
+    import os
+
+    texts = ["märch und überNHM", "the RCH here", "xrch", "Übericds äe", "ärztcauseö drug"]
+    rows = [(i, 1, "assistant", t) for i, t in enumerate(texts)]
+    source = "/root/testdata/sf0.001"
+    for name in os.listdir(source):
+        if name != "conversations.parquet":
+            os.symlink(f"{source}/{name}", tmp_path / name)
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    part = next(f for f in os.listdir(tmp_path / "d") if f.endswith(".parquet"))
+    os.symlink(tmp_path / "d" / part, tmp_path / "conversations.parquet")
+    query = "c12_flatten_metadata"
+    assert compare(spark, duck(str(tmp_path)), entry.queries()[query], entry.oracle_sql()[query], str(tmp_path))[0] is None
